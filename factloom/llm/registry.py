@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .packing import op10_best_fit_packing
 from .simhash_dedup import op3_simhash_dedup
 
 QUERIES = {
     "op3_simhash_dedup": op3_simhash_dedup,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLES: dict[str, str] = {}
