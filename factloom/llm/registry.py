@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 from .packing import op10_best_fit_packing
+from .sharding import op6_jump_hash_sharding
 from .simhash_dedup import op3_simhash_dedup
+from .url_filter import OP4_SQL, op4_url_filter
 
 QUERIES = {
     "op3_simhash_dedup": op3_simhash_dedup,
+    "op4_url_filter": op4_url_filter,
+    "op6_jump_hash_sharding": op6_jump_hash_sharding,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op4_url_filter": OP4_SQL,
+}
