@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .decontaminate import op8_template_decontamination
 from .packing import op10_best_fit_packing
+from .sentence_dedup import op9_sentence_span_dedup
 from .sharding import op6_jump_hash_sharding
 from .simhash_dedup import op3_simhash_dedup
 from .url_filter import OP4_SQL, op4_url_filter
@@ -11,6 +13,8 @@ QUERIES = {
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_url_filter": op4_url_filter,
     "op6_jump_hash_sharding": op6_jump_hash_sharding,
+    "op8_template_decontamination": op8_template_decontamination,
+    "op9_sentence_span_dedup": op9_sentence_span_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLES = {

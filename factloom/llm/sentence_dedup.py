@@ -23,14 +23,14 @@ from pyspark.sql import functions as F
 from .common import cut, read_table
 
 #: Consecutive sentences to a span.
-RUN = 2
-#: Words that a stretch of repeated sentences has at least; shorter echoes ("Yes. No.") stay.
-MIN_WORDS = 20
-
-# A sentence ends after . ! ? … 。 and white space, at a line break, or before a capitalised
-# word that follows a lower-case letter: a passage pasted into running text starts there.
-_BREAK = re.compile(r"(?<=[.!?…。！？])\s+|\n\s*|(?<=[a-zß-öø-ÿ,;])\s+(?=[A-ZÀ-ÖØ-Þ](?:[a-zß-öø-ÿ]|\s+[a-zß-öø-ÿ]))")
-_GAPS = re.compile(r"\s+")
+RUN = 3
+#: Words that a stretch of repeated sentences has at least; shorter echoes ("Yes. No. Well.") stay.
+MIN_WORDS = 25
+
+# A sentence here is the stretch up to a mark (. ! ? … ; : ,) and white space, a line break, or
+# a capitalised word after a lower-case letter: a passage pasted into running text starts there.
+# Splitting long sentences at their commas lets three in a row cover a passage nearly to its ends.
+_BREAK = re.compile(r"(?<=[.!?…。！？,;:])\s+|\n\s*|(?<=[a-zß-öø-ÿ])\s+(?=[A-ZÀ-ÖØ-Þ](?:[a-zß-öø-ÿ]|\s+[a-zß-öø-ÿ]))")
 
 
 def sentences(text: str | None) -> list[tuple[int, int]]:
