@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op8_template_decontamination
 from .packing import op10_best_fit_packing
+from .quality import op5_quality_classifier
 from .sentence_dedup import op9_sentence_span_dedup
 from .sharding import op6_jump_hash_sharding
 from .simhash_dedup import op3_simhash_dedup
@@ -12,6 +13,7 @@ from .url_filter import OP4_SQL, op4_url_filter
 QUERIES = {
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_url_filter": op4_url_filter,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_jump_hash_sharding": op6_jump_hash_sharding,
     "op8_template_decontamination": op8_template_decontamination,
     "op9_sentence_span_dedup": op9_sentence_span_dedup,
