@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op8_template_decontamination
+from .html_extract import op1_html_extraction
 from .packing import op10_best_fit_packing
 from .quality import op5_quality_classifier
 from .sentence_dedup import op9_sentence_span_dedup
@@ -12,6 +13,7 @@ from .url_filter import OP4_SQL, op4_url_filter
 
 QUERIES = {
     "op3_simhash_dedup": op3_simhash_dedup,
+    "op1_html_extraction": op1_html_extraction,
     "op4_url_filter": op4_url_filter,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_jump_hash_sharding": op6_jump_hash_sharding,
@@ -20,5 +22,6 @@ QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLES = {
+    "op1_html_extraction": op1_html_extraction,
     "op4_url_filter": OP4_SQL,
 }

@@ -38,7 +38,7 @@ def test_held_out_accuracy_and_rows(spark):
     held = [(r.predicted, truth[r.doc_id]) for r in got if r.held_out and r.doc_id in truth]
     assert np.mean([p == t for p, t in held]) > 0.93
     kept = keep_quality(docs, model)
-    assert kept.columns == docs.columns and kept.count() == sum(r.predicted for r in got if (r.doc_id or -9) >= 0)
+    assert kept.columns == docs.columns and kept.count() == sum(r.predicted for r in got if r.doc_id is not None and r.doc_id >= 0)
     # Labels of held-out rows change nothing.
     from factloom.llm.quality import held_out
 
