@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import op8_template_decontamination
 from .html_extract import op1_html_extraction
 from .packing import op10_best_fit_packing
+from .pii import op7_pii
 from .quality import op5_quality_classifier
 from .sentence_dedup import op9_sentence_span_dedup
 from .sharding import op6_jump_hash_sharding
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_url_filter": op4_url_filter,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_jump_hash_sharding": op6_jump_hash_sharding,
+    "op7_pii": op7_pii,
     "op8_template_decontamination": op8_template_decontamination,
     "op9_sentence_span_dedup": op9_sentence_span_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
