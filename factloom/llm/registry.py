@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op8_template_decontamination
+from .embedding_dedup import op2_embedding_dedup
 from .html_extract import op1_html_extraction
 from .packing import op10_best_fit_packing
 from .pii import op7_pii
@@ -13,6 +14,7 @@ from .simhash_dedup import op3_simhash_dedup
 from .url_filter import OP4_SQL, op4_url_filter
 
 QUERIES = {
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op1_html_extraction": op1_html_extraction,
     "op4_url_filter": op4_url_filter,
