@@ -87,7 +87,8 @@ def repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
 
     runs = cut(docs.select(_key(docs).alias("key"), "doc_id", "text").mapInArrow(hashes, f"key long, doc_id {kind}, run long, sentence int"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "sentence")
-    firsts = runs.groupBy("run").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("run", "first")
+    # Written before the join, so that both its sides are plain shuffles and a run that very many documents share can be split.
+    firsts = cut(runs.groupBy("run").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("run", "first"))
     return runs.join(firsts, "run").where(order != F.col("first")).select("key", "doc_id", F.col("first.doc_id").alias("first_doc_id"), "sentence")
 
 
