@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import registry, relational_queries  # noqa: F401  registers its queries
+from .plans import registry, relational_queries, text_queries  # noqa: F401  registers its queries
 
 QUERIES = registry.QUERIES
 ORACLES = registry.ORACLES
@@ -12,4 +12,4 @@ ORACLES = registry.ORACLES
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query that ``entry`` runs."""
-    return QUERIES["nested_lookup"](spark, sf_dir)
+    return QUERIES["clause_concepts"](spark, sf_dir)

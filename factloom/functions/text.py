@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Fixed: characters that end a clause, by locale.
 CLAUSE_BREAKS = {"zh": "。！？；\n", "en": ".!?;\n"}
@@ -27,14 +28,13 @@ def is_zh(locale: str | None) -> bool:
     return (locale or "").lower().startswith("zh")
 
 
-@F.pandas_udf("string")
-def _nfkc(text: pd.Series) -> pd.Series:
+def _composed(text: pd.Series) -> pd.Series:
     return pd.Series([t if t is None or t.isascii() else unicodedata.normalize("NFKC", t) for t in text], dtype=object)
 
 
 def nfkc(c: Column) -> Column:
     """Unicode NFKC; an Arrow UDF, for names and keys rather than whole corpora."""
-    return _nfkc(c)
+    return F.pandas_udf(_composed, StringType())(c)
 
 
 def trim_all(c: Column) -> Column:
