@@ -124,9 +124,10 @@ def _window_edges(classes: DataFrame, passes: int, threshold: float, window: int
 
 def _count_links(members: DataFrame, threshold: float, tile: int) -> DataFrame:
     """(vec, linked): rows of other classes of its component that each class links with; every pair is compared once."""
-    sizes = members.groupBy("component").agg(F.count("*").alias("size"))
+    # Written tables between the steps keep the sides of the joins plain shuffles, so that a large component can be split.
+    sizes = cut(members.groupBy("component").agg(F.count("*").alias("size")))
     dealt = members.join(sizes, "component").withColumn("tile", F.pmod(F.xxhash64("vec"), F.ceil(F.col("size") / tile)))
-    tiles = dealt.groupBy("component", "tile").agg(F.collect_list(F.struct("vec", "copies", "embedding")).alias("rows"))
+    tiles = cut(dealt.repartition("component", "tile").groupBy("component", "tile").agg(F.collect_list(F.struct("vec", "copies", "embedding")).alias("rows")))
     both = tiles.alias("x").join(tiles.alias("y"), (F.col("x.component") == F.col("y.component")) & (F.col("x.tile") <= F.col("y.tile")))
     kind = members.schema["vec"].dataType.simpleString()
 
