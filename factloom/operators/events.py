@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import coordinated, trim_all
-from .spans import inside, near
+from .spans import gather, inside, is_near
 
 #: Fixed: events that take no object; modifiers with their reach before an event (English).
 OBJECTLESS = ("event.birth", "event.death", "event.resurrection", "event.awaken", "event.disappear")
@@ -43,6 +43,11 @@ def object_of(after: Column, concept: Column) -> Column:
     return F.when(~concept.isin(*OBJECTLESS), _blank(trim_all(bare)))
 
 
+def _marked(concept: str, reach: int) -> Column:
+    """Whether a gathered mark of one concept is near the event."""
+    return F.exists("__marks", lambda m: (m["concept_id"] == concept) & is_near(m, F.col("start"), F.col("end"), reach, 2))
+
+
 def assemble(clauses: DataFrame, spans: DataFrame, concepts: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Events (doc, sequence_index, event_concept, subject, object, negated, intended, uncertain, start, end, confidence, produces, ends).
 
@@ -69,8 +74,10 @@ def assemble(clauses: DataFrame, spans: DataFrame, concepts: DataFrame, doc: str
     ev = ev.withColumn("__inherits", F.coalesce(inherits, F.lit(False)))
     own = F.last(F.when(~F.col("__inherits"), F.struct("__object")), ignorenulls=True).over(in_doc.rowsBetween(Window.unboundedPreceding, 0))
     ev = ev.withColumn("object", own["__object"])
+    marks = spans.where(F.col("concept_id").isin(*(c for c, _ in MODIFIERS.values())))
+    ev = ev.join(gather(marks, doc, "concept_id"), doc, "left")
     for flag, (concept, reach) in MODIFIERS.items():
-        ev = near(ev, spans.where(F.col("concept_id") == concept), reach, 2, doc, flag)
+        ev = ev.withColumn(flag, F.coalesce(_marked(concept, reach), F.lit(False)))
     out = ev.withColumn("subject", F.explode("__subjects")).join(concepts, "concept_id", "left")
     modal = F.col("negated") | F.col("intended") | F.col("uncertain")
     sure = F.least(F.lit(1.0), F.col("confidence") + F.when(F.col("subject").isNotNull(), 0.05).otherwise(0) + F.when(F.col("object").isNotNull(), 0.05).otherwise(0) + F.when(modal, 0.02).otherwise(0))

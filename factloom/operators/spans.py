@@ -79,14 +79,21 @@ def drop_less_specific(spans: DataFrame, keys: Sequence[str], seq: str) -> DataF
     return spans.join(o, cond, "left_anti")
 
 
+def gather(marks: DataFrame, doc: str, *columns: str) -> DataFrame:
+    """(doc, __marks): a document's marks in one array, as long as the document has marks."""
+    return marks.groupBy(doc).agg(F.collect_list(F.struct("start", "end", *columns)).alias("__marks"))
+
+
+def is_near(mark: Column, start: Column, end: Column, before: int, after: int) -> Column:
+    """Whether a mark ends at most ``before`` before a span or begins at most ``after`` after it."""
+    return (start - mark["end"]).between(0, before) | (mark["start"] - end).between(0, after)
+
+
 def near(spans: DataFrame, marks: DataFrame, before: int, after: int, doc: str, flag: str) -> DataFrame:
-    """Spans with whether a mark ends at most ``before`` before them or begins at most ``after`` after them."""
-    m = marks.select(F.col(doc).alias("__doc"), F.col("start").alias("__s"), F.col("end").alias("__e"))
-    gap_before, gap_after = F.col("start") - F.col("__e"), F.col("__s") - F.col("end")
-    cond = (F.col(doc) == F.col("__doc")) & (gap_before.between(0, before) | gap_after.between(0, after))
-    hit = spans.join(m, cond, "left_semi").withColumn(flag, F.lit(True))
-    miss = spans.join(m, cond, "left_anti").withColumn(flag, F.lit(False))
-    return hit.unionByName(miss)
+    """Spans with whether a mark of their document is near; one join, the band is tested inside the document's array."""
+    met = spans.join(gather(marks, doc), doc, "left")
+    hit = F.exists("__marks", lambda m: is_near(m, F.col("start"), F.col("end"), before, after))
+    return met.withColumn(flag, F.coalesce(hit, F.lit(False))).drop("__marks")
 
 
 def chains(spans: DataFrame, doc: str, max_gap: int, most: int = 5) -> DataFrame:
