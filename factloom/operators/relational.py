@@ -83,3 +83,72 @@ def stale(documents: DataFrame, worlds: DataFrame, world: str) -> DataFrame:
     content = ~F.col("content_version").eqNullSafe(F.col("synced_version"))
     canon = ~F.col("canon_version").eqNullSafe(F.col("last_canon_version"))
     return met.withColumns({"content_changed": content, "canon_changed": canon, "needs_analysis": content | canon})
+
+
+#: Statuses that a listing may ask for.
+STATUSES = ("pending", "accepted", "ignored", "superseded", "all")
+
+
+def list_suggestions(df: DataFrame, status: str, version: Column | None = None) -> DataFrame:
+    """Rows of one status (pending ones of the given document version only) that have an identifier; the surest first, then the oldest. An unknown status is an error."""
+    if status not in STATUSES:
+        raise ValueError(f"unknown status {status!r}")
+    out = df.where("suggestion_id is not null and suggestion_id != ''")
+    if status != "all":
+        out = out.where(F.col("status") == status)
+    if status == "pending" and version is not None:
+        out = out.where(F.col("document_version") == version)
+    return out.orderBy(F.desc("confidence"), "created_at")
+
+
+def expired(expires_at: Column, now: Column) -> Column:
+    """Whether a deadline has passed; none has always passed."""
+    return F.coalesce(expires_at <= now, F.lit(True))
+
+
+def with_defaults(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
+    """Columns with what stands for null; columns that are missing are added."""
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) if c in df.columns else F.lit(v) for c, v in defaults.items()})
+
+
+def presentation(concepts: DataFrame, labels: DataFrame, locale: str) -> DataFrame:
+    """concepts (concept_id) with label and icon in a locale, else in English, else from the identifier's last part."""
+    own = labels.where(F.col("locale") == locale).select("concept_id", F.col("label").alias("__own"), "icon")
+    en = labels.where("locale = 'en'").select("concept_id", F.col("label").alias("__en"), F.col("icon").alias("__icon"))
+    last = F.initcap(F.regexp_replace(F.element_at(F.split("concept_id", "\\."), -1), "[_-]", " "))
+    met = concepts.join(own, "concept_id", "left").join(en, "concept_id", "left")
+    return met.select(*concepts.columns, F.coalesce("__own", "__en", last).alias("label"), F.coalesce("icon", "__icon").alias("icon"))
+
+
+def json_without_missing(df: DataFrame, columns: Sequence[str], present: Column) -> Column:
+    """JSON of the columns named in the array ``present``; a null among them stays a null."""
+    pairs = [F.when(F.array_contains(present, c), F.concat(F.lit(f'"{c}":'), F.coalesce(F.to_json(F.array(F.col(c))).substr(F.lit(2), F.length(F.to_json(F.array(F.col(c)))) - 2), F.lit("null")))) for c in columns]
+    return F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}"))
+
+
+def distinct_in_order(c: Column) -> Column:
+    """An array without null, empty and repeated values, in its order."""
+    return F.array_distinct(F.filter(c, lambda x: x.isNotNull() & (x != "")))
+
+
+def union_by_start(parts: Sequence[DataFrame], start: str = "start") -> DataFrame:
+    """Candidates of several streams, by where they start; those without a place last."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out.orderBy(F.asc_nulls_last(start))
+
+
+def claim_unowned(worlds: DataFrame, owner: Column) -> DataFrame:
+    """Worlds without an owner get one."""
+    return worlds.withColumn("owner_id", F.coalesce("owner_id", owner))
+
+
+def insert_missing(stored: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """stored and the rows of ``new`` whose keys it lacks, one a key."""
+    return stored.unionByName(new.dropDuplicates(list(keys)).join(stored.select(*keys), list(keys), "left_anti"), allowMissingColumns=True)
+
+
+def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, n) of keys that aren't unique, nulls left out: the check before a snapshot is switched to."""
+    return df.where(" and ".join(f"`{k}` is not null" for k in keys)).groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
