@@ -27,6 +27,17 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Bytes of rows that go to a Python worker at once; whole texts are long, and several batches are in memory.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let the session's Arrow batches hold ``BATCH_BYTES`` at most, unless it has a limit of its own; a longer row is a batch alone."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: the lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession

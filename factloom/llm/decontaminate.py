@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import bounded_batches, read_table
 
 WINDOW = 5
 CONTAINMENT = 0.8
@@ -34,7 +34,7 @@ BLOCK_WINDOWS = 500_000
 #: Words of an item shorter than a window; it is then one window itself.
 LEAST_WORDS = 3
 #: Words that a worker remembers before it forgets all.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 
 #: Fixed lists: unit words and number words.
 UNITS = frozenset("% $ € £ mm cm m km in ft yd mi mg g kg lb oz ml l s sec ms min h hr hrs hour hours minute minutes second seconds day days week weeks month months year years meter meters metre metres kilometer kilometers mile miles foot feet inch inches gram grams kilogram kilograms pound pounds liter liters litre litres dollar dollars cent cents euro euros percent degree degrees mph kmh".split())
@@ -222,6 +222,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cont
     of equal text each give their own rows. Empty tables give an empty result.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id {item_kind}, containment double, first_word int, last_word int, n_slots int"
     out = None
@@ -243,6 +244,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cont
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, containment: float = CONTAINMENT, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """The rows of ``docs`` into which no benchmark item leaks, all columns as they are; one narrow pass a block."""
+    bounded_batches(docs.sparkSession)
     for index in _blocks(benchmark, window, block_windows):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import bounded_batches, read_table
 from .url_filter import split_url
 
 #: A token on this share of a host's pages may belong to its template.
@@ -295,6 +295,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     Repeated rows stay, each with its text. An empty table gives an empty result; other
     columns are ignored. Nothing of an article is cut off, however long.
     """
+    bounded_batches(pages.sparkSession)
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

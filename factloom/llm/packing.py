@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import cut, read_table
+from .common import bounded_batches, cut, read_table
 
 LENGTH = 2048
 #: Documents that may share a sequence.
@@ -91,6 +91,7 @@ def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, with_
     than ``length`` is cut; its first piece takes what is over, the others are full.
     ``row`` is the place in this pass, which tells repeated doc_ids apart.
     """
+    bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

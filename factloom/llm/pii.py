@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, read_table
+from .common import bounded_batches, cut, drop_cut, read_table
 
 #: Kinds in the order of results.
 KINDS = ("email", "ip", "card", "phone")
@@ -143,6 +143,7 @@ def find(docs: DataFrame) -> DataFrame:
                     to.append([{"kind": k, "start": a, "end": e, "instance": _instance(k, text[a:e]), "contexts": contexts(text, k, a, e)} for k, a, e in spans])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, pa.int64()), *(pa.array(x, kind_of) for x in found)], names=[*b.schema.names, "__row", "__base", "__loose"])
 
+    bounded_batches(docs.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", __row long, __base array<{_SPAN}>, __loose array<{_SPAN}>"
     return cut(docs.mapInArrow(run, schema))
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read_table
+from .common import bounded_batches, cut, read_table
 
 #: Labelled rows that a fit sees at most.
 MAX_ROWS = 200_000
@@ -121,6 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
     Several labels of one doc_id are averaged; null labels and ids are left out. Without
     any labelled document every score is 0.5; with one kind only it is near that kind's.
     """
+    bounded_batches(docs.sparkSession)
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.avg(label).alias("y")).withColumn("deal", F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)))
     n = known.count()
     if n > max_rows:
@@ -176,6 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
 
 def score_documents(docs: DataFrame, model: QualityModel) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``, null and empty texts too; repeated rows stay, an empty table gives none."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,6 +190,7 @@ def score_documents(docs: DataFrame, model: QualityModel) -> DataFrame:
 
 def keep_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score ``threshold`` or more, all columns as they are; one narrow pass."""
+    bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("boolean")
     def good(text: pd.Series) -> pd.Series:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read_table
+from .common import bounded_batches, cut, read_table
 
 #: Consecutive sentences to a span.
 RUN = 3
@@ -70,6 +70,7 @@ def repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
 
     First: smallest doc_id (null last), then the smaller text hash, then the earlier place.
     """
+    bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ import re
 import numpy as np
 
 #: Longest chunk that is remembered, and chunks remembered by a worker before it forgets all (about 150 bytes each).
-KEPT_LENGTH, KEPT_CHUNKS = 48, 400_000
+KEPT_LENGTH, KEPT_CHUNKS = 48, 200_000
 
 _CLEAN_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _LOADED: dict[str, "ByteBpe"] = {}
