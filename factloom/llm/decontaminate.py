@@ -30,7 +30,7 @@ from .common import bounded_batches, read_table
 WINDOW = 5
 CONTAINMENT = 0.8
 #: Windows in one broadcast table, about 200 bytes each in a worker.
-BLOCK_WINDOWS = 500_000
+BLOCK_WINDOWS = 200_000
 #: Words of an item shorter than a window; it is then one window itself.
 LEAST_WORDS = 3
 #: Words that a worker remembers before it forgets all.

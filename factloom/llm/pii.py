@@ -185,7 +185,7 @@ def detect(docs: DataFrame, **options) -> DataFrame:
     Counts and base_sha256 are of the base spans; spans are all. Null and empty texts have
     none. Repeated rows stay and are judged alike. An empty table gives an empty result.
     """
-    found = find(docs.select("doc_id", "text").withColumn("text", F.col("text")))
+    found = find(docs.select("doc_id", "text"))
     met = found.drop("text").join(added_spans(found, **options), "__row", "left")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
