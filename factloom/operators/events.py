@@ -48,6 +48,27 @@ def _marked(concept: str, reach: int) -> Column:
     return F.exists("__marks", lambda m: (m["concept_id"] == concept) & is_near(m, F.col("start"), F.col("end"), reach, 2))
 
 
+def disambiguate(ev: DataFrame, types: DataFrame, doc: str = "doc_id", reach: int = 20) -> DataFrame:
+    """Of spans that may be leaving a group or departing from a place, the one that the context means.
+
+    A place and no group within ``reach`` characters to the right: depart. A group: leave.
+    Else leave if the event before was a join, and depart if not. ``types`` holds spans
+    with ``role``: place or group.
+    """
+    w = Window.partitionBy(doc, "start", "end")
+    names = F.collect_set("concept_id").over(w)
+    both = ev.withColumn("__both", F.array_contains(names, "event.leave") & F.array_contains(names, "event.depart"))
+    # What stands before: an ambiguous span is never a join, so its outcome isn't needed.
+    order = Window.partitionBy(doc).orderBy("start")
+    both = both.withColumn("__joined", F.coalesce(F.last(F.when(F.col("concept_id") == "event.join", F.col("start"))).over(order.rangeBetween(Window.unboundedPreceding, -1)).isNotNull(), F.lit(False)))
+    t = types.groupBy(doc).agg(F.collect_list(F.struct("start", "role")).alias("__types"))
+    met = both.join(t, doc, "left")
+    seen = lambda role: F.coalesce(F.exists("__types", lambda x: (x["role"] == role) & (x["start"] - F.col("end")).between(0, reach)), F.lit(False))
+    wanted = F.when(seen("place") & ~seen("group"), "event.depart").when(seen("group"), "event.leave").when(F.col("__joined"), "event.leave").otherwise("event.depart")
+    out = met.withColumn("__want", wanted).where(~F.col("__both") | ~F.col("concept_id").isin("event.leave", "event.depart") | (F.col("concept_id") == F.col("__want")))
+    return out.select(*ev.columns)
+
+
 def assemble(clauses: DataFrame, spans: DataFrame, concepts: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Events (doc, sequence_index, event_concept, subject, object, negated, intended, uncertain, start, end, confidence, produces, ends).
 

@@ -57,3 +57,62 @@ def extract_labeled(spans: DataFrame, clauses: DataFrame, locale: str = "en", do
     value = strip_marks(F.element_at(F.split(F.regexp_replace(right, assigned + (r"[\s：:=]*" if zh else r"[\s:=]*(?:(?:a|an|the)\s+)?"), ""), "[，。！？；]" if zh else r"[,.;!?\n]|\s+(?:and|but|while|because)\s+"), 1))
     out = met.where(right.rlike(assigned)).withColumn("value", value).where((F.col("value") != "") & (F.length("value") <= longest))
     return out.select(doc, "clause_idx", F.col("concept_id").alias("field_concept"), "value", F.col("start").cast("int"), (F.col("end") + F.length("value")).cast("int").alias("end"), F.least(F.lit(0.95), F.col("confidence") + 0.08).alias("confidence"), F.lit("pattern.field-label").alias("extractor"))
+
+
+def extract_roles(spans: DataFrame, clauses: DataFrame, concepts: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Role words as values of the field that their concept names (occupation where it names none)."""
+    from .spans import inside
+
+    met = inside(spans.where("kind = 'role-signal'"), clauses.drop("text"), doc).join(concepts.select("concept_id", "field_concept"), "concept_id", "left")
+    return met.select(doc, "clause_idx", F.coalesce("field_concept", F.lit("field.occupation")).alias("field_concept"), F.col("expression").alias("value"), "start", "end", "confidence", F.lit("pattern.role").alias("extractor"))
+
+
+def extract_direct(spans: DataFrame, clauses: DataFrame, values: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Field words that are values themselves (concept_id, expression), but not inside a longer field span."""
+    from .spans import inside, strictly_larger
+
+    field = inside(spans.where("category = 'fields'"), clauses.drop("text"), doc)
+    larger = field.select(F.col(doc).alias("__d"), F.col("start").alias("__s"), F.col("end").alias("__e"))
+    free = field.join(larger, (F.col(doc) == F.col("__d")) & strictly_larger(F.col("__s"), F.col("__e"), F.col("start"), F.col("end")), "left_anti")
+    kept = free.join(values.select("concept_id", F.lower("expression").alias("expression")), ["concept_id", "expression"], "left_semi")
+    return kept.select(doc, "clause_idx", F.col("concept_id").alias("field_concept"), F.col("expression").alias("value"), "start", "end", "confidence", F.lit("pattern.direct-value").alias("extractor"))
+
+
+def extract_gravity_prefix(spans: DataFrame, clauses: DataFrame, doc: str = "doc_id", reach: int = 12) -> DataFrame:
+    """A number right before a gravity word (1.2G 重力), from the ``reach`` characters before it."""
+    from ..functions.text import gravity_value
+    from .spans import inside
+
+    met = inside(spans.where("concept_id = 'field.gravity'"), clauses.drop("text"), doc).join(clauses.select(doc, "clause_idx", "text"), [doc, "clause_idx"])
+    rel = F.col("start") - F.col("clause_start")
+    left = F.substring(F.col("text"), F.greatest(F.lit(1), rel - reach + 1), F.least(rel, F.lit(reach)))
+    rule = r"(-?\d+(?:\.\d+)?\s*[gG]?)\s*的?\s*$"
+    met = met.withColumn("__n", F.length(F.regexp_extract(left, rule, 0)))
+    return met.withColumn("value", F.regexp_extract(left, rule, 1)).where("value != ''").select(doc, "clause_idx", F.lit("field.gravity").alias("field_concept"), F.trim("value").alias("value"), gravity_value(F.col("value")).alias("measured"), (F.col("start") - F.col("__n")).cast("int").alias("start"), "end", "confidence", F.lit("pattern.gravity-prefix").alias("extractor"))
+
+
+def extract_species(species: DataFrame, compounds: DataFrame, clauses: DataFrame, doc: str = "doc_id", reach: int = 16) -> DataFrame:
+    """Compounds, and single species after a copula in the ``reach`` characters before them, outside compounds."""
+    from .spans import contains, inside
+
+    one = inside(species, clauses.drop("text"), doc).join(clauses.select(doc, "clause_idx", "text"), [doc, "clause_idx"])
+    c = compounds.select(F.col(doc).alias("__d"), F.col("start").alias("__s"), F.col("end").alias("__e"))
+    rel = F.col("start") - F.col("clause_start")
+    left = F.substring(F.col("text"), F.greatest(F.lit(1), rel - reach + 1), F.least(rel, F.lit(reach)))
+    copular = left.rlike(r"(?i)(?:\b(?:is|was|are|were|be|become|becomes|became)(?:\s+(?:a|an|the))?(?:\s+[\w-]+)?\s*$)|(?:是|为|变成|成为)(?:一[只个名位条头])?\s*$")
+    single = one.where(copular).join(c, (F.col(doc) == F.col("__d")) & contains(F.col("__s"), F.col("__e"), F.col("start"), F.col("end")), "left_anti")
+    both = inside(compounds, clauses.drop("text"), doc).select(doc, "clause_idx", "start", "end", F.lit("pattern.compound-species").alias("extractor"))
+    return both.unionByName(single.select(doc, "clause_idx", "start", "end", F.lit("pattern.species").alias("extractor")))
+
+
+def drop_contained_values(candidates: DataFrame, keys: tuple = ("doc_id", "clause_idx", "field_concept"), seq: str = "seq") -> DataFrame:
+    """Candidates of a field without those whose range lies inside another's, or whose value another longer value holds; of equal ranges the surer stays, then the first."""
+    o = candidates.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("start").alias("__s"), F.col("end").alias("__e"), F.lower("value").alias("__v"), F.col("confidence").alias("__c"), F.col(seq).alias("__q"))
+    cond = F.col("__q") != F.col(seq)
+    for k in keys:
+        cond = (F.col(k) == F.col(f"__{k}")) & cond
+    same = (F.col("__s") == F.col("start")) & (F.col("__e") == F.col("end"))
+    inner = (F.col("__s") <= F.col("start")) & (F.col("end") <= F.col("__e")) & ~same
+    longer = (F.length("__v") > F.length("value")) & F.contains(F.col("__v"), F.lower("value"))
+    tie = same & ((F.col("__c") > F.col("confidence")) | ((F.col("__c") == F.col("confidence")) & (F.col("__q") < F.col(seq))))
+    return candidates.join(o, cond & (inner | longer | tie), "left_anti")
