@@ -81,3 +81,50 @@ def closure(concepts: DataFrame) -> DataFrame:
     from ..operators.trees import ancestors
 
     return ancestors(concepts.select(F.col("concept_id").alias("node"), "parent")).select(F.col("node").alias("concept"), "ancestor", "depth")
+
+
+def pack_parts(locale: str, nsfw: bool = False) -> list[tuple[int, str]]:
+    """(overlay, folder) of a pack in reading order: shared, the locale's own, and the two that are read only if asked for."""
+    return [(k, p.format(locale=locale)) for k, p in enumerate(OVERLAYS, start=1) if nsfw or not p.startswith("nsfw")]
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def read_locale(spark: SparkSession, root: str, locale: str) -> DataFrame:
+    """All matchable categories of a locale; each file must exist."""
+    return union([read_category(spark, f"{root}/{locale}/{c}.json", locale, c) for c in MATCHABLE])
+
+
+def read_pack(spark: SparkSession, root: str, pack: str, locale: str, nsfw: bool = False) -> DataFrame:
+    """All overlays of a pack, in order; categories that an overlay doesn't have are left out, and a pack without files is empty."""
+    parts = [read_category(spark, f"{root}/packs/{pack}/{p}/{c}.json", locale, c, pack, k) for k, p in pack_parts(locale, nsfw) for c in MATCHABLE if _there(spark, f"{root}/packs/{pack}/{p}/{c}.json")]
+    return union(parts) if parts else spark.createDataFrame([], SCHEMA)
+
+
+def build(spark: SparkSession, root: str, locale: str, packs: Sequence[str] = (), nsfw: bool = False) -> DataFrame:
+    """The base lexicon of a locale and the packs that exist."""
+    return union([read_locale(spark, root, locale), *(read_pack(spark, root, p, locale, nsfw) for p in dict.fromkeys(packs))])
+
+
+def aliases(lexicon: DataFrame, concept: str) -> list[str]:
+    """A concept's expressions, the base lexicon's first, each once."""
+    rows = lexicon.where((F.col("concept_id") == concept) & (F.col("evidence_type") == "alias")).select("overlay", F.expr("case strength when 'strong' then 0 when 'normal' then 1 else 2 end").alias("s"), "expression").orderBy("overlay", "s", "expression").collect()
+    return list(dict.fromkeys(r.expression for r in rows))
+
+
+def type_concepts(types: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """types (type_id, name, concept) with type_concept: the bound one, else that of the only concept with the name for an alias."""
+    from ..functions.text import label_form
+
+    named = lexicon.where("category = 'entityTypes'").select(label_form(F.col("expression"), False).alias("__n"), "concept_id").distinct().groupBy("__n").agg(F.count("*").alias("n"), F.min("concept_id").alias("__c")).where("n = 1")
+    met = types.withColumn("__n", label_form(F.col("name"), False)).join(named.select("__n", "__c"), "__n", "left")
+    return met.select(*types.columns, F.coalesce("concept", "__c").alias("type_concept"))
+
+
+def read_codes(spark: SparkSession, path: str) -> DataFrame:
+    """(code, enabled, max_uses) of a JSON file {"codes": [{code, enabled, maxUses}]}: enabled unless false, unlimited unless maxUses is a number."""
+    rows = spark.read.schema("codes array<struct<code:string,enabled:boolean,maxUses:string>>").json(path, multiLine=True).select(F.explode("codes").alias("c"))
+    return rows.select(F.trim("c.code").alias("code"), F.coalesce("c.enabled", F.lit(True)).alias("enabled"), F.col("c.maxUses").try_cast("long").alias("max_uses")).where("code != ''")

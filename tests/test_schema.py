@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from factloom.operators import matching, schema
+from factloom.operators import matching, relational, schema, suggest
 from factloom.functions import text
 
 
@@ -43,3 +43,12 @@ def test_plural_words(spark):
     species = spark.createDataFrame([("wolf", "s.wolf", 1.0), ("fox", "s.fox", 0.75), ("dragon", "s.dragon", 1.0)], "expression string, concept_id string, confidence double")
     got = matching.plural_spans(matching.tokens(docs), species, text.singular).collect()
     assert sorted((r.token, r.start, r.end, r.concept_id, round(r.confidence, 2)) for r in got) == [("Wolves", 0, 6, "s.wolf", 0.95), ("foxes", 11, 16, "s.fox", 0.7)]
+
+
+def test_payloads_keep_null_and_drop_missing(spark):
+    df = spark.createDataFrame([("field-update", "e", None, "k", None, 'a"b', "ready"), ("create-entity", None, None, None, None, None, "informational")], "kind string, target_entity_id string, target_draft_key string, field_key string, field_concept string, value string, status string")
+    got = [r.x for r in df.select(relational.json_without_missing(df, ["value", "field_key"], F.array(F.lit("value"))).alias("x")).collect()]
+    assert got == ['{"value":"a\\"b"}', '{"value":null}']
+    assert df.select(suggest.payload(df).alias("x")).first().x == '{"target_entity_id":"e","target_draft_key":null,"field_key":"k","field_concept":null,"value":"a\\"b"}'
+    stored, skipped = suggest.split_informational(df)
+    assert [r.kind for r in stored.collect()] == ["field-update"] and skipped.count() == 1
