@@ -20,6 +20,8 @@ CLAUSE_BREAKS = {"zh": "。！？；\n", "en": ".!?;\n"}
 IRREGULAR_PLURALS = {"wolves": "wolf", "foxes": "fox", "elves": "elf", "dwarves": "dwarf", "mice": "mouse", "geese": "goose", "deer": "deer", "sheep": "sheep", "species": "species"}
 #: Fixed: lower-case words that may stand inside a name.
 NAME_CONNECTORS = ("of", "the", "de", "da", "del", "la", "le", "van", "von", "di")
+#: Fixed: words that open a sentence without being part of a name.
+DISCOURSE_WORDS = "then|later|afterward|afterwards|finally|eventually|subsequently|initially|first|firstly|meanwhile|previously|but|however|therefore|thus|so|yet"
 #: White space as JavaScript and Python see it; Java's own class is narrower.
 SPACE = r"[\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 
@@ -167,8 +169,7 @@ def strip_outer(c: Column) -> Column:
 
 def strip_discourse_prefix(c: Column) -> Column:
     """Without leading discourse words such as later, finally, but."""
-    words = "then|later|afterward|afterwards|finally|eventually|subsequently|initially|first|firstly|meanwhile|previously|but|however|therefore|thus|so|yet"
-    return trim_all(F.regexp_replace(collapse_space(c), rf"(?i)^(?:(?:{words})\s*,?\s+)+", ""))
+    return trim_all(F.regexp_replace(collapse_space(c), rf"(?i)^(?:(?:{DISCOURSE_WORDS})\s*,?\s+)+", ""))
 
 
 def coordinated(c: Column) -> Column:

@@ -20,6 +20,9 @@ from .spans import inside
 _NAME = r"[A-Z][A-Za-z0-9'’-]*(?:\s+[A-Z][A-Za-z0-9'’-]*){0,2}"
 #: Fixed: fields that say better than a relation what it says.
 PREFERRED_FIELDS = {"relation.from": "field.hometown", "relation.origin": "field.hometown", "relation.member_of": "field.affiliation", "relation.works_for": "field.affiliation", "relation.affiliated_with": "field.affiliation", "relation.lives_in": "field.residence", "relation.resides_in": "field.residence"}
+#: Fixed: auxiliaries that may stand between a subject and its trigger; pronouns that may be one.
+AUXILIARIES = "is|was|are|were|has|have|had|uses|used|received|underwent|became|comes|came|lives|lived"
+SUBJECT_PRONOUNS = "He|She|It|They|His|Her|Its|Their"
 #: Fixed: what a resolved pronoun says about its subject, and how surely.
 PRONOUNS = {"he": ("male", 0.93), "him": ("male", 0.90), "his": ("male", 0.93), "himself": ("male", 0.93), "she": ("female", 0.93), "her": ("female", 0.90), "hers": ("female", 0.93), "herself": ("female", 0.93), "他": ("male", 0.93), "他的": ("male", 0.93), "她": ("female", 0.93), "她的": ("female", 0.93)}
 #: Fixed: weights of type evidence: an expected type; lexical by strength; an earlier inference; memory by its sources; stored entities; fit and misfit with what is expected.
@@ -29,8 +32,8 @@ EXPECTED, LEXICAL, PRIOR, MEMORY, MEMORY_SOURCES, STORED, FITS, MISFIT = 0.72, {
 def subject_left(before: Column, structural_tail: Column) -> Column:
     """The subject left of a trigger: a name right after the nearest type or role word, a name before an auxiliary, a pronoun, the clause's first name."""
     get = lambda c, p: F.nullif(F.regexp_extract(c, p, 1), F.lit(""))
-    verb = rf"(?i)^\s*((?-i:{_NAME}))\s+(?:is|was|are|were|has|have|had|uses|used|received|underwent|became|comes|came|lives|lived)\s+(?:a|an|the)?\s*$"
-    return F.coalesce(get(structural_tail, rf"^\s*({_NAME})"), get(before, verb), get(before, r"(?:^|\s)(He|She|It|They|His|Her|Its|Their)\b[^.!?;]*$"), get(before, rf"^\s*({_NAME})\b"))
+    verb = rf"(?i)^\s*((?-i:{_NAME}))\s+(?:{AUXILIARIES})\s+(?:a|an|the)?\s*$"
+    return F.coalesce(get(structural_tail, rf"^\s*({_NAME})"), get(before, verb), get(before, rf"(?:^|\s)({SUBJECT_PRONOUNS})\b[^.!?;]*$"), get(before, rf"^\s*({_NAME})\b"))
 
 
 def extract_relations(spans: DataFrame, clauses: DataFrame, doc: str = "doc_id") -> DataFrame:

@@ -25,6 +25,9 @@ RULES = {
     ),
 }
 PATTERN_CONFIDENCE = 0.98
+#: Fixed: what makes a field word a label, and where its value ends.
+ASSIGNED = {"en": r"(?i)^\s*(?:(?:is|are|was|were|has|have)\b|:|=)", "zh": r"^\s*(?:是|为|叫|有|：|:|=|很|较|比较|约为|大约为)"}
+VALUE_ENDS = {"en": r"[,.;!?\n]|\s+(?:and|but|while|because)\s+", "zh": "[，。！？；]"}
 
 
 def first_match(text: Column, pattern: str) -> Column:
@@ -53,8 +56,8 @@ def extract_labeled(spans: DataFrame, clauses: DataFrame, locale: str = "en", do
     zh = is_zh(locale)
     met = inside(spans.where("category = 'fields'").where(~F.col("concept_id").isin("field.age", "field.birthplace", "field.species")), clauses.drop("text"), doc).join(clauses.select(doc, "clause_idx", "text"), [doc, "clause_idx"])
     right = F.substring(F.col("text"), F.col("end") - F.col("clause_start") + 1, F.lit(30 if zh else 60))
-    assigned = r"^\s*(?:是|为|叫|有|：|:|=|很|较|比较|约为|大约为)" if zh else r"(?i)^\s*(?:(?:is|are|was|were|has|have)\b|:|=)"
-    value = strip_marks(F.element_at(F.split(F.regexp_replace(right, assigned + (r"[\s：:=]*" if zh else r"[\s:=]*(?:(?:a|an|the)\s+)?"), ""), "[，。！？；]" if zh else r"[,.;!?\n]|\s+(?:and|but|while|because)\s+"), 1))
+    assigned, ends = (d["zh" if zh else "en"] for d in (ASSIGNED, VALUE_ENDS))
+    value = strip_marks(F.element_at(F.split(F.regexp_replace(right, assigned + (r"[\s：:=]*" if zh else r"[\s:=]*(?:(?:a|an|the)\s+)?"), ""), ends), 1))
     out = met.where(right.rlike(assigned)).withColumn("value", value).where((F.col("value") != "") & (F.length("value") <= longest))
     return out.select(doc, "clause_idx", F.col("concept_id").alias("field_concept"), "value", F.col("start").cast("int"), (F.col("end") + F.length("value")).cast("int").alias("end"), F.least(F.lit(0.95), F.col("confidence") + 0.08).alias("confidence"), F.lit("pattern.field-label").alias("extractor"))
 
