@@ -1,7 +1,9 @@
 """Substring deduplication by sliding sentence spans (operator 9).
 
-Every run of ``run`` consecutive sentences is hashed; runs join globally by hash, and a
-sentence covered by a run that is not the first of its kind goes. Only 8-byte hashes
+Every run of ``run`` consecutive sentences is hashed, and every shorter one that reaches
+``min_words`` words; runs join globally by hash, and a sentence covered by a run that is
+not the first of its kind goes. Sentences of over ``LONG`` words are parted where their own
+words say so, so 51 shared words hold ``MIN_WORDS`` words of whole pieces wherever they start. Only 8-byte hashes
 with their document's key and the sentence's number are shuffled. The first of each
 repeated run comes from a pre-aggregated minimum; the way back to a run's occurrences
 is an equi-join whose large side adaptive execution can split, so a passage that a
@@ -26,38 +28,106 @@ from .common import bounded_batches, cut, read_table
 RUN = 3
 #: Words that a stretch of repeated sentences has at least; shorter echoes ("Yes. No. Well.") stay.
 MIN_WORDS = 25
+#: Words of a piece at most; the words among which the one with the least hash starts a new piece.
+LONG, AMONG = 13, 12
+#: Word hashes that a worker remembers before it forgets all.
+KEPT_WORDS = 200_000
 
-# A sentence here is the stretch up to a mark (. ! ? … ; : ,) and white space, a line break, or
+# A sentence here is the stretch up to a mark (. ! ? … ; : ,) and white space, a CJK mark, a line break, or
 # a capitalised word after a lower-case letter: a passage pasted into running text starts there.
 # Splitting long sentences at their commas lets three in a row cover a passage nearly to its ends.
-_BREAK = re.compile(r"(?<=[.!?…。！？,;:])\s+|\n\s*|(?<=[a-zß-öø-ÿ])\s+(?=[A-ZÀ-ÖØ-Þ](?:[a-zß-öø-ÿ]|\s+[a-zß-öø-ÿ]))")
+_BREAK = re.compile(r"(?<=[.!?…。！？,;:])\s+|(?<=[。！？；：，、])(?=[^\s。！？；：，、])|\n\s*|(?<=[a-zß-öø-ÿ])\s+(?=[A-ZÀ-ÖØ-Þ](?:[a-zß-öø-ÿ]|\s+[a-zß-öø-ÿ]))")
+
+
+# Scripts without spaces: each character counts as a word.
+_CJK = r"\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_ONE_CJK, _WORD = re.compile(f"[{_CJK}]"), re.compile(f"[{_CJK}]|[^\\s{_CJK}]+")
+
+
+class _Hashes(dict):
+    """Word to its hash, remembered."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word.lower())
+        return h
+
+
+_HASHES = _Hashes()
+
+
+def _words(text: str) -> list[str]:
+    return text.split() if text.isascii() or not _ONE_CJK.search(text) else _WORD.findall(text)
+
+
+def _parts(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """A sentence parted before each word that has the least hash of ``AMONG`` neighbours: the same words part alike in any surroundings."""
+    words = _words(text[a:b])
+    if len(words) <= LONG:
+        return [(a, b)]
+    hashes = list(map(_HASHES.__getitem__, words))
+    least, picked = -1, []
+    for k in range(len(hashes) - AMONG + 1):
+        end = k + AMONG - 1
+        if least >= k:
+            if hashes[least] <= hashes[end]:
+                continue
+            least = end
+        else:
+            near = hashes[k : end + 1]
+            least = end - near[::-1].index(min(near))
+        if least > 0:
+            picked.append(least)
+    places, at, out = [m.span() for m in _WORD.finditer(text, a, b)], a, []
+    for k in picked:
+        out.append((at, places[k - 1][1]))
+        at = places[k][0]
+    return [*out, (at, b)]
 
 
 def sentences(text: str | None) -> list[tuple[int, int]]:
-    """(start, end) of each sentence, in code points; blank ones are left out."""
+    """(start, end) of each sentence or part of a long one, in code points; blank ones are left out."""
     out, at = [], 0
     if not text:
         return out
-    for m in _BREAK.finditer(text):
-        if m.start() > at and not text[at : m.start()].isspace():
-            out.append((at, m.start()))
-        at = m.end()
-    if at < len(text) and not text[at:].isspace():
-        out.append((at, len(text)))
+    for start, end in [*((m.start(), m.end()) for m in _BREAK.finditer(text)), (len(text), len(text))]:
+        if start > at and not text[at:start].isspace():
+            if start - at > LONG:
+                out += _parts(text, at, start)
+            else:
+                out.append((at, start))
+        at = end
     return out
 
 
-def _run_hashes(text: str, spans: list[tuple[int, int]], run: int) -> list[int]:
-    """Signed hash of each run of sentences, compared without case and spacing."""
+def _runs(text: str, spans: list[tuple[int, int]], run: int, min_words: int = MIN_WORDS) -> list[tuple[int, int, int]]:
+    """(first sentence, sentences, signed hash) of each run, compared without case and spacing.
+
+    Runs of ``run`` sentences, and from each sentence the run up to ``min_words`` words if that is shorter.
+    """
     digest = xxhash.xxh64_intdigest
-    one = np.array([digest(" ".join(text[a:b].lower().split())) for a, b in spans], np.uint64)
-    if len(one) < run:
-        return []
-    # A polynomial over the sentences' hashes, modulo 2^64.
-    out = np.zeros(len(one) - run + 1, np.uint64)
-    for k in range(run):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + one[k : len(one) - run + 1 + k]
-    return out.view(np.int64).tolist()
+    pieces = [text[a:b].lower().split() for a, b in spans]
+    one = np.array([digest(" ".join(x)) for x in pieces], np.uint64)
+    mix = np.uint64(0x9E3779B97F4A7C15)
+    out = []
+    if len(one) >= run:
+        # A polynomial over the sentences' hashes, modulo 2^64.
+        whole = np.zeros(len(one) - run + 1, np.uint64)
+        for k in range(run):
+            whole = whole * mix + one[k : len(one) - run + 1 + k]
+        out = [(k, run, h) for k, h in enumerate(whole.view(np.int64).tolist())]
+    spaced = text.isascii() or not _ONE_CJK.search(text)
+    counts = np.array([len(x) if spaced else len(_WORD.findall(" ".join(x))) for x in pieces], np.int64)
+    words, short, open_ = np.zeros(len(one), np.int64), np.zeros(len(one), np.uint64), np.ones(len(one), bool)
+    for n in range(1, min(run, len(one) + 1)):
+        last = len(one) - n + 1
+        words[:last] += counts[n - 1 :]
+        short[:last] = short[:last] * mix + one[n - 1 :]
+        full = np.flatnonzero(open_[:last] & (words[:last] >= min_words))
+        open_[full] = False
+        out += zip(full.tolist(), [n] * len(full), short[full].view(np.int64).tolist())
+    return out
 
 
 def _key(docs: DataFrame):
@@ -65,8 +135,8 @@ def _key(docs: DataFrame):
     return F.xxhash64("doc_id", "text")
 
 
-def repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """(key, doc_id, first_doc_id, sentence): the runs, by their first sentence's number, that are not the first of their kind.
+def repeated_runs(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
+    """(key, doc_id, first_doc_id, sentence, n): the runs, by their first sentence's number and how many they are, that are not the first of their kind.
 
     First: smallest doc_id (null last), then the smaller text hash, then the earlier place.
     """
@@ -75,29 +145,30 @@ def repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, runs, places = [], [], []
+            rows, runs, places, sizes = [], [], [], []
             for k, text in enumerate(b.column("text")):
                 text = text.as_py()
                 if text:
-                    got = _run_hashes(text, sentences(text), run)
+                    got = _runs(text, sentences(text), run, min_words)
                     rows += [k] * len(got)
-                    runs += got
-                    places += range(len(got))
+                    places += [x[0] for x in got]
+                    sizes += [x[1] for x in got]
+                    runs += [x[2] for x in got]
             at = pa.array(rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("key").take(at), b.column("doc_id").take(at), pa.array(runs, pa.int64()), pa.array(places, pa.int32())], names=["key", "doc_id", "run", "sentence"])
+            yield pa.RecordBatch.from_arrays([b.column("key").take(at), b.column("doc_id").take(at), pa.array(runs, pa.int64()), pa.array(places, pa.int32()), pa.array(sizes, pa.int32())], names=["key", "doc_id", "run", "sentence", "n"])
 
-    runs = cut(docs.select(_key(docs).alias("key"), "doc_id", "text").mapInArrow(hashes, f"key long, doc_id {kind}, run long, sentence int"))
+    runs = cut(docs.select(_key(docs).alias("key"), "doc_id", "text").mapInArrow(hashes, f"key long, doc_id {kind}, run long, sentence int, n int"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "sentence")
     # Written before the join, so that both its sides are plain shuffles and a run that very many documents share can be split.
-    firsts = cut(runs.groupBy("run").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("run", "first"))
-    return runs.join(firsts, "run").where(order != F.col("first")).select("key", "doc_id", F.col("first.doc_id").alias("first_doc_id"), "sentence")
+    firsts = cut(runs.groupBy("run").agg(F.min(order).alias("first"), F.count("*").alias("times")).where("times > 1").select("run", "first"))
+    return runs.join(firsts, "run").where(order != F.col("first")).select("key", "doc_id", F.col("first.doc_id").alias("first_doc_id"), "sentence", "n")
 
 
-def _drop(text: str, starts: list[int], run: int, min_words: int) -> tuple[str, list[list[int]], int]:
-    """The text without the sentences of those runs, what went as [start, end], and how many sentences."""
+def _drop(text: str, runs: list[tuple[int, int]], min_words: int) -> tuple[str, list[list[int]], int]:
+    """The text without the sentences of those runs (first sentence, sentences), what went as [start, end], and how many sentences."""
     spans, hit = sentences(text), set()
-    for s in starts:
-        hit.update(range(s, s + run))
+    for s, size in runs:
+        hit.update(range(s, s + size))
     gone, k, n = [], 0, 0
     while k < len(spans):
         if k not in hit:
@@ -106,7 +177,7 @@ def _drop(text: str, starts: list[int], run: int, min_words: int) -> tuple[str,
         e = k
         while e + 1 < len(spans) and e + 1 in hit:
             e += 1
-        if len(text[spans[k][0] : spans[e][1]].split()) >= min_words:
+        if len(_words(text[spans[k][0] : spans[e][1]])) >= min_words:
             # Up to the next sentence, so that no doubled gap is left.
             gone.append([spans[k][0], spans[e + 1][0] if e + 1 < len(spans) else len(text)])
             n += e - k + 1
@@ -118,9 +189,9 @@ def _drop(text: str, starts: list[int], run: int, min_words: int) -> tuple[str,
     return "".join([*out, text[at:]]), gone, n
 
 
-def _hits(docs: DataFrame, run: int) -> DataFrame:
-    """(key, starts, first_doc_ids) of the documents that hold repeated runs."""
-    return repeated_runs(docs, run).groupBy("key").agg(F.array_sort(F.collect_set("sentence")).alias("starts"), F.array_sort(F.collect_set("first_doc_id")).alias("first_doc_ids"))
+def _hits(docs: DataFrame, run: int, min_words: int) -> DataFrame:
+    """(key, runs, first_doc_ids) of the documents that hold repeated runs."""
+    return repeated_runs(docs, run, min_words).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("sentence", "n"))).alias("runs"), F.array_sort(F.collect_set("first_doc_id")).alias("first_doc_ids"))
 
 
 def repeated_passages(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
@@ -129,16 +200,16 @@ def repeated_passages(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORD
     removed: array of (start, end) code points; first_doc_ids: documents that keep what
     goes here (its own doc_id if a passage repeats inside it); text: what is left.
     Rows equal in doc_id and text are one document, cleaned alike. Null and empty texts
-    and texts of fewer than ``run`` sentences lose nothing. An empty table gives none.
+    and texts of fewer than ``min_words`` words lose nothing. An empty table gives none.
     """
-    met = docs.select(_key(docs).alias("key"), "doc_id", "text").join(_hits(docs, run), "key")
+    met = docs.select(_key(docs).alias("key"), "doc_id", "text").join(_hits(docs, run, min_words), "key")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, texts, gone, counts = [], [], [], []
             for k in range(b.num_rows):
-                left, cut_out, n = _drop(b.column("text")[k].as_py(), b.column("starts")[k].as_py(), run, min_words)
+                left, cut_out, n = _drop(b.column("text")[k].as_py(), [(x["sentence"], x["n"]) for x in b.column("runs")[k].as_py()], min_words)
                 if cut_out:
                     rows.append(k)
                     texts.append(left)
@@ -148,18 +219,18 @@ def repeated_passages(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORD
             spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("first_doc_ids").take(at), pa.array(counts, pa.int32()), pa.array(gone, spans), pa.array(texts, pa.string())], names=["doc_id", "first_doc_ids", "n_sentences", "removed", "text"])
 
-    return met.select("doc_id", "text", "starts", "first_doc_ids").mapInArrow(clean, f"doc_id {kind}, first_doc_ids array<{kind}>, n_sentences int, removed array<struct<start:bigint,end:bigint>>, text string")
+    return met.select("doc_id", "text", "runs", "first_doc_ids").mapInArrow(clean, f"doc_id {kind}, first_doc_ids array<{kind}>, n_sentences int, removed array<struct<start:bigint,end:bigint>>, text string")
 
 
 def remove_repeats(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
     """All rows and columns of ``docs``, with repeated passages cut out of text."""
 
     @F.pandas_udf("string")
-    def clean(text: pd.Series, starts: pd.Series) -> pd.Series:
-        return pd.Series([t if s is None else _drop(t, list(s), run, min_words)[0] for t, s in zip(text, starts)], dtype=object)
+    def clean(text: pd.Series, starts: pd.Series, sizes: pd.Series) -> pd.Series:
+        return pd.Series([t if s is None else _drop(t, list(zip(s, n)), min_words)[0] for t, s, n in zip(text, starts, sizes)], dtype=object)
 
-    met = docs.withColumn("__key", _key(docs)).join(_hits(docs, run).select(F.col("key").alias("__key"), F.col("starts").alias("__starts")), "__key", "left")
-    return met.withColumn("text", clean("text", "__starts")).select(*docs.columns)
+    met = docs.withColumn("__key", _key(docs)).join(_hits(docs, run, min_words).select(F.col("key").alias("__key"), F.col("runs.sentence").alias("__starts"), F.col("runs.n").alias("__sizes")), "__key", "left")
+    return met.withColumn("text", clean("text", "__starts", "__sizes")).select(*docs.columns)
 
 
 def op9_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

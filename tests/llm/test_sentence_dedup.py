@@ -55,3 +55,15 @@ def test_matches_plain_version(spark):
         t = texts[r.doc_id]
         assert len(r.text) == len(t) - sum(s.end - s.start for s in r.removed) and r.first_doc_ids and r.n_sentences >= RUN
     assert repeated_passages(docs.limit(0)).count() == 0
+
+
+def test_long_sentences_and_cjk_repeat_too(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(4, 8)))
+    one, edge = [" ".join(word() for _ in range(60)) for _ in range(2)]
+    han = "。".join("".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(9)) for _ in range(6)) + "。"
+    # A copy of a sentence without marks; 51 words between other words, never a whole sentence; Chinese without spaces.
+    rows = [(1, one), (2, one), (3, "x " + edge + " y"), (4, " ".join([word() for _ in range(20)] + edge.split()[4:55] + [word() for _ in range(20)])), (5, han), (6, han + "新的句子。"), (7, "short copy"), (8, "short copy")]
+    left = {r.doc_id: r.text for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left[1] == one and left[2] == "" and left[3] == rows[2][1] and left[5] == han and left[6] == "新的句子。"
+    assert len(left[4].split()) <= 91 - MIN_WORDS and left[7] == left[8] == "short copy"
