@@ -16,8 +16,9 @@ a passage that many documents share costs each of them its own windows only.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -174,13 +175,36 @@ class TemplateIndex:
 
 
 def _chains(found: list[tuple[int, int]], reach: int) -> Iterator[list[tuple[int, int]]]:
-    """Hits in document order, parted where the item starts over or the next hit is out of reach."""
+    """Hits in document order, parted where the item starts over or the next hit is out of reach.
+
+    The item's first window may recur in it: the item starts over only where no hit at the
+    same word goes on along the chain's diagonals (document's word less item's word).
+    """
     chain: list[tuple[int, int]] = []
-    for p, q in found:
-        if chain and (p - chain[-1][0] > reach or (q == 0 and chain[-1][0] != p and chain[-1][1] > 0) or p - q - (chain[0][0] - chain[0][1]) > reach):
-            yield chain
-            chain = []
-        chain.append((p, q))
+    weights: Counter = Counter()
+    diagonal = last = main = 0
+    for p, group in groupby(found, key=lambda hit: hit[0]):
+        places = [q for _, q in group]
+        if chain:
+            nearest = min(places, key=lambda q: (abs(p - q - diagonal), q))
+            ahead = [q for q in places if q > last and p - q - diagonal <= reach]
+            goes_on = bool(ahead) or any(q and p - q in (diagonal, main) for q in places)
+            if p - chain[-1][0] > reach or p - nearest - (chain[0][0] - chain[0][1]) > reach or (places[0] == 0 and last > 0 and not goes_on):
+                yield chain
+                chain, weights = [], Counter()
+            elif p - nearest == diagonal:
+                last = nearest
+            elif ahead:
+                last = min(ahead, key=lambda q: (abs(p - q - diagonal), q))
+                diagonal = p - last
+        if not chain:
+            last = places[0]
+            main = diagonal = p - last
+        for q in places:
+            chain.append((p, q))
+            weights[p - q] += 1
+            if weights[p - q] > weights[main]:
+                main = p - q
     if chain:
         yield chain
 
@@ -188,7 +212,7 @@ def _chains(found: list[tuple[int, int]], reach: int) -> Iterator[list[tuple[int
 def _consistent(chain, n, codes, words, place, own, own_words, own_place) -> int | None:
     """How many placeholders the chain aligns; None if their values don't map one to one."""
     there, back, pairs = {}, {}, set()
-    main = np.median([p - q for p, q in chain])
+    main = Counter(p - q for p, q in chain).most_common(1)[0][0]
     for p, q in chain:
         if abs(p - q - main) > 2:
             continue  # a window that occurs elsewhere in the item as well

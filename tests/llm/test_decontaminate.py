@@ -65,3 +65,13 @@ def test_tables_with_nulls_and_none(spark):
     assert got == [(0, 0), (0, 5), (1, 0), (1, 0), (1, 5), (1, 5)]
     assert find_leaks(docs, items.limit(0)).count() == 0 and find_leaks(docs.limit(0), items).count() == 0
     assert drop_contaminated(docs, items).count() == 2
+
+
+def test_first_window_recurs_in_the_item():
+    item = "Tom has 5 apples and Ann has 7 apples and Bob has 9 apples and they eat them all today."
+    for text in (item, "Some words before it. " + item + " And after it.", item + " " + item, "He said: " + item.replace("all today", "all today now")):
+        assert leaks(text, item)[0][0] == 9, text
+    assert leaks(item, item)[0][1] == 1.0
+    # Half of the item and then all of it.
+    assert leaks(" ".join(item.split()[:9]) + " " + item, item)[0][1] == 1.0
+    assert not leaks(" ".join(item.split()[:9]), item)
