@@ -5,9 +5,10 @@ placeholders. Windows of five such words of every benchmark item form a hash tab
 documents probe it (a broadcast hash join: the table is built in blocks of at most
 ``BLOCK_WINDOWS`` windows, each block a pass, so the broadcast is bounded whatever the
 benchmark's size). Hits are chained along the item; a chain that holds at least
-``CONTAINMENT`` of the item's windows, and whose placeholders were filled consistently
-(one value of the document for one of the item, and the reverse), is a leak: a copy,
-or the same question with other parameters.
+``CONTAINMENT`` of the item's windows is a leak if it holds that share of the item's own
+words as well (a copy, whatever was edited in it), or if its placeholders were filled
+consistently (the same question with other parameters): a name of the item has one value
+in the document, and so has a number before the same word.
 
 A document is judged alone in one narrow pass: nothing is shuffled, no key is hot, and
 a passage that many documents share costs each of them its own windows only.
@@ -166,8 +167,8 @@ class TemplateIndex:
             for chain in _chains(sorted(found), 2 * len(own)):
                 share = len({q for _, q in chain}) / total
                 if share >= containment and (best is None or share > best[1]):
-                    slots = _consistent(chain, n, codes, words, place, own, own_words, own_place)
-                    if slots is not None:
+                    slots, agree = _slots(chain, n, codes, words, place, own, own_words, own_place)
+                    if agree or _literal(own_words, words[place[chain[0][0]] - n if place[chain[0][0]] > n else 0 : place[min(chain[-1][0] + n, len(place) - 1)] + n], self.window) >= containment:
                         best = (item_id, share, int(place[chain[0][0]]), int(place[min(chain[-1][0] + n, len(place)) - 1]), slots)
             if best:
                 out.append(best)
@@ -209,19 +210,46 @@ def _chains(found: list[tuple[int, int]], reach: int) -> Iterator[list[tuple[int
         yield chain
 
 
-def _consistent(chain, n, codes, words, place, own, own_words, own_place) -> int | None:
-    """How many placeholders the chain aligns; None if their values don't map one to one."""
+def _slots(chain, n, codes, words, place, own, own_words, own_place) -> tuple[int, bool]:
+    """How many placeholders the chain aligns, and whether their values agree.
+
+    A name has one value, both ways. A number has one value before the same word ("3 apples"
+    twice), but may have two before different ones; two numbers may get the same value,
+    except in runs of placeholders, where nothing else tells a list from any other.
+    """
     there, back, pairs = {}, {}, set()
     main = Counter(p - q for p, q in chain).most_common(1)[0][0]
     for p, q in chain:
         if abs(p - q - main) > 2:
             continue  # a window that occurs elsewhere in the item as well
         pairs.update((p + k, q + k) for k in range(n) if own[q + k] in (NUM, NAME) and codes[p + k] == own[q + k])
+    agree = True
     for p, q in sorted(pairs):
-        x, y = _EDGES.sub("", own_words[own_place[q]]).lower(), _EDGES.sub("", words[place[p]]).lower()
-        if there.setdefault((own[q], x), y) != y or back.setdefault((own[q], y), x) != x:
-            return None
-    return len(pairs)
+        x, y = _bare(own_words[own_place[q]]), _bare(words[place[p]])
+        after = None
+        if own[q] == NUM:
+            after = _bare(own_words[own_place[q + 1]]) if q + 1 < len(own) and own[q + 1] not in (NUM, NAME) else ""
+        agree &= there.setdefault((own[q], x, after), y) == y
+        if not after:
+            agree &= back.setdefault((own[q], y), x) == x
+    return len(pairs), agree
+
+
+def _bare(word: str) -> str:
+    return _EDGES.sub("", word).lower()
+
+
+def _literal(own_words: list[str], words: list[str], window: int) -> float:
+    """Share of the item's windows of plain words that a stretch of a text holds."""
+
+    def grams(source: list[str]) -> set:
+        bare = [w for w in map(_bare, source) if w]
+        n = min(window, len(own))
+        return {tuple(bare[k : k + n]) for k in range(len(bare) - n + 1)}
+
+    own = [w for w in map(_bare, own_words) if w]
+    mine = grams(own_words)
+    return len(mine & grams(words)) / len(mine) if mine else 0.0
 
 
 def _blocks(benchmark: DataFrame, window: int, block_windows: int) -> Iterator[TemplateIndex]:

@@ -75,3 +75,18 @@ def test_first_window_recurs_in_the_item():
     # Half of the item and then all of it.
     assert leaks(" ".join(item.split()[:9]) + " " + item, item)[0][1] == 1.0
     assert not leaks(" ".join(item.split()[:9]), item)
+
+
+def test_one_slot_does_not_void_a_copy():
+    long = ITEM[:-1] + " and never asked for anything in return until the river rose again and all the fields were under water for a week."
+    edited = long.replace("gave 3 apples", "gave 4 apples")
+    assert leaks("Well, " + edited, long)[0][0] == 9
+    # Other parameters everywhere, and two values for "3 apples": another question, however long.
+    assert not leaks(edited.replace("Anna Lee", "Bob Stone").replace("Anna", "Bob").replace("bought 3", "bought 7").replace("5", "9").replace("12", "40").replace("man", "MAN").replace("asked", "begged").replace("river", "lake").replace("fields", "roads"), long)
+
+
+def test_numbers_may_meet_or_part():
+    item = "The baker sold 3 loaves in the morning and 4 rolls at noon and then he closed the shop for 3 hours to rest."
+    assert leaks(item.replace("3", "5").replace("4", "5"), item)[0][4] == 3
+    assert leaks(item.replace("3 loaves", "6 loaves").replace("3 hours", "2 hours"), item)
+    assert not leaks("1 5 5 7 5 6 9 9 1 2", "1 2 3 4 5 6 7 8 9 10")
