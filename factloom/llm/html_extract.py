@@ -8,7 +8,8 @@ without being collected. Tokens with equal vectors form an equivalence class; cl
 of enough tokens on enough pages are valid. The paths nest them into the host's
 template: its fixed text blocks are dropped, and of the remaining slots the one that
 holds the text (descending from the body while one child holds most of it) is the
-article. Menus, forms, notices and the like are known by element, role and class names,
+article, with whatever text stands beside it and isn't mostly links; where article (or
+main) elements hold the text, all of them are. Menus, forms, notices and the like are known by element, role and class names,
 which is all there is for a host of one page.
 
 (host, token) sums are pre-aggregated inside each batch and again before the shuffle;
@@ -61,6 +62,8 @@ INSIDE_P = frozenset(("button",))
 CONTAINERS = frozenset("article main div section td body blockquote center table tbody tr details fieldset".split())
 #: Fixed: elements, roles and words of class names and ids that mark what isn't article.
 NOT_ARTICLE = frozenset("nav header footer aside form button head title menu dialog search legend option fieldset".split())
+#: Elements that hold a whole article, and their place in a path.
+_WHOLE = {kind: re.compile(rf"/{kind}(?=[.#/]|$)") for kind in ("article", "main")}
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertisements adsense adbox adslot banner banners sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup social share sharing shares related recommended recommendations teaser teasers sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager footer header masthead topbar comment comments commentlist disqus respond replies reply widget widgets login search toolbar skip copyright disclaimer paywall outbrain taboola".split()
@@ -246,7 +249,8 @@ def _descend(mass: dict[str, int]) -> str:
         children[p.rpartition("/")[0]].append(p)
     at = ""
     while True:
-        best = max((p for p in children[at] if _tag(p) in CONTAINERS or _tag(p) == "html"), key=mass.get, default=None)
+        # An article or main that doesn't hold most of the text is one of several parts: the slot is around it.
+        best = max((p for p in children[at] if (_tag(p) in CONTAINERS or _tag(p) == "html") and _tag(p) not in _WHOLE), key=mass.get, default=None)
         if best is None or mass[best] < DESCEND * (mass[at] if at else whole):
             return at
         at = best
@@ -265,7 +269,14 @@ def extract(source: str | None, template: dict | None) -> str:
                 mass[at] += worth
                 at = at.rpartition("/")[0]
         slot = _descend(mass)
-    own = [b for b in free if not slot or b.path == slot or b.path.startswith(slot + "/")]
+    if all(_text_token(b) in fixed for b in free):
+        fixed = set()
+    inside = _WHOLE.get(_tag(slot))
+    if inside:
+        own = [b for b in free if inside.search(b.path)]
+    else:
+        # Beside the slot only fixed texts and lists of links are left out.
+        own = [b for b in free if not slot or b.path == slot or b.path.startswith(slot + "/") or (2 * b.links < len(b.text) and _text_token(b) not in fixed)]
     varying = [b for b in own if not fixed or _text_token(b) not in fixed]
     # A host whose pages are copies of one page has only fixed text: then it is the article.
     return "\n".join(b.text for b in varying or own)

@@ -69,3 +69,14 @@ def test_table_pages(spark):
 def test_links_do_not_weigh():
     blocks, _ = parse("<div><a href=x>one two</a> three</div>")
     assert [(b.text, b.links) for b in blocks] == [("one two three", 7)]
+
+
+def test_texts_beside_the_longest_part_stay():
+    long = "<p>" + "many words of the long part " * 40 + "</p>"
+    page = f"<html><body><div class=content><h1>Headline</h1><p>The lead.</p><div class=text>{long}</div><div class=more><p>A short section.</p></div><div class=x><a href=a>One link</a> <a href=b>another</a></div></div></body></html>"
+    got = extract(page, None).split("\n")
+    assert got[:2] == ["Headline", "The lead."] and got[3:] == ["A short section."]
+    two = f"<html><body><div>Aside text</div><article class=first>{long}</article><article class=second><p>Another piece.</p></article><article class=teaser><p>Read on</p></article></body></html>"
+    assert extract(two, None).split("\n")[1:] == ["Another piece."]
+    thirds = "<html><body>" + "".join(f"<article class={c}><p>{c} " + "word " * 50 + "</p></article>" for c in "abc") + "</body></html>"
+    assert [x[0] for x in extract(thirds, None).split("\n")] == ["a", "b", "c"]
