@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,10 +19,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which driver and executors share.
 
-    A folder of our own is set only where the session has none, as in local tests.
+    A folder of our own is set only where a local session has none, as in tests; on a
+    cluster its machines wouldn't share it, so the setting is required there.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = os.path.join(tempfile.gettempdir(), "factloom-scratch")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -38,11 +42,30 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+#: Paths of the tables written since ``settled`` was entered, innermost last.
+_MADE: list[list[str]] = []
+
+
+def _delete(spark: SparkSession, path: str, on_exit: bool = False) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if on_exit:
+        files.deleteOnExit(at)
+    else:
+        files.delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: the lineage ends there, and a lost executor costs no recomputation."""
+    """Write ``df`` to the shared folder and read it again: the lineage ends there, and a lost executor costs no recomputation.
+
+    The files go when the application ends, or before that by ``drop_cut`` or ``settled``.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/factloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _delete(spark, path, on_exit=True)
+    for open_ in _MADE:
+        open_.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._factloom_path = path
     return out
@@ -52,9 +75,20 @@ def drop_cut(df: DataFrame) -> None:
     """Delete the files of a table made by ``cut`` that nothing reads any more."""
     path = getattr(df, "_factloom_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(df.sparkSession, path)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """The result of ``make`` as a written table; every other table that ``make`` wrote on the way is deleted."""
+    _MADE.append([])
+    try:
+        out = cut(make())
+        for path in _MADE[-1]:
+            if path != out._factloom_path:
+                _delete(spark, path)
+    finally:
+        _MADE.pop()
+    return out
 
 
 def connected_components(edges: DataFrame, a: str = "u", b: str = "v", max_rounds: int = 60) -> DataFrame:

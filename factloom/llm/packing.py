@@ -2,7 +2,9 @@
 
 Documents become pieces of at most the sequence length; pieces are packed into bins
 under three capacities: tokens, documents and attention cost (the sum of squared
-piece lengths). Of all bins that a piece fits under every constraint, the one with
+piece lengths). Documents and cost default to capacities that bins never exceed
+(``length`` and its square), because the fewest sequences are wanted by default; there
+the two still steer the choice of a bin, and smaller capacities bind. Of all bins that a piece fits under every constraint, the one with
 the least weighted residual norm after placing it wins (or the largest weighted dot
 product of piece and residual). Pieces go by decreasing length.
 
@@ -27,21 +29,20 @@ from . import tokens
 from .common import bounded_batches, cut, read_table
 
 LENGTH = 2048
-#: Documents that may share a sequence.
-MAX_DOCS = 512
 #: Weights of tokens, documents and attention cost, each as a share of its capacity.
 WEIGHTS = (1.0, 0.02, 0.05)
 #: Pieces packed by one task.
 GROUP = 4096
 
 
-def pack_bins(lengths: np.ndarray, length: int = LENGTH, max_docs: int = MAX_DOCS, max_cost: int | None = None, weights: tuple[float, float, float] = WEIGHTS, by: str = "norm") -> tuple[np.ndarray, np.ndarray]:
+def pack_bins(lengths: np.ndarray, length: int = LENGTH, max_docs: int | None = None, max_cost: int | None = None, weights: tuple[float, float, float] = WEIGHTS, by: str = "norm") -> tuple[np.ndarray, np.ndarray]:
     """(bin, offset) of each piece; bins count from 0.
 
     Bins with equal residuals are kept together, by residual tokens, so a piece meets
     each distinct state once and stops where the token term alone is no better.
     ``by``: norm (least residual norm after placing) or dot (largest dot product).
     """
+    max_docs = length if max_docs is None else max_docs
     max_cost = length * length if max_cost is None else max_cost
     wt, wd, wc = weights[0] / length**2, weights[1] / max_docs**2, weights[2] / max_cost**2
     bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
@@ -118,7 +119,7 @@ def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, with_
     return docs.select("doc_id", "text").mapInArrow(run, f"row long, doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
-def pack(cut_pieces: DataFrame, length: int = LENGTH, max_docs: int = MAX_DOCS, max_cost: int | None = None, weights: tuple[float, float, float] = WEIGHTS, by: str = "norm", group: int = GROUP) -> DataFrame:
+def pack(cut_pieces: DataFrame, length: int = LENGTH, max_docs: int | None = None, max_cost: int | None = None, weights: tuple[float, float, float] = WEIGHTS, by: str = "norm", group: int = GROUP) -> DataFrame:
     """``cut_pieces`` (a written table with row, piece, length) with sequence_id and offset."""
     deals = max(1, -(-cut_pieces.count() // group))
 

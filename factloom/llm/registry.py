@@ -25,7 +25,5 @@ QUERIES = {
     "op9_sentence_span_dedup": op9_sentence_span_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
-ORACLES = {
-    "op1_html_extraction": op1_html_extraction,
-    "op4_url_filter": OP4_SQL,
-}
+#: DuckDB SQL; the other operators are beyond SQL and held against brute force in the tests.
+ORACLES = {"op4_url_filter": OP4_SQL}

@@ -43,9 +43,10 @@ def _byte_of_symbol() -> dict[str, int]:
 
 
 class ByteBpe:
-    """Encodes with the ids of a ``tokenizers`` JSON file, special tokens' strings being ordinary text.
+    """Encodes with the ids of a ``tokenizers`` JSON file, as ``encode(text, add_special_tokens=False)`` does.
 
-    The vocabulary is read with ``tokenizers``; the merges run in tiktoken's core, which
+    The strings of its added tokens are those tokens wherever they stand, and part the
+    text; what is between them is encoded by itself. The vocabulary is read with ``tokenizers``; the merges run in tiktoken's core, which
     takes the ids as ranks and is several times faster, and equality with ``tokenizers``
     is checked on loading. The split pattern never crosses a single space between two
     other characters (the space opens the next piece), so a text is the concatenation of
@@ -61,17 +62,30 @@ class ByteBpe:
         from tokenizers import Tokenizer
 
         own = Tokenizer.from_file(path)
-        own.encode_special_tokens = True
-        symbols, special = _byte_of_symbol(), {t.content for t in own.get_added_tokens_decoder().values()}
+        added = own.get_added_tokens_decoder()
+        symbols, special = _byte_of_symbol(), {t.content: i for i, t in added.items()}
+        if any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError(f"{path} has added tokens that take in what stands around them")
         ranks = {bytes(symbols[c] for c in token): i for token, i in own.get_vocab(with_added_tokens=True).items() if token not in special}
         self.encode_plain = tiktoken.Encoding("own", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        for text in self.PROBES:
-            if self.encode_plain(text) != own.encode(text, add_special_tokens=False).ids:
-                raise ValueError(f"{path} is not a byte-level BPE of the expected form")
         self._first, self._later = _Chunks(self.encode_plain, ""), _Chunks(self.encode_plain, " ")
+        self._added = {token: np.array([i], "<u4").tobytes() for token, i in special.items()}
+        # The longest of those that start at a place wins.
+        self._at_added = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        for text in (*self.PROBES, *(f" x {token}y" for token in special)):
+            if self.packed(text) != np.array(own.encode(text, add_special_tokens=False).ids, "<u4").tobytes():
+                raise ValueError(f"{path} is not a byte-level BPE of the expected form")
 
     def packed(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids of a whole text; none for null or empty."""
+        if not text:
+            return b""
+        if self._at_added is None or not self._at_added.search(text):
+            return self._between(text)
+        return b"".join(self._added[x] if k % 2 else self._between(x) for k, x in enumerate(self._at_added.split(text)))
+
+    def _between(self, text: str) -> bytes:
+        """The ids of a stretch without added tokens."""
         if not text:
             return b""
         try:

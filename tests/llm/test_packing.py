@@ -16,7 +16,6 @@ TEXTS = [None, "", " ", "a", "One two three.", " lead  double\n\nlines \t end ",
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_file(tokens.default_path())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -41,6 +40,37 @@ def test_bins_respect_every_capacity(by):
     assert set(bins) == set(range(bins.max() + 1))
 
 
+@pytest.mark.parametrize("by", ["norm", "dot"])
+def test_bins_equal_a_naive_best_fit(by):
+    """Every piece against every open bin, in floating point as written in the docstring."""
+    rng = np.random.default_rng(8)
+    lengths, length, max_docs, max_cost, w = rng.integers(1, 65, 300), 64, 5, 64 * 64 * 3 // 4 + 64 * 16, (1.0, 0.3, 0.4)
+    lengths = lengths[lengths**2 <= max_cost]
+    wt, wd, wc = w[0] / length**2, w[1] / max_docs**2, w[2] / max_cost**2
+    free, want = [], np.zeros(len(lengths), int)
+    for k in np.argsort(-lengths, kind="stable"):
+        n, scores = int(lengths[k]), []
+        for b, (r, d, c) in enumerate(free):
+            if r >= n and d >= 1 and c >= n * n:
+                scores.append((wt * (r - n) ** 2 + wd * (d - 1) ** 2 + wc * (c - n * n) ** 2 if by == "norm" else -(wt * r * n + wd * d + wc * c * n * n), b))
+        if scores:
+            b = min(scores)[1]
+        else:
+            b = len(free)
+            free.append((length, max_docs, max_cost))
+        r, d, c = free[b]
+        free[b], want[k] = (r - n, d - 1, c - n * n), b
+    bins, _ = pack_bins(lengths, length, max_docs, max_cost, w, by)
+    # Bins of equal residuals are interchangeable, so what every bin holds is compared, not its number.
+    held = lambda of: sorted(sorted(lengths[of == b].tolist()) for b in np.unique(of))
+    assert held(bins) == held(want)
+
+
+def test_tiny_documents_fill_a_sequence():
+    bins, _ = pack_bins(np.ones(5000, np.int64))
+    assert bins.max() + 1 == 3
+
+
 def test_tight_packing():
     rng = np.random.default_rng(4)
     lengths = rng.integers(1, 1200, 4000)
