@@ -31,6 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Bytes of rows that go to a Python worker at once; whole texts are long, and several batches are in memory.
 BATCH_BYTES = 8 << 20
 

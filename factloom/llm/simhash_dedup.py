@@ -25,15 +25,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, connected_components, cut, read_table
+from .common import bounded_batches, connected_components, cut, free_name, read_table
 
 #: Fingerprints to a tile; two tiles are in memory at once (8 bytes each).
 TILE = 16384
 #: Fingerprints to a block inside a tile, the unit of one numpy comparison.
 BLOCK = 256
+#: Tasks that tile pairs are dealt over, as many as pairs up to this.
+MOST_TASKS = 20_000
 
 _GAPS = re.compile(rb"[\x20\x09-\x0d]+")
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -72,16 +74,16 @@ def _bit_counts(h: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): the signed 64-bit form of every row's fingerprint."""
+    """(doc_id, mark, fp): a hash of every row's text, and the signed 64-bit form of its fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = np.fromiter((fingerprint(t.as_py(), shingle, seed) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(got.view(np.int64))], names=["doc_id", "mark", "fp"])
 
     bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(run, f"doc_id {kind}, mark long, fp long")
 
 
 def _quarters(x: np.ndarray) -> np.ndarray:
@@ -131,14 +133,15 @@ def _forest(pairs: Iterator[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarra
 
 
 def _tiles(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Sorted fingerprints of a partition to packed tiles with the range of their population counts."""
+    """Sorted fingerprints of a partition to packed tiles with the bounds of their population counts: of the whole, then by quarter."""
     from pyspark import TaskContext
 
     part, k, held = TaskContext.get().partitionId(), 0, np.zeros(0, np.int64)
 
     def tile(x: np.ndarray) -> pa.RecordBatch:
-        pops = np.bitwise_count(x.view(np.uint64))
-        return pa.RecordBatch.from_arrays([pa.array([(part << 32) | k]), pa.array([int(pops.min())], pa.int32()), pa.array([int(pops.max())], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["tile", "low", "high", "packed"])
+        pops, quarters = np.bitwise_count(x.view(np.uint64)), _quarters(x.view(np.uint64))
+        bounds = [pa.array([[int(getattr(pops, f)()), *getattr(quarters, f)(0).tolist()]], pa.list_(pa.int32())) for f in ("min", "max")]
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([k], pa.int32()), *bounds, pa.array([x.tobytes()], pa.binary())], names=["part", "k", "low", "high", "packed"])
 
     for b in batches:
         held = np.concatenate((held, b.column(0).to_numpy(zero_copy_only=False)))
@@ -152,20 +155,43 @@ def _tiles(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBa
 def link_fingerprints(distinct: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
     """Forest edges (u, v) between distinct signed fingerprints ``fp`` at ``radius`` bits or fewer.
 
-    Edges of a tile pair span exactly the components that its close pairs form.
+    Tiles are numbered in sorted order, so those that a tile can link with are a stretch
+    of numbers: from its own to the last whose least population count is within the
+    radius. Each tile writes out its own stretch; no two tiles ever meet on a
+    population count, of which there are only 65. Pairs whose quarters are apart go,
+    the rest are dealt one by one over the tasks. Edges of a tile pair span exactly
+    the components that its close pairs form.
     """
     quarter = [F.bit_count(F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF))) for k in range(4)]
     order = [F.bit_count("fp"), *quarter, F.col("fp")]
-    tiles = cut(
+    made = cut(
         distinct.select("fp", *(o.alias(f"o{k}") for k, o in enumerate(order[:-1])))
         .repartitionByRange(*(f"o{k}" for k in range(len(order) - 1)), "fp")
         .sortWithinPartitions(*(f"o{k}" for k in range(len(order) - 1)), "fp")
         .select("fp")
-        .mapInArrow(lambda it: _tiles(it, tile), "tile long, low int, high int, packed binary")
+        .mapInArrow(lambda it: _tiles(it, tile), "part int, k int, low array<int>, high array<int>, packed binary")
     )
-    reach = tiles.select(F.col("tile").alias("s"), F.explode(F.sequence("low", F.col("high") + radius)).alias("level"))
-    own = tiles.select(F.col("tile").alias("t"), F.explode(F.sequence("low", "high")).alias("level"))
-    pairs = reach.join(own, "level").select(F.least("s", "t").alias("s"), F.greatest("s", "t").alias("t")).distinct()
+    # Numbers of the partitions' first tiles: one row a partition, a running sum over at most as many rows as tasks.
+    first = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = made.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(first), F.lit(0)).alias("before"))
+    tiles = cut(made.join(before, "part").select((F.col("before") + F.col("k")).alias("tile"), "low", "high", "packed"))
+    # How many tiles start at each population count: 65 numbers. Tiles below a count are numbered before it.
+    starts = [0] * 66
+    for count, n in tiles.groupBy(F.col("low")[0]).count().collect():
+        starts[count + 1] += n
+    reach = [sum(starts[: min(64, level + radius) + 2]) - 1 for level in range(65)]
+    last = F.element_at(F.array(*map(F.lit, reach)), F.col("high")[0] + 1)
+    bounds = tiles.select("tile", "low", "high")
+    apart = sum((F.greatest(F.lit(0), F.col("b.low")[q] - F.col("a.high")[q], F.col("a.low")[q] - F.col("b.high")[q]) for q in range(1, 5)), F.lit(0))
+    pairs = (
+        bounds.select(F.col("tile").alias("s"), F.explode(F.sequence("tile", last.cast("long"))).alias("t"), "low", "high").alias("a")
+        .join(bounds.alias("b"), F.col("t") == F.col("b.tile"))
+        .where(apart <= radius)
+        .select("s", "t")
+    )
+    pairs = cut(pairs)
+    # Each task compares whole pairs; a pair of full tiles takes under a second.
+    tasks = max(1, min(pairs.count(), MOST_TASKS))
     both = pairs.join(tiles.select(F.col("tile").alias("s"), F.col("packed").alias("x")), "s").join(tiles.select(F.col("tile").alias("t"), F.col("packed").alias("y")), "t")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +209,24 @@ def link_fingerprints(distinct: DataFrame, radius: int = 4, tile: int = TILE) ->
                     signed = nodes.view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(signed[hung]), pa.array(signed[root[hung]])], names=["u", "v"])
 
-    return both.select("s", "t", "x", "y").mapInArrow(compare, "u long, v long").distinct()
+    # Dealt one by one: those of a tile go to tasks in turn, and adaptive execution doesn't put small but long comparisons together again.
+    return both.repartitionById(tasks, F.pmod(F.col("s") * 7919 + F.col("t"), F.lit(tasks)).cast("int")).select("s", "t", "x", "y").mapInArrow(compare, "u long, v long").distinct()
+
+
+def _judged(docs: DataFrame, radius: int, shingle: int, seed: int, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, mark, fp) of every row, (fp, first) with the first row of each fingerprint's group).
+
+    mark is a hash of the text; rows are in order of (null doc_id last, doc_id, mark).
+    """
+    own = cut(fingerprints(docs, shingle, seed))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    classes = cut(own.groupBy("fp").agg(F.min(order).alias("first")))
+    found = connected_components(link_fingerprints(classes.select("fp"), radius, tile))
+    # Written before its join back, so that both sides are plain shuffles and a large group can be split.
+    hung = cut(found.join(classes.withColumnRenamed("fp", "node"), "node"))
+    firsts = cut(hung.groupBy("component").agg(F.min("first").alias("group_first")))
+    linked = hung.join(firsts, "component").select(F.col("node").alias("fp"), "group_first")
+    return own, classes.join(linked, "fp", "left").select("fp", F.coalesce("group_first", "first").alias("first"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42, tile: int = TILE) -> DataFrame:
@@ -195,23 +238,31 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: in
     component, and don't name it (null if it holds no other row). Repeated rows stay.
     An empty table gives an empty result.
     """
-    own = cut(fingerprints(docs, shingle, seed))
-    classes = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    found = connected_components(link_fingerprints(classes.select("fp"), radius, tile))
-    hung = classes.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    named = hung.join(hung.groupBy("component").agg(F.min("first").alias("component_id")), "component").select("fp", "component_id")
-    return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    own, named = _judged(docs, radius, shingle, seed, tile)
+    return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """The rows of ``docs`` with one document of each near-duplicate group: the smallest doc_id.
+    """One row of ``docs`` of each near-duplicate group: that of the smallest doc_id (null last), then of the smallest text hash.
 
-    Of rows that repeat that doc_id all stay, since they can't be told apart by it.
-    Rows with a null doc_id stay.
+    Rows are told apart by doc_id and text, so another text under a repeated doc_id is
+    judged by itself; of rows equal in both one stays. All columns stay, whatever their
+    names. Null and empty texts are one group. An empty table gives an empty result.
     """
-    judged = near_duplicates(docs.select("doc_id", "text"), radius, shingle, seed)
-    gone = judged.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    own, named = _judged(docs, radius, shingle, seed)
+    stays = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark").eqNullSafe(F.col("first"))
+    judged = cut(own.join(named, "fp").groupBy("doc_id", "mark").agg(F.bool_and(stays).alias("stays"), F.count("*").alias("times")).where("not stays or times > 1"))
+    mark = free_name(docs, "mark")
+    marked = docs.withColumn(mark, F.xxhash64("text")).alias("d")
+
+    def of(rows: DataFrame, kind: str) -> DataFrame:
+        return marked.join(rows.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col(f"d.{mark}") == F.col("g.mark")), kind)
+
+    once = of(judged, "left_anti")
+    repeated = judged.where("stays")
+    if not repeated.isEmpty():
+        once = once.unionByName(of(repeated, "left_semi").dropDuplicates(["doc_id", mark]))
+    return once.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,4 +69,13 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     got = sorted((r.doc_id or 0, r.component_id or 0) for r in near_duplicates(docs).collect())
     assert got == [(0, 0), (0, 1), (1, 1), (1, 1)]
     assert near_duplicates(docs.limit(0)).count() == 0
-    assert keep_one(docs).count() == 4
+    assert sorted(r.text for r in keep_one(docs).collect()) == ["a b c d e", "zz"]
+    assert keep_one(docs.limit(0)).count() == 0
+    only_null = spark.createDataFrame([(None, "a b c d e"), (None, "a b c d e")], "doc_id long, text string")
+    assert keep_one(only_null).count() == 1
+
+
+def test_rows_are_judged_by_doc_id_and_text(spark):
+    rows = [(3, "a b c d e", "x"), (5, "a b c d e", "y"), (5, "quite another text than that one", "z"), (7, None, "n"), (8, "", "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark string")
+    assert sorted(tuple(r) for r in keep_one(docs).collect()) == [rows[0], rows[2], rows[3]]
