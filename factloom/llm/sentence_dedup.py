@@ -1,13 +1,14 @@
 """Substring deduplication by sliding sentence spans (operator 9).
 
 Every run of ``run`` consecutive sentences is hashed, and every shorter one that reaches
-``min_words`` words; runs join globally by hash, and a sentence covered by a run that is
-not the first of its kind goes. Sentences of over ``LONG`` words are parted where their own
-words say so, so 51 shared words hold ``MIN_WORDS`` words of whole pieces wherever they start. Only 8-byte hashes
-with their document's key and the sentence's number are shuffled. The first of each
-repeated run comes from a pre-aggregated minimum; the way back to a run's occurrences
-is an equi-join whose large side adaptive execution can split, so a passage that a
-third of all documents share is no single task's work.
+``min_words`` words; runs join globally by hash, and every sentence covered by a run that
+is not the first of its kind goes, however few words it has. Sentences of over ``LONG``
+words are parted where their own words say so, so 51 shared words hold ``MIN_WORDS``
+words of whole pieces wherever they start. Only 12-byte hashes with their document's key
+and the sentence's number are shuffled. The first of each repeated run comes from a
+pre-aggregated minimum; the way back to a run's occurrences is an equi-join whose large
+side adaptive execution can split, so a passage that a third of all documents share is
+no single task's work.
 """
 
 from __future__ import annotations
@@ -22,21 +23,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, read_table
+from .common import bounded_batches, cut, free_name, read_table
 
 #: Consecutive sentences to a span.
-RUN = 3
-#: Words that a stretch of repeated sentences has at least; shorter echoes ("Yes. No. Well.") stay.
+RUN = 4
+#: Words from which on fewer sentences are a span too.
 MIN_WORDS = 25
 #: Words of a piece at most; the words among which the one with the least hash starts a new piece.
 LONG, AMONG = 13, 12
 #: Word hashes that a worker remembers before it forgets all.
 KEPT_WORDS = 200_000
 
-# A sentence here is the stretch up to a mark (. ! ? … ; : ,) and white space, a CJK mark, a line break, or
-# a capitalised word after a lower-case letter: a passage pasted into running text starts there.
-# Splitting long sentences at their commas lets three in a row cover a passage nearly to its ends.
-_BREAK = re.compile(r"(?<=[.!?…。！？,;:])\s+|(?<=[。！？；：，、])(?=[^\s。！？；：，、])|\n\s*|(?<=[a-zß-öø-ÿ])\s+(?=[A-ZÀ-ÖØ-Þ](?:[a-zß-öø-ÿ]|\s+[a-zß-öø-ÿ]))")
+# A sentence is the stretch up to a mark (. ! ? …) and white space, a CJK full stop or the like, or a line break.
+_BREAK = re.compile(r"(?<=[.!?…。！？])\s+|(?<=[。！？])(?=[^\s。！？])|\n\s*")
 
 
 # Scripts without spaces: each character counts as a word.
@@ -101,37 +100,33 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
-def _runs(text: str, spans: list[tuple[int, int]], run: int, min_words: int = MIN_WORDS) -> list[tuple[int, int, int]]:
-    """(first sentence, sentences, signed hash) of each run, compared without case and spacing.
+def _runs(text: str, spans: list[tuple[int, int]], run: int, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, int]]:
+    """(first sentence, sentences, signed 64-bit hash, signed 32-bit hash) of each run, compared without case and spacing.
 
     Runs of ``run`` sentences, and from each sentence the run up to ``min_words`` words if that is shorter.
     """
-    digest = xxhash.xxh64_intdigest
     pieces = [text[a:b].lower().split() for a, b in spans]
-    one = np.array([digest(" ".join(x)) for x in pieces], np.uint64)
-    mix = np.uint64(0x9E3779B97F4A7C15)
-    out = []
-    if len(one) >= run:
-        # A polynomial over the sentences' hashes, modulo 2^64.
-        whole = np.zeros(len(one) - run + 1, np.uint64)
-        for k in range(run):
-            whole = whole * mix + one[k : len(one) - run + 1 + k]
-        out = [(k, run, h) for k, h in enumerate(whole.view(np.int64).tolist())]
+    whole = [xxhash.xxh3_128_digest(" ".join(x)) for x in pieces]
+    one = np.frombuffer(b"".join(whole), np.uint64).reshape(-1, 2)
+    # A polynomial over the sentences' two hashes, modulo 2^64 each.
+    mix = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
     spaced = text.isascii() or not _ONE_CJK.search(text)
     counts = np.array([len(x) if spaced else len(_WORD.findall(" ".join(x))) for x in pieces], np.int64)
-    words, short, open_ = np.zeros(len(one), np.int64), np.zeros(len(one), np.uint64), np.ones(len(one), bool)
-    for n in range(1, min(run, len(one) + 1)):
+    words, hashes, open_ = np.zeros(len(one), np.int64), np.zeros((len(one), 2), np.uint64), np.ones(len(one), bool)
+    out = []
+    for n in range(1, min(run, len(one)) + 1):
         last = len(one) - n + 1
         words[:last] += counts[n - 1 :]
-        short[:last] = short[:last] * mix + one[n - 1 :]
-        full = np.flatnonzero(open_[:last] & (words[:last] >= min_words))
+        hashes[:last] = hashes[:last] * mix + one[n - 1 :]
+        full = np.arange(last) if n == run else np.flatnonzero(open_[:last] & (words[:last] >= min_words))
         open_[full] = False
-        out += zip(full.tolist(), [n] * len(full), short[full].view(np.int64).tolist())
+        own = hashes[full] ^ (hashes[full] >> np.uint64(31))
+        out += zip(full.tolist(), [n] * len(full), own[:, 0].copy().view(np.int64).tolist(), (own[:, 1] >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist())
     return out
 
 
 def _key(docs: DataFrame):
-    """Rows are one document if doc_id and text are equal."""
+    """Rows are one document if doc_id and this are equal."""
     return F.xxhash64("doc_id", "text")
 
 
@@ -139,59 +134,55 @@ def repeated_runs(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -
     """(key, doc_id, first_doc_id, sentence, n): the runs, by their first sentence's number and how many they are, that are not the first of their kind.
 
     First: smallest doc_id (null last), then the smaller text hash, then the earlier place.
+    Runs are told apart by 96 bits.
     """
     bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, runs, places, sizes = [], [], [], []
+            rows, got = [], []
             for k, text in enumerate(b.column("text")):
                 text = text.as_py()
                 if text:
-                    got = _runs(text, sentences(text), run, min_words)
-                    rows += [k] * len(got)
-                    places += [x[0] for x in got]
-                    sizes += [x[1] for x in got]
-                    runs += [x[2] for x in got]
-            at = pa.array(rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("key").take(at), b.column("doc_id").take(at), pa.array(runs, pa.int64()), pa.array(places, pa.int32()), pa.array(sizes, pa.int32())], names=["key", "doc_id", "run", "sentence", "n"])
-
-    runs = cut(docs.select(_key(docs).alias("key"), "doc_id", "text").mapInArrow(hashes, f"key long, doc_id {kind}, run long, sentence int, n int"))
+                    own = _runs(text, sentences(text), run, min_words)
+                    rows += [k] * len(own)
+                    got += own
+            at, types = pa.array(rows, pa.int32()), (pa.int32(), pa.int32(), pa.int64(), pa.int32())
+            place, size, one, two = (pa.array([x[k] for x in got], t) for k, t in enumerate(types))
+            yield pa.RecordBatch.from_arrays([b.column("key").take(at), b.column("doc_id").take(at), one, two, place, size], names=["key", "doc_id", "run", "run2", "sentence", "n"])
+
+    runs = cut(docs.select(_key(docs).alias("key"), "doc_id", "text").mapInArrow(hashes, f"key long, doc_id {kind}, run long, run2 int, sentence int, n int"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "sentence")
     # Written before the join, so that both its sides are plain shuffles and a run that very many documents share can be split.
-    firsts = cut(runs.groupBy("run").agg(F.min(order).alias("first"), F.count("*").alias("times")).where("times > 1").select("run", "first"))
-    return runs.join(firsts, "run").where(order != F.col("first")).select("key", "doc_id", F.col("first.doc_id").alias("first_doc_id"), "sentence", "n")
+    firsts = cut(runs.groupBy("run", "run2").agg(F.min(order).alias("first"), F.count("*").alias("times")).where("times > 1").select("run", "run2", "first"))
+    return runs.join(firsts, ["run", "run2"]).where(order != F.col("first")).select("key", "doc_id", F.col("first.doc_id").alias("first_doc_id"), "sentence", "n")
 
 
-def _drop(text: str, runs: list[tuple[int, int]], min_words: int) -> tuple[str, list[list[int]], int]:
+def _drop(text: str, runs: list[tuple[int, int]]) -> tuple[str, list[list[int]], int]:
     """The text without the sentences of those runs (first sentence, sentences), what went as [start, end], and how many sentences."""
     spans, hit = sentences(text), set()
     for s, size in runs:
         hit.update(range(s, s + size))
-    gone, k, n = [], 0, 0
+    gone, k = [], 0
     while k < len(spans):
-        if k not in hit:
-            k += 1
-            continue
         e = k
-        while e + 1 < len(spans) and e + 1 in hit:
+        while k in hit and e + 1 in hit:
             e += 1
-        if len(_words(text[spans[k][0] : spans[e][1]])) >= min_words:
+        if k in hit:
             # Up to the next sentence, so that no doubled gap is left.
             gone.append([spans[k][0], spans[e + 1][0] if e + 1 < len(spans) else len(text)])
-            n += e - k + 1
         k = e + 1
     out, at = [], 0
     for a, b in gone:
         out.append(text[at:a])
         at = b
-    return "".join([*out, text[at:]]), gone, n
+    return "".join([*out, text[at:]]), gone, len(hit)
 
 
 def _hits(docs: DataFrame, run: int, min_words: int) -> DataFrame:
-    """(key, runs, first_doc_ids) of the documents that hold repeated runs."""
-    return repeated_runs(docs, run, min_words).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("sentence", "n"))).alias("runs"), F.array_sort(F.collect_set("first_doc_id")).alias("first_doc_ids"))
+    """(key, doc_id, runs, first_doc_ids) of the documents that hold repeated runs."""
+    return repeated_runs(docs, run, min_words).groupBy("key", "doc_id").agg(F.array_sort(F.collect_set(F.struct("sentence", "n"))).alias("runs"), F.array_sort(F.collect_set("first_doc_id")).alias("first_doc_ids"))
 
 
 def repeated_passages(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
@@ -200,16 +191,18 @@ def repeated_passages(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORD
     removed: array of (start, end) code points; first_doc_ids: documents that keep what
     goes here (its own doc_id if a passage repeats inside it); text: what is left.
     Rows equal in doc_id and text are one document, cleaned alike. Null and empty texts
-    and texts of fewer than ``min_words`` words lose nothing. An empty table gives none.
+    lose nothing, nor do texts of fewer than ``run`` sentences and ``min_words`` words:
+    they hold no run. Very long texts are cleaned like any. An empty table gives none.
     """
-    met = docs.select(_key(docs).alias("key"), "doc_id", "text").join(_hits(docs, run, min_words), "key")
+    hits = _hits(docs, run, min_words)
+    met = docs.select(_key(docs).alias("key"), "doc_id", "text").alias("d").join(hits.alias("h"), (F.col("d.key") == F.col("h.key")) & F.col("d.doc_id").eqNullSafe(F.col("h.doc_id"))).select("d.doc_id", "text", "runs", "first_doc_ids")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, texts, gone, counts = [], [], [], []
             for k in range(b.num_rows):
-                left, cut_out, n = _drop(b.column("text")[k].as_py(), [(x["sentence"], x["n"]) for x in b.column("runs")[k].as_py()], min_words)
+                left, cut_out, n = _drop(b.column("text")[k].as_py(), [(x["sentence"], x["n"]) for x in b.column("runs")[k].as_py()])
                 if cut_out:
                     rows.append(k)
                     texts.append(left)
@@ -223,14 +216,16 @@ def repeated_passages(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORD
 
 
 def remove_repeats(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
-    """All rows and columns of ``docs``, with repeated passages cut out of text."""
+    """All rows and columns of ``docs``, whatever their names, with repeated passages cut out of text. An empty table gives an empty one."""
 
     @F.pandas_udf("string")
     def clean(text: pd.Series, starts: pd.Series, sizes: pd.Series) -> pd.Series:
-        return pd.Series([t if s is None else _drop(t, list(zip(s, n)), min_words)[0] for t, s, n in zip(text, starts, sizes)], dtype=object)
+        return pd.Series([t if s is None else _drop(t, list(zip(s, n)))[0] for t, s, n in zip(text, starts, sizes)], dtype=object)
 
-    met = docs.withColumn("__key", _key(docs)).join(_hits(docs, run, min_words).select(F.col("key").alias("__key"), F.col("runs.sentence").alias("__starts"), F.col("runs.n").alias("__sizes")), "__key", "left")
-    return met.withColumn("text", clean("text", "__starts", "__sizes")).select(*docs.columns)
+    key = free_name(docs, "key")
+    hits = _hits(docs, run, min_words).select(F.col("key").alias("hit_key"), F.col("doc_id").alias("hit_id"), F.col("runs.sentence").alias("starts"), F.col("runs.n").alias("sizes")).alias("h")
+    met = docs.withColumn(key, _key(docs)).alias("d").join(hits, (F.col(f"d.{key}") == F.col("h.hit_key")) & F.col("d.doc_id").eqNullSafe(F.col("h.hit_id")), "left")
+    return met.select(*(clean("d.text", "h.starts", "h.sizes").alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns))
 
 
 def op9_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,16 +15,20 @@ def plain(rows):
     seen, out = {}, {}
     for i, t in order:
         spans, hit = sentences(t), set()
-        for k in range(len(spans) - RUN + 1):
-            run = tuple(" ".join(t[a:b].lower().split()) for a, b in spans[k : k + RUN])
-            if seen.setdefault(run, (i, k)) != (i, k):
-                hit |= set(range(k, k + RUN))
+        said = [" ".join(t[a:b].lower().split()) for a, b in spans]
+        for k in range(len(spans)):
+            for n in range(1, RUN + 1):
+                run = tuple(said[k : k + n])
+                enough = len(" ".join(run).split()) >= MIN_WORDS
+                if len(run) == n and (n == RUN or enough and len(" ".join(run[:-1]).split()) < MIN_WORDS):
+                    if seen.setdefault(run, (i, k)) != (i, k):
+                        hit |= set(range(k, k + n))
         text, at, k = "", 0, 0
         while k < len(spans):
             e = k
             while k in hit and e + 1 in hit:
                 e += 1
-            if k in hit and len(t[spans[k][0] : spans[e][1]].split()) >= MIN_WORDS:
+            if k in hit:
                 text += t[at : spans[k][0]]
                 at = spans[e + 1][0] if e + 1 < len(spans) else len(t)
             k = e + 1
@@ -33,8 +37,8 @@ def plain(rows):
 
 
 def test_sentences_keep_their_offsets():
-    text = "One two. Three, four!\n\n  five Six  seven A eight"
-    assert [text[a:b] for a, b in sentences(text)] == ["One two.", "Three,", "four!", "five", "Six  seven", "A eight"]
+    text = "One two. Three, four!\n\n  five Six  seven A eight 9.5 x?! y"
+    assert [text[a:b] for a, b in sentences(text)] == ["One two.", "Three, four!", "five Six  seven A eight 9.5 x?!", "y"]
     assert sentences(None) == sentences("") == sentences(" \n ") == []
 
 
@@ -42,7 +46,7 @@ def test_matches_plain_version(spark):
     rng = random.Random(7)
     shared = [passage(rng, 6) for _ in range(4)]
     rows = [(k, " ".join([passage(rng, rng.randint(0, 5)), rng.choice(shared), passage(rng, 2)] if k % 3 else [passage(rng, 3)])) for k in range(40)]
-    rows += [(50, rows[1][1]), (51, shared[0] + " " + shared[0]), (52, None), (53, ""), (54, "No. No. No. No. No."), (None, shared[1])]
+    rows += [(50, rows[1][1]), (51, shared[0] + " " + shared[0]), (52, None), (53, ""), (54, "No. No. No. No. No."), (55, "a b. c. d e. f g!"), (56, "A  b. C. D e. F g! H"), (None, shared[1])]
     docs = spark.createDataFrame([(*r, "k") for r in rows] + [(*rows[1], "again")], "doc_id long, text string, key string").repartition(3)
     want = plain(rows)
     got = remove_repeats(docs).collect()
@@ -53,8 +57,18 @@ def test_matches_plain_version(spark):
     assert {(r.doc_id, r.text) for r in changed} == {(i, w) for (i, t), w in want.items() if w != t}
     for r in changed:
         t = texts[r.doc_id]
-        assert len(r.text) == len(t) - sum(s.end - s.start for s in r.removed) and r.first_doc_ids and r.n_sentences >= RUN
-    assert repeated_passages(docs.limit(0)).count() == 0
+        assert len(r.text) == len(t) - sum(s.end - s.start for s in r.removed) and r.first_doc_ids and r.n_sentences >= 1
+    assert repeated_passages(docs.limit(0)).count() == remove_repeats(docs.limit(0)).count() == 0
+    assert want[56, "A  b. C. D e. F g! H"] == "H"
+
+
+def test_very_long_text_and_repeated_doc_ids(spark):
+    rng = random.Random(9)
+    long, other = passage(rng, 4000), passage(rng, 5)
+    rows = [(1, long), (1, other), (2, long[: len(long) // 2]), (3, other), (4, passage(rng, 9))]
+    left = sorted((r.doc_id, r.text) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = plain(rows)
+    assert left == sorted((i, want[i, t]) for i, t in rows) and want[3, other] == "" and len(want[2, rows[2][1]]) < 100
 
 
 def test_long_sentences_and_cjk_repeat_too(spark):
