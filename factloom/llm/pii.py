@@ -6,7 +6,8 @@ after). Strings that look like an identifier of a kind but fail its base rule ar
 candidates. Spark scores the bipartite graph of patterns and instances round by round:
 a pattern is as good as the share of its distinct instances that are identifiers, damped
 by how many there are; a candidate is as good as the noisy-or of its patterns. What
-patterns of high confidence vouch for is an identifier too.
+patterns of high confidence vouch for is an identifier too, and seeds further patterns
+in the next round, until a round discovers nothing.
 
 Texts are read once. What is shuffled is hashes of contexts and instances of found
 strings only; sums are pre-aggregated and go back in equi-joins that adaptive execution
@@ -24,13 +25,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import bounded_batches, cut, drop_cut, read_table
 
 #: Kinds in the order of results.
 KINDS = ("email", "ip", "card", "phone")
-#: Scoring rounds; share of identifiers among a pattern's instances and its distinct seeds at least; a candidate's score at least.
-ROUNDS, PATTERN_SHARE, PATTERN_SEEDS, ACCEPT = 3, 0.8, 5, 0.8
+#: Scoring rounds at most; share of identifiers among a pattern's instances and its distinct seeds at least; a candidate's score at least.
+ROUNDS, PATTERN_SHARE, PATTERN_SEEDS, ACCEPT = 10, 0.8, 5, 0.8
 
 # Fixed: the base forms. Possessive runs and the look-behind change no match; they keep long digit strings linear.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -88,28 +90,44 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
 
 
 def candidate_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Strings of the looser forms that touch no base span and no other candidate."""
+    """Strings of the looser forms that touch no base span and no candidate of an earlier kind; linear in the text."""
     if "@" not in text and "at" not in text and not _DIGIT.search(text):
         return []
     taken, out = sorted((a, b) for _, a, b in base), []
     for kind in KINDS:
         if kind == "email" and not any(x in text for x in ("@", "[at]", "(at)", "{at}")):
             continue
+        at, reach, fresh = 0, 0, []
         for m in _LOOSE[kind].finditer(text):
             a, b = m.span()
-            digits = sum(c.isdigit() for c in m[0])
-            if kind == "phone" and not 9 <= digits <= 15:
+            if kind == "phone" and not 9 <= sum(c.isdigit() for c in m[0]) <= 15:
                 continue
-            if not any(x < b and a < y for x, y in taken):
-                taken.append((a, b))
-                out.append((kind, a, b))
+            # Matches and taken spans both go forward: ``reach`` is how far those that start before b get.
+            while at < len(taken) and taken[at][0] < b:
+                reach = max(reach, taken[at][1])
+                at += 1
+            if reach <= a:
+                fresh.append((a, b))
+        out += [(kind, a, b) for a, b in fresh]
+        taken = sorted(taken + fresh)
     return out
 
 
+def _near(text: str, at: int, before: bool, n: int) -> list[str]:
+    """The n words before or after a place, whole however long they are."""
+    size = 64
+    while True:
+        a, b = (max(0, at - size), at) if before else (at, min(len(text), at + size))
+        words = _WORD.findall(text[a:b].lower())
+        # The word at the window's edge may be cut off.
+        if len(words) > n or (a == 0 if before else b == len(text)):
+            return words[-n:] if before else words[:n]
+        size *= 4
+
+
 def contexts(text: str, kind: str, start: int, end: int) -> list[int]:
     """Hashes of the lexical patterns around a span."""
-    before = _WORD.findall(text[max(0, start - 60) : start].lower())[-2:]
-    after = _WORD.findall(text[end : end + 40].lower())[:1]
+    before, after = _near(text, start, True, 2), _near(text, end, False, 1)
     found = [("l", before[-1:]), ("r", after)] + ([("l2", before)] if len(before) == 2 else [])
     return [xxhash.xxh64_intdigest("\0".join([kind, where, *words])) >> 1 for where, words in found if words]
 
@@ -126,7 +144,7 @@ _SPAN = "struct<kind:string,start:bigint,end:bigint,instance:bigint,contexts:arr
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """``docs`` (all columns) with __row, __base and __loose: spans with their instance and context hashes. A written table: __row stays."""
+    """``docs`` (all columns but these) with __row, __base and __loose: spans with their instance and context hashes. A written table: __row stays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -144,25 +162,28 @@ def find(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, pa.int64()), *(pa.array(x, kind_of) for x in found)], names=[*b.schema.names, "__row", "__base", "__loose"])
 
     bounded_batches(docs.sparkSession)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", __row long, __base array<{_SPAN}>, __loose array<{_SPAN}>"
-    return cut(docs.mapInArrow(run, schema))
+    added = StructType.fromDDL(f"__row long, __base array<{_SPAN}>, __loose array<{_SPAN}>")
+    return cut(docs.mapInArrow(run, StructType([*docs.schema.fields, *added.fields])))
 
 
 def score_graph(found: DataFrame, rounds: int = ROUNDS, share: float = PATTERN_SHARE, seeds: int = PATTERN_SEEDS, accept: float = ACCEPT) -> DataFrame:
     """(instance) of candidates that patterns of high confidence vouch for.
 
     Round by round: a pattern's confidence is the mean score of its distinct instances,
-    and it counts from ``share`` and ``seeds`` distinct seeds on; a candidate's score is
-    the noisy-or over its counting patterns, each damped by n / (n + 1).
+    and it counts from ``share`` and ``seeds`` distinct identifiers on, base ones and
+    those discovered in an earlier round; a candidate's score is the noisy-or over its
+    counting patterns, each damped by n / (n + 1). Candidates of equal scores are judged
+    alike. Rounds end when one discovers nothing.
     """
     sides = [found.select(F.explode(c).alias("s")).select(F.col("s.instance").alias("instance"), F.explode("s.contexts").alias("pattern"), F.lit(float(seed)).alias("seed")) for c, seed in (("__base", 1), ("__loose", 0))]
     edges = cut(sides[0].unionByName(sides[1]).groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
     # An instance that is a seed anywhere is one everywhere.
     scores = cut(edges.groupBy("instance").agg(F.max("seed").alias("seed")).withColumn("score", F.col("seed")))
+    known = 0
     for _ in range(rounds):
         patterns = (
             edges.select("pattern", "instance").join(scores, "instance").groupBy("pattern")
-            .agg(F.avg("score").alias("share"), F.count("*").alias("n"), F.sum("seed").alias("seeds"))
+            .agg(F.avg("score").alias("share"), F.count("*").alias("n"), F.count_if(F.col("score") >= accept).alias("seeds"))
             .where((F.col("share") >= share) & (F.col("seeds") >= seeds))
             .select("pattern", (F.col("share") * F.col("n") / (F.col("n") + 1)).alias("trust"))
         )
@@ -170,6 +191,10 @@ def score_graph(found: DataFrame, rounds: int = ROUNDS, share: float = PATTERN_S
         now = cut(scores.join(vouched, "instance", "left").select("instance", "seed", F.greatest("seed", F.coalesce("trust", F.lit(0.0))).alias("score")))
         drop_cut(scores)
         scores = now
+        found_now = scores.where((F.col("seed") == 0) & (F.col("score") >= accept)).count()
+        if found_now == known:
+            break
+        known = found_now
     return scores.where((F.col("seed") == 0) & (F.col("score") >= accept)).select("instance")
 
 
@@ -206,8 +231,12 @@ def detect(docs: DataFrame, **options) -> DataFrame:
 
 
 def redact(docs: DataFrame, **options) -> DataFrame:
-    """All rows and columns of ``docs`` with every span of text replaced by its kind, like ``<EMAIL>``; of overlapping spans the outermost."""
-    found = find(docs)
+    """All rows and columns of ``docs``, whatever their names, with every span of text replaced by its kind, like ``<EMAIL>``; of overlapping spans the outermost.
+
+    Null texts stay null, empty ones empty; an empty table gives an empty result.
+    """
+    # Columns go by their place while spans stand beside them.
+    found = find(docs.toDF(*("text" if c == "text" else f"c{k}" for k, c in enumerate(docs.columns))))
 
     @F.pandas_udf("string")
     def masked(text: pd.Series, base: pd.Series, added: pd.Series) -> pd.Series:
@@ -216,7 +245,7 @@ def redact(docs: DataFrame, **options) -> DataFrame:
     plain = F.transform("__base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     met = found.join(added_spans(found, **options), "__row", "left")
     touched = (F.size("__base") > 0) | F.col("__added").isNotNull()
-    return met.withColumn("text", F.when(touched, masked("text", plain, "__added")).otherwise(F.col("text"))).select(*docs.columns)
+    return met.withColumn("text", F.when(touched, masked("text", plain, "__added")).otherwise(F.col("text"))).select(*("text" if c == "text" else f"c{k}" for k, c in enumerate(docs.columns))).toDF(*docs.columns)
 
 
 def _mask(text: str | None, spans: list) -> str | None:
