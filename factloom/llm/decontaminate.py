@@ -1,17 +1,20 @@
 """Benchmark decontamination by template canonicalisation (operator 8).
 
 Texts become sequences of words in which numbers, names and units are typed
-placeholders. Windows of five such words of every benchmark item form a hash table;
-documents probe it (a broadcast hash join: the table is built in blocks of at most
-``BLOCK_WINDOWS`` windows, each block a pass, so the broadcast is bounded whatever the
-benchmark's size). Hits are chained along the item; a chain that holds at least
-``CONTAINMENT`` of the item's windows is a leak if it holds that share of the item's own
-words as well (a copy, whatever was edited in it), or if its placeholders were filled
-consistently (the same question with other parameters): a name of the item has one value
-in the document, and so has a number before the same word.
-
-A document is judged alone in one narrow pass: nothing is shuffled, no key is hot, and
-a passage that many documents share costs each of them its own windows only.
+placeholders. The hashes of windows of five such words of all benchmark items are a
+table that the windows of the documents meet in an equi-join. Before that join one
+narrow pass drops, by a bit table of at most ``MOST_BITS`` bits (a constant, whatever the
+benchmark's size), the windows that no item has; what is shuffled is the hashes of the
+others. A (text, item) pair that holds at least ``CONTAINMENT`` of the item's windows is
+a candidate; its text is then read again and its hits are chained along the item. A
+chain is a leak if it holds that share of the item's own words as well (a copy, whatever
+was edited in it), or if its placeholders were filled consistently (the same question
+with other parameters): a name or unit of the item has one value in the document, and
+so has a number before the same word.
+
+Texts are known by 128 bits, so copies are one text in the join and each its own row in
+the result. A passage that many documents share is a hot window hash; both sides of the
+join are written before, so adaptive execution can split it.
 """
 
 from __future__ import annotations
@@ -19,22 +22,25 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, read_table
+from .common import bounded_batches, cut, read_table
 
 WINDOW = 5
 CONTAINMENT = 0.8
-#: Windows in one broadcast table, about 200 bytes each in a worker.
-BLOCK_WINDOWS = 200_000
-#: Words of an item shorter than a window; it is then one window itself.
+#: Bits of the broadcast table at most, 16 MB; 16 a window up to that, then it fills up and lets more windows into the join.
+MOST_BITS = 1 << 27
+#: An item of fewer canonical words is a leak where a whole document says it; from this length on an item shorter than a window is one window.
 LEAST_WORDS = 3
+#: Items that one row of the second reading is compared with.
+ITEMS_A_ROW = 256
 #: Words that a worker remembers before it forgets all.
 KEPT_WORDS = 200_000
 
@@ -118,38 +124,53 @@ def window_hashes(codes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _whole(words: list[str]) -> tuple[str, ...]:
+    """The plain words of a text."""
+    return tuple(w for w in map(_bare, words) if w)
+
+
+def _postings(codes: np.ndarray, words: list[str], place: np.ndarray, window: int) -> tuple[int, list[tuple[int, int]]]:
+    """(window length, [(place, hash)]) of an item's windows; the last is the other reading of the first one."""
+    n = min(window, len(codes))
+    # In running text the item's first word is no sentence start: its other reading counts as the same window.
+    other = codes[:n].copy()
+    other[0] = NAME if other[0] != NAME else np.uint64(xxhash.xxh64_intdigest(_bare(words[place[0]])))
+    return n, [*enumerate(window_hashes(codes, n).tolist()), (0, int(window_hashes(other, n)[0]))]
+
+
 class TemplateIndex:
-    """Template windows of a block of benchmark items: window hash to (item, place)."""
+    """Template windows of some benchmark items: window hash to (item, place)."""
 
     def __init__(self, items: list[tuple[int, str]], window: int = WINDOW):
-        self.window, self.items, self.postings, self.lengths = window, [], defaultdict(list), set()
+        self.window, self.items, self.postings, self.lengths, self.whole = window, [], defaultdict(list), set(), defaultdict(list)
         for item_id, text in items:
             codes, words, place = canonical(text)
-            n = min(window, len(codes))
-            if n < min(LEAST_WORDS, window):
-                continue  # too little to tell a leak from any other text
+            if len(codes) < min(LEAST_WORDS, window):
+                # Too little to tell a leak from any other text, but for a text that says nothing else.
+                if len(codes):
+                    self.whole[_whole(words)].append(item_id)
+                continue
             at = len(self.items)
-            hashes = window_hashes(codes, n)
-            self.items.append((item_id, codes, words, place, len(hashes), n))
+            n, postings = _postings(codes, words, place, window)
+            self.items.append((item_id, codes, words, place, len(postings) - 1, n))
             self.lengths.add(n)
-            for k, h in enumerate(hashes.tolist()):
+            for k, h in postings:
                 self.postings[h].append((at, k))
-            # In running text the item's first word is no sentence start: its other reading counts as the same window.
-            other = codes[:n].copy()
-            other[0] = NAME if other[0] != NAME else np.uint64(xxhash.xxh64_intdigest(_EDGES.sub("", words[place[0]]).lower()))
-            self.postings[int(window_hashes(other, n)[0])].append((at, 0))
         self.postings = dict(self.postings)
         # Most windows of a document are in no item: a bit table says so before any lookup.
-        self.shift = np.uint64(64 - max(16, (16 * len(self.postings)).bit_length()))
+        self.shift = np.uint64(64 - max(12, (16 * len(self.postings)).bit_length()))
         self.maybe = np.zeros(1 << (64 - int(self.shift)), bool)
         self.maybe[np.fromiter(self.postings, np.uint64, len(self.postings)) >> self.shift] = True
 
     def leaks(self, text: str | None, containment: float = CONTAINMENT) -> list[tuple[int, float, int, int, int]]:
         """(item_id, contained share, first word, last word, slots) of each item that leaks into a text, its best chain."""
-        if not text or not self.items:
+        if not text:
             return []
         codes, words, place = canonical(text)
-        hits = defaultdict(list)
+        hits, out = defaultdict(list), []
+        if 0 < len(codes) < LEAST_WORDS and self.whole:
+            out = [(item_id, 1.0, int(place[0]), int(place[-1]), 0) for item_id in self.whole.get(_whole(words), ())]
+
         for n in self.lengths:
             h = window_hashes(codes, n)
             if not len(h):
@@ -158,7 +179,6 @@ class TemplateIndex:
                 for item, q in self.postings.get(int(h[p]), ()):
                     if self.items[item][5] == n:
                         hits[item].append((p, q))
-        out = []
         for item, found in hits.items():
             item_id, own, own_words, own_place, total, n = self.items[item]
             if len({q for _, q in found}) < containment * total:
@@ -213,25 +233,29 @@ def _chains(found: list[tuple[int, int]], reach: int) -> Iterator[list[tuple[int
 def _slots(chain, n, codes, words, place, own, own_words, own_place) -> tuple[int, bool]:
     """How many placeholders the chain aligns, and whether their values agree.
 
-    A name has one value, both ways. A number has one value before the same word ("3 apples"
-    twice), but may have two before different ones; two numbers may get the same value,
-    except in runs of placeholders, where nothing else tells a list from any other.
+    A name has one value, both ways. A unit has one value, singular or plural. A number
+    has one value before the same word ("3 apples" twice), but may have two before
+    different ones; two numbers may get the same value, except in runs of placeholders,
+    where nothing else tells a list from any other.
     """
     there, back, pairs = {}, {}, set()
     main = Counter(p - q for p, q in chain).most_common(1)[0][0]
     for p, q in chain:
         if abs(p - q - main) > 2:
             continue  # a window that occurs elsewhere in the item as well
-        pairs.update((p + k, q + k) for k in range(n) if own[q + k] in (NUM, NAME) and codes[p + k] == own[q + k])
+        pairs.update((p + k, q + k) for k in range(n) if own[q + k] in (NUM, NAME, UNIT) and codes[p + k] == own[q + k])
     agree = True
     for p, q in sorted(pairs):
         x, y = _bare(own_words[own_place[q]]), _bare(words[place[p]])
+        if own[q] == UNIT:
+            x, y = (u.removesuffix("s") or u for u in (x, y))
         after = None
         if own[q] == NUM:
             after = _bare(own_words[own_place[q + 1]]) if q + 1 < len(own) and own[q + 1] not in (NUM, NAME) else ""
-        agree &= there.setdefault((own[q], x, after), y) == y
-        if not after:
-            agree &= back.setdefault((own[q], y), x) == x
+        one = there.setdefault((own[q], x, after), y) == y
+        if not after and own[q] != UNIT:
+            one &= back.setdefault((own[q], y), x) == x
+        agree &= one
     return len(pairs), agree
 
 
@@ -252,62 +276,128 @@ def _literal(own_words: list[str], words: list[str], window: int) -> float:
     return len(mine & grams(words)) / len(mine) if mine else 0.0
 
 
-def _blocks(benchmark: DataFrame, window: int, block_windows: int) -> Iterator[TemplateIndex]:
-    """Indexes of at most ``block_windows`` windows each (one item is never split), streamed from the table."""
-    held, n = [], 0
-    for r in benchmark.select("item_id", "text").where("text IS NOT NULL").orderBy("item_id").toLocalIterator():
-        size = max(1, len(r.text.split()))
-        if held and n + size > block_windows:
-            yield TemplateIndex(held, window)
-            held, n = [], 0
-        held.append((r.item_id, r.text))
-        n += size
-    if held:
-        yield TemplateIndex(held, window)
+def _windows(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Window hashes that tell windows of another length apart, signed."""
+    return (hashes * np.uint64(2 * n + 1) ^ (hashes >> np.uint64(32))).view(np.int64)
+
+
+def _whole_hash(words: list[str]) -> int:
+    return xxhash.xxh64_intdigest("\0".join(("whole", *_whole(words)))) - (1 << 63)
+
+
+def _items(benchmark: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """((item, item_id, text) and (item, total, place, n, hash) of the benchmark's windows), written."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        row = TaskContext.get().partitionId() << 40
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(range(row, row + b.num_rows), pa.int64()), *b.columns], names=["item", "item_id", "text"])
+            row += b.num_rows
 
+    def cut_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                codes, words, place = canonical(text)
+                if 0 < len(codes) < min(LEAST_WORDS, window):
+                    rows.append((item, 1, 0, 0, _whole_hash(words)))
+                elif len(codes):
+                    n, postings = _postings(codes, words, place, window)
+                    own = _windows(np.array([h for _, h in postings], np.uint64), n).tolist()
+                    rows += [(item, len(own) - 1, k, n, h) for (k, _), h in zip(postings, own)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()))], names=["item", "total", "place", "n", "hash"])
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, containment: float = CONTAINMENT, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    kind = benchmark.schema["item_id"].dataType.simpleString()
+    items = cut(benchmark.select("item_id", "text").where("text is not null").mapInArrow(number, f"item long, item_id {kind}, text string"))
+    return items, cut(items.select("item", "text").mapInArrow(cut_windows, "item long, total int, place int, n int, hash long"))
+
+
+def _bit_table(windows: DataFrame, n: int) -> tuple[int, np.ndarray]:
+    """(shift, 64-bit words) of the table of all window hashes' first bits."""
+    bits = min(max(16, (16 * n - 1).bit_length()), MOST_BITS.bit_length() - 1)
+    at = F.shiftrightunsigned("hash", 64 - bits)
+    words = windows.select(F.shiftright(at, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(1 << (bits - 6), np.int64)
+    table[words.column(0).to_numpy()] = words.column(1).to_numpy()
+    return 64 - bits, table.view(np.uint64)
+
+
+def _text_key(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("again"), text).alias("k2")]
+
+
+def leaking_texts(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, containment: float = CONTAINMENT) -> DataFrame:
+    """(k1, k2, item_id, containment, first_word, last_word, n_slots) of each leak of an item into a text; k1 and k2 are the text's 128 bits."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    items, windows = _items(benchmark, window)
+    schema = f"k1 long, k2 long, item_id {items.schema['item_id'].dataType.simpleString()}, containment double, first_word int, last_word int, n_slots int"
+    by_length = {r.n: r["count"] for r in windows.groupBy("n").count().collect()}
+    if not by_length:
+        return spark.createDataFrame([], schema)
+    shift, table = _bit_table(windows, sum(by_length.values()))
+    sent, lengths = spark.sparkContext.broadcast(table), sorted(by_length)
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
+        for b in batches:
+            rows, found = [], []
+            for k, text in enumerate(b.column(2)):
+                codes, words, _ = canonical(text.as_py())
+                own = [_windows(window_hashes(codes, n), n) for n in lengths if n]
+                if 0 in lengths and 0 < len(codes) < LEAST_WORDS:
+                    own.append(np.array([_whole_hash(words)], np.int64))
+                own = np.concatenate(own) if own else np.zeros(0, np.int64)
+                at = own.view(np.uint64) >> np.uint64(shift)
+                own = np.unique(own[(bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)])
+                if len(own):
+                    rows.append(np.full(len(own), k, np.int32))
+                    found.append(own)
+            if rows:
+                take = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(np.concatenate(found))], names=["k1", "k2", "hash"])
+
+    texts = docs.where("text is not null")
+    # Written before the join, so that both its sides are plain shuffles and a window that very many documents share can be split.
+    hits = cut(texts.select(*_text_key(F.col("text")), "text").mapInArrow(probe, "k1 long, k2 long, hash long"))
+    held = hits.join(windows, "hash").groupBy("k1", "k2", "item", "total").agg(F.count_distinct("place").alias("places")).where(F.col("places") >= containment * F.col("total")).select("k1", "k2", "item")
+    asked = cut(held.join(items, "item").withColumn("deal", F.floor(F.rank().over(Window.partitionBy("k1", "k2").orderBy("item")) / ITEMS_A_ROW)).groupBy("k1", "k2", "deal").agg(F.sort_array(F.collect_list(F.struct("item", "item_id", "text"))).alias("items")))
+    first = texts.select(*_text_key(F.col("text")), "text").join(asked.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.any_value("text").alias("text"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = lru_cache(maxsize=64)(lambda own: TemplateIndex([*own], window))
+        for b in batches:
+            rows = []
+            for k in range(b.num_rows):
+                own = tuple((x["item_id"], x["text"]) for x in b.column("items")[k].as_py())
+                rows += [(k, *leak) for leak in index(own).leaks(b.column("text")[k].as_py(), containment)]
+            take = pa.array([r[0] for r in rows], pa.int32())
+            item_ids = pa.array([r[1] for r in rows], b.column("items").type.value_type.field("item_id").type)
+            yield pa.RecordBatch.from_arrays([b.column("k1").take(take), b.column("k2").take(take), item_ids, pa.array([r[2] for r in rows], pa.float64()), *(pa.array([r[j] for r in rows], pa.int32()) for j in (3, 4, 5))], names=["k1", "k2", "item_id", "containment", "first_word", "last_word", "n_slots"])
+
+    return cut(first.join(asked, ["k1", "k2"]).select("k1", "k2", "text", "items").mapInArrow(verify, schema))
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, containment: float = CONTAINMENT) -> DataFrame:
     """(doc_id, item_id, containment, first_word, last_word, n_slots) of every leak of a benchmark item into a document.
 
     The words are numbers in the text split at white space. Null and empty texts leak
-    nothing; nor do items of fewer than three canonical words. Repeated rows and items
-    of equal text each give their own rows. Empty tables give an empty result.
+    nothing; nor do null items and items without a word. Items of one or two words leak
+    into documents that say nothing else. Repeated rows and items of equal text each give
+    their own rows; of equal chains the first in the text is reported. Other columns are
+    ignored. Empty tables give an empty result.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id {item_kind}, containment double, first_word int, last_word int, n_slots int"
-    out = None
-    for index in _blocks(benchmark, window, block_windows):
-        sent = spark.sparkContext.broadcast(index)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                rows = [(k, *leak) for k, t in enumerate(b.column(1)) for leak in sent.value.leaks(t.as_py(), containment)]
-                take = pa.array([r[0] for r in rows], pa.int32())
-                own = [pa.array([r[k] for r in rows], t) for k, t in ((1, None), (2, pa.float64()), (3, pa.int32()), (4, pa.int32()), (5, pa.int32()))]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(take), *own], names=["doc_id", "item_id", "containment", "first_word", "last_word", "n_slots"])
-
-        part = docs.select("doc_id", "text").mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], schema) if out is None else out
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, containment: float = CONTAINMENT, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """The rows of ``docs`` into which no benchmark item leaks, all columns as they are; one narrow pass a block."""
-    bounded_batches(docs.sparkSession)
-    for index in _blocks(benchmark, window, block_windows):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
-
-        @F.pandas_udf("boolean")
-        def clean(text, sent=sent):
-            import pandas as pd
-
-            return pd.Series([not sent.value.leaks(t, containment) for t in text], dtype=bool)
-
-        docs = docs.where(clean("text"))
-    return docs
+    leaks = leaking_texts(docs, benchmark, window, containment)
+    return docs.select("doc_id", *_text_key(F.col("text"))).join(leaks, ["k1", "k2"]).drop("k1", "k2")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, containment: float = CONTAINMENT) -> DataFrame:
+    """The rows of ``docs`` into which no benchmark item leaks, all columns as they are."""
+    found = cut(leaking_texts(docs, benchmark, window, containment).select("k1", "k2").distinct())
+    k1, k2 = _text_key(docs["text"])
+    return docs.join(found, (k1 == found["k1"]) & (k2 == found["k2"]), "left_anti")
 
 
 def op8_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

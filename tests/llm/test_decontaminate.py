@@ -1,9 +1,11 @@
 """Template decontamination: copies, re-parameterised questions, clean texts, brute force on copies."""
 
 import collections
+import random
 
 import pytest
 
+from factloom.llm import decontaminate
 from factloom.llm.decontaminate import TemplateIndex, canonical, drop_contaminated, find_leaks
 
 ITEM = "Yesterday Anna Lee bought 3 apples and 5 pears for 12 dollars, and then Anna gave 3 apples to the man who lives next door."
@@ -39,7 +41,7 @@ def test_names_numbers_units():
     assert canonical("a *** b | c")[0].tolist() == canonical("a b c")[0].tolist()
 
 
-def test_matches_brute_force_on_copies(spark):
+def test_matches_brute_force_on_copies(spark, monkeypatch):
     docs, items = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     grams = lambda t: (lambda w: {" ".join(w[k : k + 5]) for k in range(len(w) - 4)})(t.lower().split())
     index, total = collections.defaultdict(set), {}
@@ -51,9 +53,12 @@ def test_matches_brute_force_on_copies(spark):
     for r in docs.collect():
         met = collections.Counter(i for g in grams(r.text) for i in index.get(g, ()))
         want |= {(r.doc_id, i) for i, n in met.items() if n >= 0.8 * total[i]}
-    for block in (10**6, 300):  # one broadcast table, then several in passes
-        got = find_leaks(docs.withColumn("item_id", docs.doc_id), items, block_windows=block).collect()
-        assert {(r.doc_id, r.item_id) for r in got} == want and want
+    got = find_leaks(docs.withColumn("item_id", docs.doc_id), items).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and want
+    assert {(r.doc_id, r.item_id): tuple(r)[2:] for r in got} == {(r.doc_id, leak[0]): leak[1:] for r in docs.collect() for leak in TemplateIndex([(x.item_id, x.text) for x in items.collect()]).leaks(r.text)}
+    monkeypatch.setattr(decontaminate, "MOST_BITS", 1 << 16)  # a table that is full
+    monkeypatch.setattr(decontaminate, "ITEMS_A_ROW", 2)
+    assert {(r.doc_id, r.item_id) for r in find_leaks(docs, items).collect()} == want
     kept = drop_contaminated(docs, items).collect()
     assert sorted(r.doc_id for r in kept) == sorted({r.doc_id for r in docs.collect()} - {i for i, _ in want})
 
@@ -87,6 +92,53 @@ def test_one_slot_does_not_void_a_copy():
 
 def test_numbers_may_meet_or_part():
     item = "The baker sold 3 loaves in the morning and 4 rolls at noon and then he closed the shop for 3 hours to rest."
-    assert leaks(item.replace("3", "5").replace("4", "5"), item)[0][4] == 3
+    assert leaks(item.replace("3", "5").replace("4", "5"), item)[0][4] == 4  # three numbers and a unit
     assert leaks(item.replace("3 loaves", "6 loaves").replace("3 hours", "2 hours"), item)
     assert not leaks("1 5 5 7 5 6 9 9 1 2", "1 2 3 4 5 6 7 8 9 10")
+
+
+def test_units_are_slots_too():
+    item = "A runner covers 5 km before noon and another 7 km after lunch and then rests for 2 hours under the old oak tree."
+    assert leaks(item.replace("km", "miles").replace("5", "6").replace("hours", "minutes"), item)[0][4] == 6
+    # The same unit twice in the item, two units in the text, and too few words of the item's own.
+    assert not leaks(item.replace("5 km", "6 miles").replace("7 km", "8 feet").replace("2 hours", "3 days").replace("runner", "walker").replace("another", "maybe").replace("rests", "sleeps").replace("old oak", "big elm"), item)
+
+
+def test_short_items_are_whole_documents():
+    index = TemplateIndex([(1, "Paris."), (2, "Deep Blue"), (3, "42")])
+    assert [leak[0] for leak in index.leaks("  paris ")] == [1] and [leak[0] for leak in index.leaks("deep blue!")] == [2]
+    assert index.leaks("Paris is big") == index.leaks("43") == [] and [leak[0] for leak in index.leaks("42")] == [3]
+
+
+def plain_changed(text, item):
+    """Whether a text is the item with other numbers and names, one value for one: word by word."""
+    bare = lambda s: [w.strip(".,!?") for w in s.split()]
+    x, y, there, back = bare(item), bare(text), {}, {}
+    if len(x) != len(y):
+        return False
+    for a, b in zip(x, y):
+        slot = a.isdigit() and b.isdigit() or a[:1].isupper() and b[:1].isupper()
+        if not slot and a != b or slot and (there.setdefault(a, b) != b or back.setdefault(b, a) != a):
+            return False
+    return True
+
+
+def test_changed_parameters_match_brute_force(spark):
+    rng = random.Random(2)
+    words = "".join(" abcdefghijklmnopqrstuvwxyz").split() + "river market window garden basket letter".split()
+    frame = [w for w in "when the boy called {0} sold {1} baskets to his friend {2} near the market he kept {3} of them and {0} gave {1} more to {2} before the evening came".split()]
+    make = lambda a, b, c, d: " ".join(frame).format(a, b, c, d)
+    names = "Ann Bob Carl Dora Emil Fritz".split()
+    item = make("Ann", 31, "Bob", 47)
+    rows = []
+    for k in range(40):
+        text = make(*(rng.choice(names), rng.randint(10, 30), rng.choice(names), rng.randint(50, 99)))
+        if k % 3 == 1:  # one slot against the rest
+            at = [i for i, w in enumerate(text.split()) if w[0].isupper()][-1]
+            text = " ".join("Zoe" if i == at else w for i, w in enumerate(text.split()))
+        if k % 3 == 2:
+            text = " ".join(rng.choice(words) if i % 4 == 0 else w for i, w in enumerate(text.split()))
+        rows.append((k, text))
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    want = {k for k, t in rows if plain_changed(t, item)}
+    assert {r.doc_id for r in find_leaks(docs, items).collect()} == want and 5 < len(want) < 30
