@@ -3,8 +3,11 @@
 import math
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 
 from factloom.llm.embedding_dedup import near_duplicates, passes_for
+from factloom.llm.simhash_dedup import _forest
 
 
 def plain(rows, threshold=0.93):
@@ -52,5 +55,65 @@ def test_copies_and_repeated_rows(spark):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+def clustered(n, dims=64, seed=1):
+    """Vectors around a few centres, mean cosine over 0.5, with pairs at and around the threshold and a dense group of near copies."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(5, dims))
+    vecs = 1.1 * centres[rng.integers(0, 5, n)] + rng.normal(size=(n, dims))
+    k = n // 20
+    vecs[:k] = vecs[k : 2 * k] + rng.uniform(0.3, 0.65, (k, 1)) * rng.normal(size=(k, dims))
+    dense = n // 8
+    vecs[-dense:] = vecs[-1] + 0.3 * rng.normal(size=(dense, dims))
+    return vecs.astype(np.float32)
+
+
+def brute(vecs, threshold=0.93):
+    """(links of each, smallest vector reachable of each)."""
+    v = vecs.astype(float) / np.linalg.norm(vecs.astype(float), axis=1, keepdims=True)
+    links, root = np.zeros(len(v), int), np.arange(len(v))
+    pairs = []
+    for a in range(0, len(v), 1000):
+        p, q = np.nonzero(v[a : a + 1000] @ v.T >= threshold)
+        p = p + a
+        links += np.bincount(p[p != q], minlength=len(v))
+        pairs.append((p[q < p], q[q < p]))
+    return links, _forest(iter(pairs), len(v))
+
+
+def test_recall_on_clustered_vectors(spark, tmp_path):
+    vecs = clustered(12_000)
+    links, root = brute(vecs)
+    pq.write_table(pa.table({"vec_id": np.arange(len(vecs)), "label": np.zeros(len(vecs), np.int32), "embedding": pa.array(list(vecs))}), tmp_path / "vectors.parquet")
+    df = spark.read.parquet(str(tmp_path)).repartition(8)
+    got = {r.vec_id: r for r in near_duplicates(df, window=256).collect()}
+    found = np.array([got[k].n_links for k in range(len(vecs))])
+    assert (found <= links).all() and found.sum() >= 0.99 * links.sum() and links.sum() > 500_000
+    # Links outside of the dense group, and components.
+    outside = np.arange(len(vecs)) < len(vecs) - len(vecs) // 8
+    assert found[outside].sum() >= 0.99 * links[outside].sum() > 500
+    assert np.mean([got[k].component_id == root[k] for k in range(len(vecs))]) >= 0.999
+
+
+def test_rounded_comparison_loses_nothing(spark):
+    """Pairs within a rounding error of the threshold are judged in double precision."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 32))
+    y = rng.normal(size=(400, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    c = 0.93 + rng.uniform(-3e-6, 3e-6, (400, 1))
+    z = c * x + np.sqrt(1 - c * c) * y
+    rows = [(k, k % 400, v.tolist()) for k, v in enumerate(np.concatenate((x, z)))]
+    want = plain(rows)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).collect()}
+    assert got == want and 100 < sum(n for n, _ in got.values()) < 700
+
+
+def test_only_repeated_ids(spark):
+    docs = spark.createDataFrame([(5, 1, [1.0, 0.0])] * 2, "vec_id long, label int, embedding array<double>")
+    assert [(r.n_links, r.component_id, r.kept) for r in near_duplicates(docs).collect()] == [(1, 5, True)] * 2
+
+
 def test_passes_grow_slowly():
-    assert passes_for(10) == 4 < passes_for(10_000) < passes_for(100_000_000) < 400
+    assert passes_for(10) == 1 < passes_for(10_000) < passes_for(100_000_000) < 200
