@@ -2,8 +2,10 @@
 
 Quality classifier, SimHash near-duplicates, benchmark decontamination, personal data,
 best-fit packing. Every stage gets what its predecessor kept, written as Parquet to the
-shared folder and read again, so a lost executor costs one stage's tasks at most. All
-stages but the last return the columns of ``documents``.
+shared folder and read again, so a lost executor costs one stage's tasks at most; what a
+stage wrote on the way goes with it. All stages but the last return the columns of
+``documents``. Null and empty texts pass every stage that doesn't judge them worthless or
+copies of each other; an empty table gives no sequence.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import decontaminate, packing, pii, quality, simhash_dedup
-from factloom.llm.common import cut, read_table
+from factloom.llm.common import drop_cut, read_table, settled
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,5 +59,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table ``documents``."""
     docs = read_table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        kept = settled(spark, lambda: stage(spark, docs, sf_dir))  # noqa: B023  called at once
+        drop_cut(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
