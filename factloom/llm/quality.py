@@ -189,7 +189,7 @@ def score_documents(docs: DataFrame, model: QualityModel) -> DataFrame:
 
 
 def keep_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score ``threshold`` or more, all columns as they are; one narrow pass."""
+    """The rows of ``docs`` that score ``threshold`` or more, all columns as they are; one narrow pass. Null texts are judged as empty ones; an empty table stays empty."""
     bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("boolean")

@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .common import cut, read_table
+from .common import cut, free_name, read_table
 
 #: Fixed: the multiplier of the jump hash's linear congruential generator.
 MULTIPLIER = 2862933555777941757
@@ -81,17 +82,22 @@ def assign_shards(docs: DataFrame, shards: int = 16, key: str = "doc_id") -> Dat
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16, key: str = "doc_id") -> None:
-    """Write all columns of ``docs`` in folders ``shard=k`` under ``path``; a task writes to several folders and no shuffle is needed."""
+    """Write all columns of ``docs`` in folders ``shard=k`` under ``path``; a task writes to several folders and no shuffle is needed.
+
+    Null texts and keys are written like any; an empty table writes no folder. A column
+    named shard is refused, any other name is fine.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.append_column("shard", pa.array(jump_hash(b.column("__hash").to_numpy(zero_copy_only=False).view(np.uint64), shards)))
+            yield b.append_column("shard", pa.array(jump_hash(b.column(name).to_numpy(zero_copy_only=False).view(np.uint64), shards)))
 
     if "shard" in docs.columns:
         raise ValueError("documents already have a column shard")
-    schema = docs.withColumn("__hash", F.xxhash64(key))
-    out = schema.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.schema) + ", shard int")
-    out.drop("__hash").write.partitionBy("shard").parquet(path)
+    name = free_name(docs, "hash")
+    hashed = docs.withColumn(name, F.xxhash64(key))
+    out = hashed.mapInArrow(run, StructType([*hashed.schema.fields, StructField("shard", IntegerType())]))
+    out.drop(name).write.partitionBy("shard").parquet(path)
 
 
 def op6_jump_hash_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

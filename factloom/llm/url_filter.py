@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import cut, read_table
 
 #: (host, path, verdict); the rules of the registered query.
 RULES = (
@@ -93,8 +93,12 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
 
     rule is the host and path of the longest rule that fits (else null); verdict is
     its own, else ``default``. Null and malformed URLs have an empty host and path and
-    fit no rule with a host. Other columns are ignored, repeated rows stay.
+    fit no rule with a host. Rules that hold a null are refused. A long URL is walked once
+    along its labels and segments. Other columns are ignored, repeated rows stay; an empty
+    table gives an empty result.
     """
+    if any(part is None for rule in rules for part in rule):
+        raise ValueError("a rule holds a null")
     if len(rules) > max_rules:
         return _judge_by_join(pages, rules, default)
     trie = pages.sparkSession.sparkContext.broadcast(RuleTrie(rules))
@@ -117,6 +121,7 @@ def _judge_by_join(pages: DataFrame, rules: Sequence[tuple[str, str, str]], defa
     rest = F.regexp_extract("url", r"(?s)^.*?://([^?#]*)", 1)
     host = F.translate(F.regexp_extract(rest, r"(?s)^([^/]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     parts = pages.select("page_id", F.coalesce(host, F.lit("")).alias("host"), F.coalesce(F.regexp_extract(rest, r"(?s)^[^/]*(.*)$", 1), F.lit("")).alias("path")).withColumn("row", F.monotonically_increasing_id())
+    parts = cut(parts)  # so that a retry can't number the rows anew
     labels = F.split("host", "\\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.struct((F.size(labels) - k + 1).alias("depth"), F.array_join(F.slice(labels, k, F.size(labels)), ".").alias("suffix")))
     fits = (

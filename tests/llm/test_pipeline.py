@@ -63,3 +63,19 @@ def test_packing_stage(kept):
 def test_run_is_the_stages(spark, kept):
     got = corpus_pipeline.run(spark, SF)
     assert sorted((r.doc_id, r.piece, r.ids_crc32) for r in got.collect()) == sorted((r.doc_id, r.piece, r.ids_crc32) for r in kept[5])
+
+
+def test_odd_tables(spark, tmp_path):
+    """Null, empty, very long and repeated texts, null ids, extra columns; then empty tables."""
+    long = "The river rose again. " * 20_000
+    rows = [(1, None, "en", "s", 0, 7), (2, "", "en", "s", 0, 7), (None, "Some words here.", "en", "s", 9, 7), (3, long, "en", "s", len(long), 7), (3, long, "en", "s", len(long), 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, mark int")
+    for k, part in enumerate((docs, docs.limit(0))):
+        at = str(tmp_path / str(k))
+        part.write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, at).collect()
+        # Without labels all pass; null and empty texts are one group, and copies are one document.
+        assert {r.doc_id for r in got} == (set() if k else {1, None, 3})
+        assert sum(r.length for r in got if r.doc_id == 1) == len({1} if not k else ())

@@ -53,3 +53,24 @@ def test_no_labels(spark):
     model = fit(docs, spark.createDataFrame([(None, 1), (1, None)], "doc_id long, quality int"))
     assert {r.score for r in score_documents(docs, model).collect()} == {0.5}
     assert score_documents(docs.limit(0), model).count() == 0
+
+
+def test_weights_equal_plain_normal_equations(spark):
+    """Partition sums against one matrix of all training rows; calibration's rows are not among them."""
+    import pyspark.sql.functions as F
+
+    from factloom.llm.quality import PENALTY, held_out
+
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = fit(docs.repartition(7), labels)
+    known = labels.where(~held_out(F.col("doc_id"))).join(docs, "doc_id").withColumn("deal", F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000))).where("deal % 5 != 0").collect()
+    stats, y = np.stack([statistics(r.text) for r in known]), np.array([r.quality for r in known], float)
+    assert np.allclose(model.mean, stats.mean(0)) and np.allclose(model.scale, np.maximum(stats.std(0), 1e-6))
+    z = model.features(stats)
+    assert np.allclose(model.weights, np.linalg.solve(z.T @ z + PENALTY * len(z) * np.eye(z.shape[1]), z.T @ y), atol=1e-6)
+
+
+def test_empty_table_and_null_texts_are_kept_or_not(spark):
+    docs = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
+    model = fit(docs, spark.createDataFrame([], "doc_id long, quality int"))
+    assert keep_quality(docs.limit(0), model).count() == 0 and keep_quality(docs, model).count() == 2

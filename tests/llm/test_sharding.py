@@ -47,3 +47,11 @@ def test_files(spark, tmp_path):
     write_shards(docs, str(tmp_path / "out"), 4)
     want = {r.doc_id: r.shard for r in assign_shards(docs, 4).collect()}
     assert {r.doc_id: r.shard for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want
+
+
+def test_written_shards_of_odd_tables(spark, tmp_path):
+    docs = spark.createDataFrame([(1, None, 5), (None, "x", 6)], "doc_id long, text string, hash int")
+    write_shards(docs, str(tmp_path / "odd"), 3)
+    back = spark.read.parquet(str(tmp_path / "odd"))
+    assert sorted(r.hash for r in back.collect()) == [5, 6] and set(back.columns) == {*docs.columns, "shard"}
+    write_shards(docs.limit(0), str(tmp_path / "none"), 3)

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from factloom.llm.url_filter import RULES, RuleTrie, judge_urls, split_url
 
 URLS = [None, "", "no scheme", "http://", "HTTP://WWW.Example.COM/en/7?x#y", "https://a.example.com/en/712/z", "https://a.example.com/en/8", "http://com/en/", "http://xcom/en/", "http://example.net/de/8", "http://b.example.net/de/9/", "http://q.net/de", "http://q.org/es/1#t", "http://q.org?es/", "ftp://q.org#/es/", "x://y://z.com/en/", "http://É.com/en/é", "http://..com/en/"]
@@ -37,3 +39,11 @@ def test_rules_and_random_rules(spark):
 
 def test_ties_prefer_block():
     assert RuleTrie([("com", "/", "block"), ("com", "/", "allow")]).find("com", "/x") == ("com/", "block")
+
+
+def test_long_urls_and_null_rules(spark):
+    long = "http://" + "a." * 5000 + "com/" + "en/" * 50_000
+    pages = spark.createDataFrame([(1, long)], "page_id long, url string")
+    assert [(r.rule, r.verdict) for r in judge_urls(pages).collect()] == [("com/en/", "block")]
+    with pytest.raises(ValueError):
+        judge_urls(pages, [("com", None, "block")])
