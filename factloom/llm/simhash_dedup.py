@@ -19,13 +19,14 @@ the population counts rule out; the README has figures.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, connected_components, cut, free_name, read_table
@@ -34,7 +35,7 @@ from .common import bounded_batches, connected_components, cut, free_name, read_
 TILE = 16384
 #: Fingerprints to a block inside a tile, the unit of one numpy comparison.
 BLOCK = 256
-#: Tasks that tile pairs are dealt over, as many as pairs up to this.
+#: Tasks that tile pairs are dealt over at most.
 MOST_TASKS = 20_000
 
 _GAPS = re.compile(rb"[\x20\x09-\x0d]+")
@@ -171,15 +172,22 @@ def link_fingerprints(distinct: DataFrame, radius: int = 4, tile: int = TILE) ->
         .select("fp")
         .mapInArrow(lambda it: _tiles(it, tile), "part int, k int, low array<int>, high array<int>, packed binary")
     )
-    # Numbers of the partitions' first tiles: one row a partition, a running sum over at most as many rows as tasks.
-    first = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    before = made.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(first), F.lit(0)).alias("before"))
-    tiles = cut(made.join(before, "part").select((F.col("before") + F.col("k")).alias("tile"), "low", "high", "packed"))
-    # How many tiles start at each population count: 65 numbers. Tiles below a count are numbered before it.
-    starts = [0] * 66
-    for count, n in tiles.groupBy(F.col("low")[0]).count().collect():
-        starts[count + 1] += n
+    # How many tiles each partition holds by the population count that they start at: 65 numbers a partition at most.
+    held = made.groupBy("part", F.col("low")[0].alias("level")).agg(F.count("*").alias("count"), F.sum(F.octet_length("packed") / 8).alias("n")).collect()
+    if not held:
+        return distinct.sparkSession.createDataFrame([], "u long, v long")
+    starts, sizes = [0] * 66, {}
+    for r in held:
+        starts[r.level + 1] += r["count"]
+        sizes[r.part] = sizes.get(r.part, 0) + r["count"]
     reach = [sum(starts[: min(64, level + radius) + 2]) - 1 for level in range(65)]
+    total, offsets = 0, []
+    for part in sorted(sizes):
+        offsets.append((part, total))
+        total += sizes[part]
+    # One row a partition.
+    before = F.broadcast(distinct.sparkSession.createDataFrame(offsets, "part int, before long"))
+    tiles = made.join(before, "part").select((F.col("before") + F.col("k")).alias("tile"), "low", "high", "packed")
     last = F.element_at(F.array(*map(F.lit, reach)), F.col("high")[0] + 1)
     bounds = tiles.select("tile", "low", "high")
     apart = sum((F.greatest(F.lit(0), F.col("b.low")[q] - F.col("a.high")[q], F.col("a.low")[q] - F.col("b.high")[q]) for q in range(1, 5)), F.lit(0))
@@ -189,9 +197,8 @@ def link_fingerprints(distinct: DataFrame, radius: int = 4, tile: int = TILE) ->
         .where(apart <= radius)
         .select("s", "t")
     )
-    pairs = cut(pairs)
-    # Each task compares whole pairs; a pair of full tiles takes under a second.
-    tasks = max(1, min(pairs.count(), MOST_TASKS))
+    # Tasks by the comparisons that there are, as many as half a pair of full tiles has to each: well under a second.
+    tasks = min(math.ceil((sum(r.n for r in held) / tile) ** 2), MOST_TASKS)
     both = pairs.join(tiles.select(F.col("tile").alias("s"), F.col("packed").alias("x")), "s").join(tiles.select(F.col("tile").alias("t"), F.col("packed").alias("y")), "t")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
