@@ -10,7 +10,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -105,6 +105,22 @@ def clauses(c: Column, locale: str = "en") -> Column:
     return F.transform(made, lambda x, i: F.struct(i.alias("clause_idx"), x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text")))
 
 
+def clause_rows(docs: DataFrame, doc: str = "doc_id", column: str = "text", locale: str = "en") -> DataFrame:
+    """(doc, clause_idx, start, end, text): the clauses of every document, as ``clauses`` gives them for one text.
+
+    A running sum over a document's pieces gives the offsets, so the work is linear in a
+    text however many clauses it has, and its partitioning by document serves the joins
+    that follow. ``doc`` tells documents apart.
+    """
+    marks = CLAUSE_BREAKS["zh" if is_zh(locale) else "en"].replace("\n", "\\n")
+    order = Window.partitionBy(doc).orderBy("k")
+    raw = docs.select(doc, F.posexplode(F.split(column, f"[{marks}]")).alias("k", "raw"))
+    placed = raw.withColumn("at", F.coalesce(F.sum(F.length("raw") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    left = placed.withColumn("left", F.regexp_replace("raw", f"^{SPACE}+", "")).withColumn("text", F.regexp_replace("left", f"{SPACE}+$", "")).where("text != ''")
+    start = (F.col("at") + F.length("raw") - F.length("left")).cast("int")
+    return left.select(doc, (F.row_number().over(order) - 1).alias("clause_idx"), start.alias("start"), (start + F.length("text")).alias("end"), "text")
+
+
 def sentences(c: Column) -> Column:
     """Sentences with their closing mark; a full stop is no boundary, line breaks are."""
     return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "(?<=[。！？!?；;])|\\n+"), trim_all), lambda x: x != "")
@@ -122,7 +138,7 @@ def singular(c: Column) -> Column:
     low = F.lower(F.coalesce(c, F.lit("")))
     known = F.create_map(*[F.lit(x) for pair in IRREGULAR_PLURALS.items() for x in pair])
     rule = (
-        F.when(low.endswith("ies") & (F.length(low) > 4), F.concat(F.expr("''"), F.substring(low, 1, F.length(low) - 3), F.lit("y")))
+        F.when(low.endswith("ies") & (F.length(low) > 4), F.concat(F.substring(low, 1, F.length(low) - 3), F.lit("y")))
         .when(low.rlike("(?:s|x|z|ch|sh)es$"), F.substring(low, 1, F.length(low) - 2))
         .when(low.endswith("s") & ~low.endswith("ss") & (F.length(low) > 3), F.substring(low, 1, F.length(low) - 1))
         .otherwise(low)

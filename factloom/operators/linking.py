@@ -21,21 +21,23 @@ def type_bonus(actual: Column, expected: Column, up: Column) -> Column:
     return F.when(actual.isNull() | (F.size(expected) <= 0), 0.0).when(F.array_contains(expected, actual), EXACT_TYPE).when(F.arrays_overlap(expected, up), CHILD_TYPE).otherwise(FOREIGN_TYPE)
 
 
-def link(hints: DataFrame, entities: DataFrame, ancestors: DataFrame | None = None, compose: bool = False) -> DataFrame:
+def link(hints: DataFrame, entities: DataFrame, ancestors: DataFrame | None = None, compose: bool = False, world: str | None = None) -> DataFrame:
     """Hints (hint_id, hint, expected) with status, strategy, entity_id, confidence and alternatives.
 
     entities: (entity_id, name, aliases, type). Names and aliases meet hints in one
     equi-join on their normal form; the best score wins, ties are ambiguous, none is
-    missing. Confidence is the score, clamped to 1.
+    missing. Confidence is the score, clamped to 1. ``world`` names a column of both
+    tables: a hint then meets the entities of its own world only.
     """
-    forms = entities.select("entity_id", "type", F.explode(F.concat(F.array(F.struct(F.col("name").alias("n"), F.lit("exact-name").alias("strategy"), F.lit(NAME).alias("worth"))), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.struct(a.alias("n"), F.lit("exact-alias").alias("strategy"), F.lit(ALIAS).alias("worth"))))).alias("f"))
-    keyed = forms.select("entity_id", "type", entity_name_form(F.col("f.n"), compose).alias("__key"), "f.strategy", "f.worth").where("__key != ''")
+    scope = [world] if world else []
+    forms = entities.select("entity_id", "type", *scope, F.explode(F.concat(F.array(F.struct(F.col("name").alias("n"), F.lit("exact-name").alias("strategy"), F.lit(NAME).alias("worth"))), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.struct(a.alias("n"), F.lit("exact-alias").alias("strategy"), F.lit(ALIAS).alias("worth"))))).alias("f"))
+    keyed = forms.select("entity_id", "type", *scope, entity_name_form(F.col("f.n"), compose).alias("__key"), "f.strategy", "f.worth").where("__key != ''")
     if ancestors is not None:
         up = ancestors.where("depth > 0").groupBy(F.col("concept").alias("type")).agg(F.collect_set("ancestor").alias("__up"))
         keyed = keyed.join(up, "type", "left")
     else:
         keyed = keyed.withColumn("__up", F.lit(None).cast("array<string>"))
-    met = hints.withColumn("__key", entity_name_form(F.col("hint"), compose)).join(keyed, "__key")
+    met = hints.withColumn("__key", entity_name_form(F.col("hint"), compose)).join(keyed, ["__key", *scope])
     scored = met.withColumn("score", F.col("worth") + type_bonus(F.col("type"), F.col("expected"), F.coalesce("__up", F.array().cast("array<string>"))))
     # An entity counts once, by its best form.
     once = scored.groupBy("hint_id", "entity_id").agg(F.max(F.struct("score", "worth", "strategy")).alias("s"))

@@ -26,9 +26,17 @@ def strictly_larger(outer_start: Column, outer_end: Column, start: Column, end:
 
 
 def inside(spans: DataFrame, clauses: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Spans with the clause that fully holds them: (all of spans, clause_idx, clause_start, clause_end)."""
-    c = clauses.select(F.col(doc).alias("__doc"), "clause_idx", F.col("start").alias("clause_start"), F.col("end").alias("clause_end"))
-    return spans.join(c, (F.col(doc) == F.col("__doc")) & contains(F.col("clause_start"), F.col("clause_end"), F.col("start"), F.col("end"))).drop("__doc")
+    """Spans with the clause that fully holds them: (all of spans, clause_idx, clause_start, clause_end).
+
+    Clauses of a document don't overlap, so the only one that can hold a span is the last
+    that starts at or before it: both go through one sort by place, not a join of all
+    spans with all clauses of their document.
+    """
+    c = clauses.select(doc, F.col("start").alias("__at"), F.lit(0).alias("__kind"), F.struct("clause_idx", F.col("start").alias("clause_start"), F.col("end").alias("clause_end")).alias("__c"))
+    s = spans.select(doc, F.col("start").alias("__at"), F.lit(1).alias("__kind"), F.struct(*spans.columns).alias("__s"))
+    so_far = Window.partitionBy(doc).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    met = c.unionByName(s, allowMissingColumns=True).withColumn("__c", F.last("__c", ignorenulls=True).over(so_far))
+    return met.where((F.col("__kind") == 1) & (F.col("__s.end") <= F.col("__c.clause_end"))).select("__s.*", "__c.*")
 
 
 def clause_of_point(points: DataFrame, clauses: DataFrame, doc: str = "doc_id") -> DataFrame:

@@ -23,11 +23,11 @@ REQUIRED: dict[str, tuple[tuple[str, ...], ...]] = {
 #: Fixed: payload keys that a user may edit, by kind.
 EDITABLE: dict[str, tuple[str, ...]] = {
     "field-update": ("value",),
-    "relation-update": ("subject_entity_id", "object_entity_id", "relation_concept"),
-    "create-entity": ("name", "entity_type_id", "aliases"),
+    "relation-update": ("subject_entity_id", "subject_name", "relation_concept", "object_entity_id", "object_name"),
+    "event-history": ("subject_entity_id", "subject_name", "event_concept", "object_entity_id", "object_name"),
+    "create-entity": ("name", "entity_type_id", "likely_type_concept", "recommended_type_name", "recommended_type_icon", "recommended_fields"),
     "create-schema-field": ("suggested_label", "suggested_value_type"),
-    "create-select-option": ("option",),
-    "event-history": (),
+    "create-select-option": ("value",),
 }
 
 
@@ -109,6 +109,12 @@ def edited_payload(kind: Column, stored: Column, patch: Column) -> Column:
     return F.when(ok, F.map_concat(F.map_filter(stored, lambda k, v: ~F.array_contains(F.map_keys(patch), k)), patch))
 
 
+def display_order(suggestions: DataFrame, group: Sequence[str], tier: Column, dependency: Column, confidence: str, seq: str, to: str = "place") -> DataFrame:
+    """All suggestions with their place (from 1) in their group's display: by tier, what others depend on first, confidence to a thousandth, then sighting."""
+    w = Window.partitionBy(*group).orderBy(tier, dependency, -F.round(confidence, 3), seq)
+    return suggestions.withColumn(to, F.row_number().over(w))
+
+
 def split_informational(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(records to store, skipped)."""
     return records.where("status != 'informational'"), records.where("status = 'informational'")

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ancestors(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(node, ancestor, depth): every node with itself (0) and all above it; a cycle ends where it closes.
+def ancestors(nodes: DataFrame) -> DataFrame:
+    """(node, ancestor, depth): every node with itself (0) and all above it, however deep; a cycle ends where it closes.
 
     Pairs double their reach each round (a path of n levels takes log2 n joins), so no
     query runs a level at a time.
@@ -15,7 +15,7 @@ def ancestors(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
     own = nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"))
     step = nodes.where("parent is not null").select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
     reach, out, span = step, step, 1
-    while span < max_depth:
+    while True:
         right = reach.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("above"), F.col("depth").alias("more"))
         longer = out.join(right, "ancestor").where("node != above").select("node", F.col("above").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
         out = out.unionByName(longer).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")).checkpoint()

@@ -26,7 +26,7 @@ def analyse(docs: DataFrame, lexicon: DataFrame, concepts: DataFrame, entities:
     docs = docs.select("doc_id", clean(F.col("text")).alias("text"))
     kinds = concepts.select("concept_id", "kind")
     spans = keep(matching.collapse_evidence(matching.match_lexicon(docs, lexicon, locale)).join(kinds, "concept_id", "left"))
-    clauses = docs.select("doc_id", F.explode(text.clauses(F.col("text"), locale)).alias("c")).select("doc_id", "c.*")
+    clauses = text.clause_rows(docs, locale=locale)
     relations = discovery.extract_relations(spans, clauses)
     patterns = extract.extract_patterns(clauses, locale)
     subject = discovery.subject_left(F.substring(F.col("text"), F.lit(1), F.col("start") - F.col("__from")), F.lit(""))

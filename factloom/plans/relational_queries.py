@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
-from ..operators import lifecycle, relational, trees
+from ..operators import lifecycle, relational, suggest, trees
 from .registry import query
 
 
@@ -155,7 +155,7 @@ def canonical_diff(spark, t):
     return lifecycle.canonical_diff(o.where("o_orderkey % 3 != 0"), canon, ["o_orderkey"], "status_value")
 
 
-_REVISIONS = """revisions AS (SELECT user_id AS k, event_id AS revision, CASE event_type WHEN 'view' THEN 'superseded' WHEN 'click' THEN 'superseded' WHEN 'signup' THEN 'pending' WHEN 'purchase' THEN 'accepted' ELSE 'ignored' END AS status, event_id % 2 = 0 AS edited FROM events WHERE event_id % 37 = 0),
+_REVISIONS = """revisions AS (SELECT user_id AS k, event_id AS revision, CASE event_type WHEN 'view' THEN 'superseded' WHEN 'click' THEN 'superseded' WHEN 'signup' THEN 'pending' WHEN 'purchase' THEN 'accepted' ELSE 'ignored' END AS status, event_id % 2 = 0 AS edited FROM events),
 incoming AS (SELECT DISTINCT user_id + 3 AS k FROM events WHERE user_id % 2 = 0),
 groups AS (SELECT k, bool_or(status = 'ignored') AS ign, bool_or(status = 'accepted' AND edited) AS cor, bool_or(status = 'accepted') AS acc, bool_or(status = 'pending') AS pen, bool_or(status = 'superseded') AS sup,
 max(revision) FILTER (WHERE status = 'pending') AS pr, max(revision) FILTER (WHERE status = 'superseded') AS sr, arg_max(edited, revision) FILTER (WHERE status = 'pending') AS pe, max(revision) + 1 AS nx FROM revisions GROUP BY 1),
@@ -168,7 +168,7 @@ def revision_merge(spark, t):
     """What a re-analysis does to every group of revisions."""
     e = t("events")
     status = F.when(F.col("event_type").isin("view", "click"), "superseded").when(F.col("event_type") == "signup", "pending").when(F.col("event_type") == "purchase", "accepted").otherwise("ignored")
-    revisions = e.where("event_id % 37 = 0").select(F.col("user_id").alias("semantic_key"), F.col("event_id").alias("revision"), status.alias("status"), (F.col("event_id") % 2 == 0).alias("edited"))
+    revisions = e.select(F.col("user_id").alias("semantic_key"), F.col("event_id").alias("revision"), status.alias("status"), (F.col("event_id") % 2 == 0).alias("edited"))
     return lifecycle.plan_merge(e.where("user_id % 2 = 0").select((F.col("user_id") + 3).alias("semantic_key")), revisions)
 
 
@@ -201,20 +201,24 @@ def confidence_tiers(spark, t):
     return t("labels").select("doc_id", "toxic", tier.alias("tier"), scores.tier_priority(tier).alias("priority"))
 
 
-@query("""SELECT user_id, event_type, k FROM (SELECT user_id, event_type, value, CAST(row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN value >= 72 THEN 10 WHEN value >= 55 THEN 20 ELSE 30 END, CASE event_type WHEN 'signup' THEN 1 WHEN 'purchase' THEN 2 ELSE 3 END, -round(value, 3), event_id) AS INTEGER) AS k FROM events) WHERE k <= 5""")
+@query("""SELECT user_id, event_id, event_type, CAST(row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN value >= 72 THEN 10 WHEN value >= 55 THEN 20 ELSE 30 END, CASE event_type WHEN 'signup' THEN 1 WHEN 'purchase' THEN 2 ELSE 3 END, -round(value, 3), event_id) AS INTEGER) AS place FROM events""")
 def suggestion_order(spark, t):
     """Display order by tier, dependency, bucketed confidence, place."""
     tier = F.when(F.col("value") >= 72, 10).when(F.col("value") >= 55, 20).otherwise(30)
     kind = F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "purchase", 2).otherwise(3)
-    w = Window.partitionBy("user_id").orderBy(tier, kind, -F.round("value", 3), "event_id")
-    return t("events").withColumn("k", F.row_number().over(w)).where("k <= 5").select("user_id", "event_type", "k")
+    return suggest.display_order(t("events"), ["user_id"], tier, kind, "value", "event_id").select("user_id", "event_id", "event_type", "place")
 
 
-@query("""SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) IS NULL AS bad, json_extract_string(props, '$.missing') IS NULL AS missing FROM events""")
+@query("""WITH r AS (SELECT event_id, json_extract_string(props, '$.k') AS k, CASE WHEN event_id % 3 = 0 THEN ' TRUE ' WHEN event_id % 3 = 1 THEN event_type END AS flag, CASE WHEN event_id % 4 > 0 THEN CAST(value AS VARCHAR) ELSE ' ' END AS worth FROM events),
+c AS (SELECT event_id, TRY_CAST(k AS DOUBLE) AS number, CASE WHEN lower(trim(flag)) IN ('true', 'false') THEN lower(trim(flag)) END AS flag_, CASE WHEN k IS NULL OR trim(k) = '' THEN 'k:required' WHEN TRY_CAST(k AS DOUBLE) IS NULL THEN 'k:number' WHEN trim(flag) <> '' AND lower(trim(flag)) NOT IN ('true', 'false') THEN 'flag:boolean' WHEN worth = ' ' THEN 'worth:required' END AS error, TRY_CAST(nullif(trim(worth), '') AS DOUBLE) AS worth_ FROM r)
+SELECT event_id, number AS k, flag_ AS flag, worth_ AS worth, error FROM c""")
 def schema_cast(spark, t):
     """a value read by its schema, cast or refused."""
-    k = F.get_json_object("props", "$.k").try_cast("long")
-    return t("events").select("event_id", k.alias("k"), k.isNull().alias("bad"), F.get_json_object("props", "$.missing").isNull().alias("missing"))
+    k = F.col("event_id")
+    values = F.create_map(F.lit("k"), F.get_json_object("props", "$.k"), F.lit("flag"), F.when(k % 3 == 0, " TRUE ").when(k % 3 == 1, F.col("event_type")), F.lit("worth"), F.when(k % 4 > 0, F.col("value").cast("string")).otherwise(" "), F.lit("unknown"), F.lit("x"))
+    read = suggest.cast_values(t("events").select("event_id", values.alias("values")), {"k": ("number", True), "flag": ("boolean", False), "worth": ("number", True)})
+    at = lambda name: F.try_element_at("clean", F.lit(name))
+    return read.select("event_id", at("k").cast("double").alias("k"), at("flag").alias("flag"), at("worth").cast("double").alias("worth"), "error")
 
 
 @query("""SELECT p_partkey, 'part::' || p_brand || CASE WHEN p_size % 2 = 0 THEN '::' || p_size ELSE '' END AS suggestion_id, 'relation.' || lower(p_brand) AS relation FROM part""")

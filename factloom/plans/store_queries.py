@@ -36,19 +36,19 @@ def concept_labels(spark, t):
     return relational.presentation(concepts, labels, "de").select("n_nationkey", "label")
 
 
-@query("""SELECT user_id, string_agg(event_type, '|' ORDER BY k) AS kinds FROM (SELECT user_id, event_type, min(event_id) AS k FROM events WHERE event_type <> 'view' AND event_id % 20 = 0 GROUP BY 1, 2) GROUP BY 1""")
+@query("""SELECT user_id, string_agg(event_type, '|' ORDER BY k) AS kinds FROM (SELECT user_id, event_type, min(event_id) AS k FROM events WHERE event_type <> 'view' GROUP BY 1, 2) GROUP BY 1""")
 def distinct_kinds(spark, t):
     """Values in order, each once, blanks dropped."""
-    e = t("events").where("event_id % 20 = 0").withColumn("k", F.when(F.col("event_type") != "view", F.col("event_type")).otherwise(""))
+    e = t("events").withColumn("k", F.when(F.col("event_type") != "view", F.col("event_type")).otherwise(""))
     seen = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "k"))), lambda x: x["k"])
     out = e.groupBy("user_id").agg(relational.distinct_in_order(seen).alias("k"))
     return out.where("size(k) > 0").select("user_id", F.array_join("k", "|").alias("kinds"))
 
 
-@query("""SELECT p_partkey AS id, p_size AS start, 'part' AS kind FROM part WHERE p_size % 2 = 0 UNION ALL SELECT s_suppkey, NULL, 'supplier' FROM supplier""")
+@query("""SELECT p_partkey AS id, p_size AS start, 'part' AS kind FROM part UNION ALL SELECT s_suppkey, NULL, 'supplier' FROM supplier""")
 def candidate_union(spark, t):
     """Streams of candidates as one, the placeless last."""
-    parts = t("part").where("p_size % 2 = 0").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("start"), F.lit("part").alias("kind"))
+    parts = t("part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("start"), F.lit("part").alias("kind"))
     return relational.union_by_start([parts, t("supplier").select(F.col("s_suppkey").alias("id"), F.lit("supplier").alias("kind"))]).select("id", "start", "kind")
 
 
@@ -87,12 +87,12 @@ def mention_memory(spark, t):
     return out.select("conv_id", "turn", F.when(F.size("recent") > 0, F.array_join("recent", "|")).alias("recent"), "seen")
 
 
-@query("""WITH c AS (SELECT o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS clause_idx, o_orderkey AS s, o_orderkey + 5000 AS e FROM orders WHERE o_orderkey % 7 = 0), p AS (SELECT o_custkey, o_orderkey FROM orders WHERE o_orderkey % 7 = 1)
+@query("""WITH c AS (SELECT o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS clause_idx, o_orderkey AS s, o_orderkey + 5000 AS e FROM orders), p AS (SELECT o_custkey, o_orderkey + 11 AS o_orderkey FROM orders)
 SELECT p.o_custkey AS doc_id, p.o_orderkey AS start, min(c.clause_idx) AS clause_idx FROM p JOIN c ON c.o_custkey = p.o_custkey AND p.o_orderkey BETWEEN c.s AND c.e GROUP BY 1, 2""")
 def point_in_clause(spark, t):
     """The first clause whose closed range holds a point."""
     o = t("orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("start"))
     from ..operators.linking import number_in_order
 
-    c = number_in_order(o.where("start % 7 = 0"), ["doc_id"], ["start"], "clause_idx").withColumn("end", F.col("start") + 5000)
-    return spans.clause_of_point(o.where("start % 7 = 1"), c).select("doc_id", "start", "clause_idx")
+    c = number_in_order(o, ["doc_id"], ["start"], "clause_idx").withColumn("end", F.col("start") + 5000)
+    return spans.clause_of_point(o.withColumn("start", F.col("start") + 11), c).select("doc_id", "start", "clause_idx")

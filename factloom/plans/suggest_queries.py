@@ -48,11 +48,11 @@ def type_compatibility(spark, t):
     return t("part").select("p_partkey", linking.compatibility(s, c, r)["status"].alias("status"))
 
 
-@query("""WITH e AS (SELECT user_id, 'f' || event_id % 3 AS f, arg_max(event_type, event_id) AS v FROM events WHERE event_id % 4 = 0 GROUP BY 1, 2) SELECT c_custkey AS entity_id, concat_ws('|', coalesce((SELECT v FROM e WHERE user_id = c_custkey AND f = 'f0'), c_mktsegment), (SELECT v FROM e WHERE user_id = c_custkey AND f = 'f1'), (SELECT v FROM e WHERE user_id = c_custkey AND f = 'f2')) AS "values" FROM customer""")
+@query("""WITH e AS (SELECT user_id, 'f' || event_id % 3 AS f, arg_max(event_type, event_id) AS v FROM events GROUP BY 1, 2) SELECT c_custkey AS entity_id, concat_ws('|', coalesce((SELECT v FROM e WHERE user_id = c_custkey AND f = 'f0'), c_mktsegment), (SELECT v FROM e WHERE user_id = c_custkey AND f = 'f1'), (SELECT v FROM e WHERE user_id = c_custkey AND f = 'f2')) AS "values" FROM customer""")
 def apply_updates(spark, t):
     """M7: accepted field updates on entities; the last of a field wins."""
     entities = t("customer").select(F.col("c_custkey").alias("entity_id"), F.create_map(F.lit("f0"), "c_mktsegment").alias("values"))
-    accepted = t("events").where("event_id % 4 = 0").select(F.col("user_id").alias("entity_id"), F.concat(F.lit("f"), F.col("event_id") % 3).alias("field_key"), F.col("event_type").alias("value"), F.col("event_id").alias("seq"))
+    accepted = t("events").select(F.col("user_id").alias("entity_id"), F.concat(F.lit("f"), F.col("event_id") % 3).alias("field_key"), F.col("event_type").alias("value"), F.col("event_id").alias("seq"))
     done = suggest.apply_field_updates(entities, accepted)
     return done.select("entity_id", F.concat_ws("|", *(F.try_element_at("values", F.lit(f)) for f in ("f0", "f1", "f2"))).alias("values"))
 
@@ -88,10 +88,10 @@ def merged_evidence(spark, t):
     return out.select("user_id", "kind", "confidence", F.array_join("alternatives", "|").alias("alternatives"))
 
 
-@query("""WITH g AS (SELECT user_id, count(*) AS n, max(value / 150) AS c FROM events WHERE event_id % 40 = 0 GROUP BY 1) SELECT user_id, n AS occurrences, round(CASE WHEN c >= 0.32 THEN greatest(c, least(0.95, c + least(0.12, (n - 1) * 0.05))) ELSE c END, 6) AS confidence FROM g""")
+@query("""WITH g AS (SELECT user_id, count(*) AS n, max(value / 150) AS c FROM events GROUP BY 1) SELECT user_id, n AS occurrences, round(CASE WHEN c >= 0.32 THEN greatest(c, least(0.95, c + least(0.12, (n - 1) * 0.05))) ELSE c END, 6) AS confidence FROM g""")
 def repeated_suggestions(spark, t):
     """Sightings of a name joined; repetition makes them surer."""
-    e = t("events").where("event_id % 40 = 0").select("user_id", F.col("event_type").alias("kind"), (F.col("value") / 150).alias("confidence"), "event_id")
+    e = t("events").select("user_id", F.col("event_type").alias("kind"), (F.col("value") / 150).alias("confidence"), "event_id")
     return linking.merge_suggestions(e, "user_id", "kind", "confidence", "event_id").select("user_id", "occurrences", F.round("confidence", 6).alias("confidence"))
 
 
@@ -104,12 +104,38 @@ def story_events(spark, docs):
     """Events of (doc_id, text) by the story lexicon."""
     lex = lexicons.from_rows(spark, STORY_LEXICON)
     concepts = spark.createDataFrame([("event.join", "member_of", None), ("event.leave", None, "member_of")], "concept_id string, produces string, ends string")
-    clauses = docs.select("doc_id", F.explode(text.clauses(F.col("text"))).alias("c")).select("doc_id", "c.*")
+    clauses = text.clause_rows(docs)
     return event_ops.assemble(clauses, matching.match_lexicon(docs, lex), concepts)
 
 
-@query(f"""SELECT n.doc_id, v.subject, v.object, v.state FROM documents n, (VALUES ('Alice', 'Guild', 'active'), ('John', 'Guild', 'active'), ('Bob', 'Port Elm', 'active')) v(subject, object, state) WHERE n.doc_id % 10 = 3""")
+_SECOND = "Mara joined the Fleet. Oswin did not join the Fleet. Later Oswin joined Port Elm."
+
+
+@query("""SELECT n.doc_id, v.subject, v.object, v.state FROM documents n JOIN (VALUES (0, 'Alice', 'Guild', 'active'), (0, 'John', 'Guild', 'active'), (0, 'Bob', 'Port Elm', 'active'), (1, 'Mara', 'Fleet', 'active'), (1, 'Oswin', 'Port Elm', 'active')) v(k, subject, object, state) ON n.doc_id % 2 = v.k""")
 def story_state(spark, t):
-    """Texts to events to the relations that hold."""
-    docs = t("documents").where("doc_id % 10 = 3").select("doc_id", F.lit(_STORY).alias("text"))
+    """Whole texts, each with a story at its end, to events to the relations that hold."""
+    story = F.when(F.col("doc_id") % 2 == 0, _STORY).otherwise(_SECOND)
+    docs = t("documents").select("doc_id", F.concat("text", F.lit("\n"), story).alias("text"))
     return state.replay_state(event_ops.relation_log(story_events(spark, docs))).select(F.col("world").alias("doc_id"), "subject", "object", "state")
+
+
+@query("""WITH e AS (SELECT s_suppkey AS id, s_nationkey AS world, 'n' || s_suppkey % 7 AS name FROM supplier), h AS (SELECT c_custkey, c_nationkey AS world, 'n' || c_custkey % 9 AS name FROM customer)
+SELECT c_custkey, CASE WHEN n = 0 THEN 'missing' WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 THEN id END AS entity_id FROM (SELECT h.c_custkey, count(e.id) AS n, min(e.id) AS id FROM h LEFT JOIN e ON e.world = h.world AND e.name = h.name GROUP BY 1)""")
+def linking_in_world(spark, t):
+    """A hint meets the entities of its own world only."""
+    none = F.array().cast("array<string>")
+    entities = t("supplier").select(F.col("s_suppkey").alias("entity_id"), F.col("s_nationkey").alias("world"), F.concat(F.lit("N"), F.col("s_suppkey") % 7).alias("name"), none.alias("aliases"), F.lit(None).cast("string").alias("type"))
+    hints = t("customer").select(F.col("c_custkey").alias("hint_id"), F.col("c_nationkey").alias("world"), F.concat(F.lit("the n"), F.col("c_custkey") % 9).alias("hint"), none.alias("expected"))
+    return linking.link(hints, entities, world="world").select(F.col("hint_id").alias("c_custkey"), "status", "entity_id")
+
+
+@query("""WITH x AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'field-update' WHEN 1 THEN 'create-entity' ELSE 'create-select-option' END AS kind, CASE WHEN p_size % 3 = 0 THEN 'name' WHEN p_size % 3 = 1 THEN 'value' ELSE 'likely_type_concept' END AS k, p_brand, p_name FROM part),
+y AS (SELECT *, CASE kind WHEN 'create-entity' THEN k IN ('name', 'likely_type_concept') ELSE k = 'value' END AS ok FROM x)
+SELECT p_partkey, ok AS accepted, CASE WHEN ok THEN CASE WHEN k = 'name' THEN p_brand ELSE p_name END END AS name, CASE WHEN ok AND k <> 'name' THEN p_brand END AS changed FROM y""")
+def edited_suggestions(spark, t):
+    """A user's patch changes the editable keys of a kind and is refused for any other."""
+    pick = lambda c, *names: F.element_at(F.array(*map(F.lit, names)), (F.col(c) % 3).cast("int") + 1)
+    key = pick("p_size", "name", "value", "likely_type_concept")
+    out = suggest.edited_payload(pick("p_partkey", "field-update", "create-entity", "create-select-option"), F.create_map(F.lit("name"), "p_name"), F.create_map(key, F.col("p_brand")))
+    row = t("part").select("p_partkey", key.alias("k"), out.alias("x"))
+    return row.select("p_partkey", F.col("x").isNotNull().alias("accepted"), F.col("x")["name"].alias("name"), F.when(F.col("k") != "name", F.try_element_at("x", "k")).alias("changed"))

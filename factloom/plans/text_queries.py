@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
-from ..operators import context, extract, matching, spans, state
+from ..operators import context, discovery, extract, matching, spans, state
 from ..sources import lexicons
 from .registry import query
 
@@ -35,7 +35,7 @@ clauses AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY
 
 
 def clause_table(docs, locale="en"):
-    return docs.select("doc_id", F.explode(text.clauses(F.col("text"), locale)).alias("c")).select("doc_id", "c.*")
+    return text.clause_rows(docs, locale=locale)
 
 
 @query(f'WITH {_CLAUSES} SELECT doc_id, clause_idx, s AS start, e AS "end", text FROM clauses')
@@ -76,7 +76,7 @@ kept AS (SELECT * FROM ranked a WHERE NOT EXISTS (SELECT 1 FROM ranked b WHERE b
 
 @query(f'{_KEPT} SELECT doc_id, concept_id, evidence_type, confidence, s AS start, e AS "end" FROM kept')
 def lexicon_suppressed(spark, t):
-    """Spans that no surer or longer one of their concept covers."""
+    """A2, O1: spans that no surer or longer one of their concept covers."""
     found = matching.collapse_evidence(matching.match_lexicon(t("documents"), lexicon(spark)))
     return found.select("doc_id", "concept_id", "evidence_type", "confidence", "start", "end")
 
@@ -166,25 +166,25 @@ def event_history(spark, t):
     return state.replay_history(_log(t)).select("world", "seq", "applied", "reason")
 
 
-@query("""SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN substr(text, 1, 20) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS subject, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next_turn FROM conversations""")
+@query("""SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS subject, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next_turn FROM conversations""")
 def fill_forward_subject(spark, t):
     """The last subject carries on; the next event's place."""
-    c = t("conversations").withColumn("own", F.when(F.col("role") == "user", F.substring("text", 1, 20)))
+    c = t("conversations").withColumn("own", F.when(F.col("role") == "user", F.col("text")))
     out = context.fill_forward(c, ["conv_id"], ["turn"], "own", "subject")
     return out.select("conv_id", "turn", "subject", F.lead("turn").over(Window.partitionBy("conv_id").orderBy("turn")).alias("next_turn"))
 
 
-@query("""SELECT user_id, event_type, round(list_reduce(list_prepend(CAST(0.0 AS DOUBLE), list(CAST(value / 200 AS DOUBLE) ORDER BY event_id)), lambda s, c: 1 - (1 - 0.92 * s) * (1 - c)), 6) AS confidence, count(*) AS n FROM events WHERE event_id % 5 = 0 GROUP BY 1, 2""")
+@query("""SELECT user_id, event_type, round(list_reduce(list_prepend(CAST(0.0 AS DOUBLE), list(CAST(value / 200 AS DOUBLE) ORDER BY event_id)), lambda s, c: 1 - (1 - 0.92 * s) * (1 - c)), 6) AS confidence, count(*) AS n FROM events GROUP BY 1, 2""")
 def decayed_fold(spark, t):
     """Evidence of a concept joined in order, earlier evidence fading."""
-    out = context.remember(t("events").where("event_id % 5 = 0").withColumn("c", F.col("value") / 200), ["user_id"], "event_type", "c", ["event_id"])
+    out = context.remember(t("events").withColumn("c", F.col("value") / 200), ["user_id"], "event_type", "c", ["event_id"])
     return out.select("user_id", "event_type", F.round("confidence", 6).alias("confidence"), "n")
 
 
-@query("SELECT user_id, count(*) AS mention_count, max(event_id) AS last_mention, least(1.0, CAST(0.35 AS DOUBLE) + CAST(0.12 AS DOUBLE) * count(*)) AS salience FROM events WHERE event_id % 31 = 0 GROUP BY 1")
+@query("SELECT user_id, count(*) AS mention_count, max(event_id) AS last_mention, least(1.0, CAST(0.35 AS DOUBLE) + CAST(0.12 AS DOUBLE) * count(*)) AS salience FROM events GROUP BY 1")
 def mention_salience(spark, t):
     """How salient an entity is by its mentions."""
-    return context.mentions_summary(t("events").where("event_id % 31 = 0"), ["user_id"], "event_id")
+    return context.mentions_summary(t("events"), ["user_id"], "event_id")
 
 
 @query("""SELECT user_id, event_type AS best_value, value AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id DESC) AS k FROM events) WHERE k = 1""")
@@ -214,13 +214,32 @@ def confidence_math(spark, t):
     return t("events").select("event_id", scores.clamp01(v / 50).alias("clamped"), F.round(scores.saturate((v - 10) / 40), 6).alias("saturated"), F.round(scores.weakest_link(v / 100, F.lit(0.4)), 6).alias("linked"))
 
 
-_WORDS = r"words AS (SELECT conv_id, turn, unnest(w) AS w, CAST(unnest(range(len(w))) AS INTEGER) AS pos FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '\b(the|of|and|in)\b') AS w FROM conversations WHERE conv_id % 4 = 0))"
+#: Mentions of the registered query and what stands between two of them.
+MENTIONS = ("the", "of", "and", "in")
+RULES = (("relation.by", " by ", 0.6), ("relation.to", " to ", 0.5))
+_SAID = r"said AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY turn) AS INTEGER) AS sentence_idx, text FROM (SELECT conv_id AS doc_id, turn, text FROM conversations))"
+_RUNS = r"runs AS (SELECT doc_id, sentence_idx, unnest(r) AS token, unnest(range(len(r))) AS k FROM (SELECT doc_id, sentence_idx, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+') AS r FROM said)), tokens AS (SELECT *, sum(length(token)) OVER (PARTITION BY doc_id, sentence_idx ORDER BY k) - length(token) AS s FROM runs)"
 
 
-@query(f"WITH {_WORDS} SELECT a.conv_id, a.turn, a.pos AS left_pos, b.pos AS right_pos, a.w AS left_word, b.w AS right_word FROM words a JOIN words b ON a.conv_id = b.conv_id AND a.turn = b.turn AND a.pos < b.pos AND b.pos <= a.pos + 3 AND a.w <> b.w")
+@query(f"""WITH {_SAID}, {_RUNS}, m AS (SELECT doc_id, sentence_idx, lower(token) AS id, min(s) AS s, min(s) + length(lower(token)) AS e FROM tokens WHERE lower(token) IN {MENTIONS} GROUP BY 1, 2, 3),
+p AS (SELECT a.doc_id, a.id AS subject, b.id AS object, lower(substr(t.text, CAST(a.e AS INTEGER) + 1, CAST(greatest(0, b.s - a.e) AS INTEGER))) AS between_ FROM m a JOIN m b USING (doc_id, sentence_idx) JOIN said t USING (doc_id, sentence_idx) WHERE a.s < b.s AND a.id <> b.id),
+h AS (SELECT *, CASE WHEN contains(between_, ' by ') THEN 'relation.by' WHEN contains(between_, ' to ') THEN 'relation.to' END AS relation FROM p)
+SELECT doc_id, subject, object, relation, max(CASE relation WHEN 'relation.by' THEN 0.6 ELSE 0.5 END)::DOUBLE AS confidence FROM h WHERE relation IS NOT NULL GROUP BY 1, 2, 3, 4""")
 def mention_pairs(spark, t):
-    """Pairs of different mentions in a turn, left before right."""
-    words = t("conversations").where("conv_id % 4 = 0").select("conv_id", "turn", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(r"\b(the|of|and|in)\b"), F.lit(1))).alias("pos", "w"))
-    a, b = words.alias("a"), words.alias("b")
-    cond = (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.turn") == F.col("b.turn")) & (F.col("a.pos") < F.col("b.pos")) & (F.col("b.pos") <= F.col("a.pos") + 3) & (F.col("a.w") != F.col("b.w"))
-    return a.join(b, cond).select(F.col("a.conv_id").alias("conv_id"), F.col("a.turn").alias("turn"), F.col("a.pos").alias("left_pos"), F.col("b.pos").alias("right_pos"), F.col("a.w").alias("left_word"), F.col("b.w").alias("right_word"))
+    """The first mention of each known entity in a turn, in pairs, and the rule whose label stands between."""
+    said = t("conversations").select(F.col("conv_id").alias("doc_id"), F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("sentence_idx"), "text")
+    tokens = said.select("doc_id", "sentence_idx", F.posexplode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"), F.lit(0))).alias("k", "token"))
+    end = F.sum(F.length("token")).over(Window.partitionBy("doc_id", "sentence_idx").orderBy("k"))
+    placed = tokens.select("doc_id", "sentence_idx", F.lower("token").alias("entity_id"), end.cast("int").alias("end")).where(F.col("entity_id").isin(*MENTIONS))
+    mentions = placed.groupBy("doc_id", "sentence_idx", "entity_id").agg(F.min("end").alias("end")).withColumn("start", F.col("end") - F.length("entity_id"))
+    return discovery.mention_relations(mentions, said, RULES)
+
+
+@query(rf"""WITH {_TOKENS}, x AS (SELECT doc_id, CASE WHEN concept_id = 'type.article' THEN 'c' ELSE 'd' END AS kind, greatest(0, s - (s % 7)) AS s, e + (s % 5) AS e, confidence, row_number() OVER (PARTITION BY doc_id ORDER BY s, expression, evidence_type) AS seq FROM spans)
+SELECT doc_id, kind, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS "end", seq FROM x a WHERE NOT EXISTS (SELECT 1 FROM x b WHERE b.doc_id = a.doc_id AND b.kind = a.kind AND b.seq <> a.seq AND b.s <= a.s AND a.e <= b.e AND b.e - b.s > a.e - a.s AND (b.confidence >= a.confidence OR (b.e - b.s - (a.e - a.s) >= 2 AND b.confidence >= a.confidence - 0.2)))""")
+def less_specific_dropped(spark, t):
+    """Spans inside a longer one of their kind that is as sure, or a little less so, go."""
+    found = matching.match_lexicon(t("documents"), lexicon(spark))
+    seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("start", "expression", "evidence_type"))
+    x = found.select("doc_id", F.when(F.col("concept_id") == "type.article", "c").otherwise("d").alias("kind"), (F.col("start") - F.col("start") % 7).alias("start"), (F.col("end") + F.col("start") % 5).alias("end"), "confidence", seq.cast("long").alias("seq"))
+    return spans.drop_less_specific(x, ["doc_id", "kind"], "seq").drop("confidence")
