@@ -232,6 +232,11 @@ def valid_email(c: Column) -> Column:
     return F.when(bare.rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$") & (F.length(bare) <= 254), bare)
 
 
+def first_set(*alternatives: Column) -> Column:
+    """The first of alternative fields that is neither null nor blank."""
+    return F.coalesce(*(F.when(trim_all(c) != "", c) for c in alternatives))
+
+
 def boundary_before(text: Column, start: Column) -> Column:
     """Whether no letter, digit or underscore stands right before ``start``."""
     return (start == 0) | ~F.substring(text, start, F.lit(1)).rlike(r"^[\p{L}\p{N}_]$")

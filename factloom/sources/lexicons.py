@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed: category files that are matched in texts, and the one of plain terms.
@@ -128,3 +128,13 @@ def read_codes(spark: SparkSession, path: str) -> DataFrame:
     """(code, enabled, max_uses) of a JSON file {"codes": [{code, enabled, maxUses}]}: enabled unless false, unlimited unless maxUses is a number."""
     rows = spark.read.schema("codes array<struct<code:string,enabled:boolean,maxUses:string>>").json(path, multiLine=True).select(F.explode("codes").alias("c"))
     return rows.select(F.trim("c.code").alias("code"), F.coalesce("c.enabled", F.lit(True)).alias("enabled"), F.col("c.maxUses").try_cast("long").alias("max_uses")).where("code != ''")
+
+
+#: Fixed: the packs that are on where none are named.
+USUAL_PACKS = ("furry", "sciFi")
+
+
+def chosen_packs(c: Column) -> Column:
+    """An array of pack names trimmed and without blanks; null means the usual ones."""
+    named = F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x != "")
+    return F.coalesce(named, F.array(*map(F.lit, USUAL_PACKS)))
