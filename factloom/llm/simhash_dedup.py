@@ -37,6 +37,8 @@ TILE = 16384
 BLOCK = 256
 #: Tasks that tile pairs are dealt over at most.
 MOST_TASKS = 20_000
+#: A fingerprint is hot if it has over one in so many of the rows; so there are fewer hot ones than this.
+HOT_SHARE = 1000
 
 _GAPS = re.compile(rb"[\x20\x09-\x0d]+")
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -221,19 +223,31 @@ def link_fingerprints(distinct: DataFrame, radius: int = 4, tile: int = TILE) ->
 
 
 def _judged(docs: DataFrame, radius: int, shingle: int, seed: int, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, mark, fp) of every row, (fp, first) with the first row of each fingerprint's group).
+    """((doc_id, mark, fp) of every row, (fp, held, first): each fingerprint's rows and the first row of its group).
 
     mark is a hash of the text; rows are in order of (null doc_id last, doc_id, mark).
     """
     own = cut(fingerprints(docs, shingle, seed))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
-    classes = cut(own.groupBy("fp").agg(F.min(order).alias("first")))
+    classes = cut(own.groupBy("fp").agg(F.min(order).alias("first"), F.count("*").alias("held")))
     found = connected_components(link_fingerprints(classes.select("fp"), radius, tile))
     # Written before its join back, so that both sides are plain shuffles and a large group can be split.
-    hung = cut(found.join(classes.withColumnRenamed("fp", "node"), "node"))
+    hung = cut(found.join(classes.select(F.col("fp").alias("node"), "first"), "node"))
     firsts = cut(hung.groupBy("component").agg(F.min("first").alias("group_first")))
     linked = hung.join(firsts, "component").select(F.col("node").alias("fp"), "group_first")
-    return own, classes.join(linked, "fp", "left").select("fp", F.coalesce("group_first", "first").alias("first"))
+    return own, classes.join(linked, "fp", "left").select("fp", "held", F.coalesce("group_first", "first").alias("first"))
+
+
+def _named_rows(own: DataFrame, named: DataFrame) -> DataFrame:
+    """Every row of ``own`` with the first row of its fingerprint's group.
+
+    Rows of hot fingerprints, of which there are fewer than ``HOT_SHARE`` whatever the
+    input, meet a broadcast of these; the rest are shuffled, no more than one in
+    ``HOT_SHARE`` of all rows to one key.
+    """
+    named, least = cut(named), own.count() / HOT_SHARE
+    hot = F.broadcast(named.where(F.col("held") > least).select("fp", "first"))
+    return own.join(hot, "fp").unionByName(own.join(hot.select("fp"), "fp", "left_anti").join(named.where(F.col("held") <= least).select("fp", "first"), "fp"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42, tile: int = TILE) -> DataFrame:
@@ -246,7 +260,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: in
     An empty table gives an empty result.
     """
     own, named = _judged(docs, radius, shingle, seed, tile)
-    return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
+    return _named_rows(own, named).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
@@ -258,7 +272,7 @@ def keep_one(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42)
     """
     own, named = _judged(docs, radius, shingle, seed)
     stays = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark").eqNullSafe(F.col("first"))
-    judged = cut(own.join(named, "fp").groupBy("doc_id", "mark").agg(F.bool_and(stays).alias("stays"), F.count("*").alias("times")).where("not stays or times > 1"))
+    judged = cut(_named_rows(own, named).groupBy("doc_id", "mark").agg(F.bool_and(stays).alias("stays"), F.count("*").alias("times")).where("not stays or times > 1"))
     mark = free_name(docs, "mark")
     marked = docs.withColumn(mark, F.xxhash64("text")).alias("d")
 

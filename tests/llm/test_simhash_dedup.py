@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from factloom.llm import simhash_dedup
 from factloom.llm.simhash_dedup import close_pairs, fingerprint, keep_one, near_duplicates
 
 
@@ -50,7 +51,10 @@ def test_close_pairs_skip_nothing():
     assert found == {(i, j) for i in range(len(x)) for j in range(len(y)) if (int(x[i]) ^ int(y[j])).bit_count() <= 4}
 
 
-def test_components_match_brute_force(spark):
+@pytest.mark.parametrize("hot_share", [simhash_dedup.HOT_SHARE, 30, 1])
+def test_components_match_brute_force(spark, monkeypatch, hot_share):
+    """All fingerprints hot, only those of several rows, and none."""
+    monkeypatch.setattr(simhash_dedup, "HOT_SHARE", hot_share)
     rng = random.Random(5)
     texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(0, 60))) for _ in range(60)]
     texts += [t + " tail" for t in texts[:30]] + texts[:10] + ["", None, " ", "A b", "a B"]
