@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .collocations import OP11_SQL, op11_phrase_collocations
 from .decontaminate import op8_template_decontamination
 from .embedding_dedup import op2_embedding_dedup
 from .html_extract import op1_html_extraction
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_template_decontamination": op8_template_decontamination,
     "op9_sentence_span_dedup": op9_sentence_span_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_phrase_collocations": op11_phrase_collocations,
 }
 #: DuckDB SQL; the other operators are beyond SQL and held against brute force in the tests.
-ORACLES = {"op4_url_filter": OP4_SQL}
+ORACLES = {"op4_url_filter": OP4_SQL, "op11_phrase_collocations": OP11_SQL}
