@@ -19,6 +19,7 @@ and scoring is one narrow pass over whole texts.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,7 +34,7 @@ from .common import bounded_batches, cut, read_table
 from .quality import isotonic
 
 #: Labelled rows that a fit sees at most.
-MAX_ROWS = 20_000
+MAX_ROWS = 8_000
 BUCKETS, DIM, SIZES = 1 << 15, 16, (2, 3, 4)
 EPOCHS, FIT_PARTS, RATE, GROUP = 6, 4, 4.0, 16
 #: Documents that training looks at in all, at least: partitions of a small sample go over theirs several times in an epoch.
@@ -42,12 +43,13 @@ VISITS = 24_000
 REJECT = 0.5
 #: Bins of the largest share in which calibration counts right answers.
 BINS = 1000
-#: Characters that are looked at together.
-SLICE = 1 << 20
+#: Characters that are looked at together; a longer text is parted at blanks.
+SLICE = 1 << 19
 #: Code points from here on are no letters.
 _END = 0x32400
 
 _TABLE: list[np.ndarray] = []
+_BLANK = re.compile(r"\s")
 
 
 def _letters() -> tuple[np.ndarray, np.ndarray]:
@@ -61,6 +63,26 @@ def _letters() -> tuple[np.ndarray, np.ndarray]:
     return _TABLE[0], _TABLE[1]
 
 
+def stretches(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
+    """(numbers of texts, texts or parts of them) of about ``SLICE`` characters together; no subword goes over a blank."""
+    numbers, parts, size = [], [], 0
+    for k, text in enumerate(texts):
+        text, at = text or "", 0
+        while True:
+            end = len(text) if len(text) - at <= SLICE else next((m.start() for m in _BLANK.finditer(text, at + SLICE)), len(text))
+            numbers.append(k)
+            parts.append(text[at:end])
+            size += end - at
+            if size >= SLICE:
+                yield numbers, parts
+                numbers, parts, size = [], [], 0
+            at = end
+            if at >= len(text):
+                break
+    if numbers:
+        yield numbers, parts
+
+
 def characters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(code points of all texts, each with a blank before it and one at the very end; where each starts; which have a letter)."""
     low, letter = _letters()
@@ -113,13 +135,28 @@ def sums(table: np.ndarray, chars: np.ndarray, starts: np.ndarray) -> tuple[np.n
     return total, count
 
 
-def bags(chars: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def bags(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
     """(distinct buckets, their shares) of each text."""
-    found = list(subwords(chars))
-    for a, e in zip(starts, starts[1:]):
-        own = np.concatenate([b[np.searchsorted(p, a) : np.searchsorted(p, e)] for p, b in found]) if found else np.zeros(0, np.uint32)
-        buckets, counts = np.unique(own, return_counts=True)
-        yield buckets.astype(np.int32), (counts / max(1, len(own))).astype(np.float32)
+    out = [(np.zeros(0, np.int32), np.zeros(0, np.float32))] * len(texts)
+    open_, counts = None, np.zeros(BUCKETS, np.int64)
+
+    def close() -> None:
+        buckets = np.flatnonzero(counts)
+        out[open_] = (buckets.astype(np.int32), (counts[buckets] / max(1, counts.sum())).astype(np.float32))
+
+    for numbers, parts in stretches(texts):
+        chars, starts, _ = characters(parts)
+        found = list(subwords(chars))
+        for number, a, e in zip(numbers, starts, starts[1:]):
+            if number != open_:
+                if open_ is not None:
+                    close()
+                open_, counts = number, np.zeros(BUCKETS, np.int64)
+            for place, bucket in found:
+                counts += np.bincount(bucket[np.searchsorted(place, a) : np.searchsorted(place, e)], minlength=BUCKETS)
+    if open_ is not None:
+        close()
+    return out
 
 
 @dataclass
@@ -135,9 +172,14 @@ class LanguageModel:
 
     def shares(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(softmax over the languages, one row a text; which texts have a letter)."""
-        chars, starts, letters = characters(texts)
         fold = len(self.langs) <= self.embeddings.shape[1]
-        total, count = sums((self.embeddings @ self.weights if fold else self.embeddings).astype(np.float32), chars, starts)
+        table = (self.embeddings @ self.weights if fold else self.embeddings).astype(np.float32)
+        total, count, letters = np.zeros((len(texts), table.shape[1])), np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
+        for numbers, parts in stretches(texts):
+            chars, starts, any_letter = characters(parts)
+            for whole, part in zip((total, count), sums(table, chars, starts)):
+                np.add.at(whole, numbers, part)
+            np.logical_or.at(letters, numbers, any_letter)
         total = total / np.maximum(1, count)[:, None]
         return _softmax((total if fold else total @ self.weights) + self.bias), letters
 
@@ -191,8 +233,7 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS, epochs: int = EPOCHS, parts:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            chars, starts, _ = characters(b.column("text").to_pylist())
-            both = list(bags(chars, starts))
+            both = bags(b.column("text").to_pylist())
             own = pa.array([number[x] for x in b.column("lang").to_pylist()], pa.int32())
             yield pa.RecordBatch.from_arrays([own, b.column("deal"), pa.array([x for x, _ in both], pa.list_(pa.int32())), pa.array([x for _, x in both], pa.list_(pa.float32()))], names=["y", "deal", "buckets", "shares"])
 

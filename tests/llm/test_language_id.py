@@ -48,8 +48,15 @@ def test_long_texts_over_slices(monkeypatch):
     monkeypatch.setattr(L, "SLICE", 1 << 20)
     again, n = L.sums(table, chars, starts)
     assert np.allclose(total, again) and (count == n).all() and count.tolist() == [len(plain_subwords(t)) for t in texts]
-    for (b, w), t, c in zip(L.bags(chars, starts), total, count):
-        assert np.allclose((w[:, None] * table[b]).sum(0) * c, t, atol=1e-4)
+    for slice_ in (1 << 20, 7):
+        monkeypatch.setattr(L, "SLICE", slice_)
+        for (b, w), t, c in zip(L.bags(texts), total, count):
+            assert np.allclose((w[:, None] * table[b]).sum(0) * c, t, atol=1e-4)
+    model = L.LanguageModel(["a", "b"], np.random.default_rng(1).normal(size=(L.BUCKETS, 4)), np.eye(4)[:, :2], np.zeros(2), np.zeros(0), np.zeros(0))
+    parted, letters = model.shares([*texts, None, "1 2 3 4 5 6 7 8 9"])
+    monkeypatch.setattr(L, "SLICE", 1 << 20)
+    again, same = model.shares([*texts, None, "1 2 3 4 5 6 7 8 9"])
+    assert np.allclose(parted, again) and (letters == same).all() and letters.tolist() == [True, True, False, True, False, False]
 
 
 def test_a_step_lowers_the_loss():
