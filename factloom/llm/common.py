@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which driver and executors share.
 
-    A folder of our own is set only where a local session has none, as in tests; on a
+    A folder of our own is used only where a local session has none, as in tests; on a
     cluster its machines wouldn't share it, so the setting is required there.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -27,7 +28,6 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = os.path.join(tempfile.gettempdir(), "factloom-scratch")
-        spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
@@ -50,8 +50,8 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-#: Paths of the tables written since ``settled`` was entered, innermost last.
-_MADE: list[list[str]] = []
+#: Paths of the tables written since ``settled`` was entered in this thread, innermost last.
+_MADE: ContextVar[tuple[list[str], ...]] = ContextVar("made", default=())
 
 
 def _delete(spark: SparkSession, path: str, on_exit: bool = False) -> None:
@@ -72,7 +72,7 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/factloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
     _delete(spark, path, on_exit=True)
-    for open_ in _MADE:
+    for open_ in _MADE.get():
         open_.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._factloom_path = path
@@ -88,14 +88,15 @@ def drop_cut(df: DataFrame) -> None:
 
 def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
     """The result of ``make`` as a written table; every other table that ``make`` wrote on the way is deleted."""
-    _MADE.append([])
+    paths: list[str] = []
+    outer = _MADE.set((*_MADE.get(), paths))
     try:
         out = cut(make())
-        for path in _MADE[-1]:
+        for path in paths:
             if path != out._factloom_path:
                 _delete(spark, path)
     finally:
-        _MADE.pop()
+        _MADE.reset(outer)
     return out
 
 

@@ -35,3 +35,46 @@ def test_components(spark, shape):
     }[shape]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == plain(edges)
+
+
+def test_threads_keep_each_others_tables(spark):
+    """What one thread settles doesn't delete what another is reading."""
+    import threading
+
+    from factloom.llm.common import cut, settled
+
+    inside, done, got = threading.Event(), threading.Event(), []
+
+    def slow():
+        def make():
+            table = cut(spark.range(10).selectExpr("id"))
+            inside.set()
+            done.wait(60)
+            return table.where("id > 2")
+
+        got.append(settled(spark, make).count())
+
+    other = threading.Thread(target=slow)
+    other.start()
+    inside.wait(60)
+    assert settled(spark, lambda: cut(spark.range(5).selectExpr("id"))).count() == 5
+    done.set()
+    other.join()
+    assert got == [7]
+
+
+def test_local_session_without_a_shared_folder(spark, monkeypatch):
+    """Nothing static is set; the folder is a value."""
+    from factloom.llm import common
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), type("C", (), {"getConf": lambda self: Conf(), "master": "local[2]"})()
+
+    assert common.shared_dir(Session()).endswith("factloom-scratch")
+    Session.sparkContext.__class__.master = "spark://there:7077"
+    with pytest.raises(ValueError):
+        common.shared_dir(Session())
