@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scores import noisy_or, salience, saturate
+from ..functions.scores import DECAY, noisy_or, salience, saturate
 
 #: Fixed: mentions that stay in memory; an antecedent's least score and lead.
 MEMORY, LEAST, MARGIN = 24, 0.30, 0.12
@@ -45,10 +45,23 @@ def choose(ranked: DataFrame, keys: Sequence[str], score: str, ident: str, least
     return top.select(*keys, "best", "best_score", status.alias("status"))
 
 
-def remember(evidence: DataFrame, entity: Sequence[str], concept: str, confidence: str, order: Sequence[str]) -> DataFrame:
-    """(entity, concept, confidence, n): evidence of each concept joined in order by a decayed noisy-or."""
+#: Evidence of one key that is folded in one array.
+FOLDED = 4096
+
+
+def remember(evidence: DataFrame, entity: Sequence[str], concept: str, confidence: str, order: Sequence[str], folded: int = FOLDED) -> DataFrame:
+    """(entity, concept, confidence, n): evidence of each concept joined in order by a decayed noisy-or.
+
+    One step is affine in what was believed before, so a key's evidence is parted by its order into
+    stretches of ``folded``; each becomes a factor and a remainder, and these are joined in order.
+    """
+    keys = [*entity, concept]
+    placed = evidence.withColumn("__part", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1) / folded))
     seen = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(confidence).alias("__c")))), lambda x: x["__c"])
-    return evidence.groupBy(*entity, concept).agg(noisy_or(seen).alias("confidence"), F.count("*").alias("n"))
+    parts = placed.groupBy(*keys, "__part").agg(seen.alias("__seen"), F.count("*").alias("__n"))
+    factor = F.aggregate("__seen", F.lit(1.0), lambda f, c: f * DECAY * (1 - c))
+    steps = F.array_sort(F.collect_list(F.struct("__part", noisy_or(F.col("__seen")).alias("b"), factor.alias("f"))))
+    return parts.groupBy(*keys).agg(F.aggregate(steps, F.lit(0.0), lambda s, x: x["b"] + x["f"] * s).alias("confidence"), F.sum("__n").alias("n"))
 
 
 def mentions_summary(mentions: DataFrame, entity: Sequence[str], order: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import forget, stored
+
 
 def ancestors(nodes: DataFrame) -> DataFrame:
     """(node, ancestor, depth): every node with itself (0) and all above it, however deep; a cycle ends where it closes.
@@ -18,7 +20,8 @@ def ancestors(nodes: DataFrame) -> DataFrame:
     while True:
         right = reach.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("above"), F.col("depth").alias("more"))
         longer = out.join(right, "ancestor").where("node != above").select("node", F.col("above").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
-        out = out.unionByName(longer).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")).checkpoint()
+        done, out = out, stored(out.unionByName(longer).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")))
+        forget(done)
         span *= 2
         if out.where(F.col("depth") >= span).isEmpty():
             break
