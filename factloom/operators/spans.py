@@ -48,17 +48,30 @@ def clause_of_point(points: DataFrame, clauses: DataFrame, doc: str = "doc_id")
     return met.groupBy(*keys).agg(first).select(*keys, "__c.*")
 
 
+#: Characters of a bucket of places; a span inside another begins in one of the buckets that the other touches.
+PLACE = 64
+
+
+def _bucket(c: Column) -> Column:
+    return F.floor(c / PLACE)
+
+
+def _held(spans: DataFrame) -> DataFrame:
+    """Spans that may hold others, once for each bucket ``__place`` that they touch."""
+    return spans.withColumn("__place", F.explode(F.sequence(_bucket(F.col("__s")), _bucket(F.greatest("__s", "__e")))))
+
+
 def suppress_covered(spans: DataFrame, group: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Spans that no better-ranked span of their group contains.
 
     ``order`` ranks the spans of a group and must be total. Because containment is
     transitive, dropping what any better span contains equals the greedy rule that
-    compares with kept spans only, so one self anti-join does it.
+    compares with kept spans only, so one self anti-join does it, among spans of one place.
     """
     ranked = spans.withColumn("__rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
-    better = ranked.select(*(F.col(g).alias(f"__{g}") for g in group), F.col("start").alias("__s"), F.col("end").alias("__e"), F.col("__rank").alias("__r"))
+    better = _held(ranked.select(*(F.col(g).alias(f"__{g}") for g in group), F.col("start").alias("__s"), F.col("end").alias("__e"), F.col("__rank").alias("__r")))
     same = [F.col(g) == F.col(f"__{g}") for g in group]
-    cond = (F.col("__r") < F.col("__rank")) & contains(F.col("__s"), F.col("__e"), F.col("start"), F.col("end"))
+    cond = (F.col("__place") == _bucket(F.col("start"))) & (F.col("__r") < F.col("__rank")) & contains(F.col("__s"), F.col("__e"), F.col("start"), F.col("end"))
     for s in same:
         cond = s & cond
     return ranked.join(better, cond, "left_anti").drop("__rank")
@@ -78,10 +91,10 @@ def non_overlapping(spans: Column) -> Column:
 
 def drop_less_specific(spans: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     """Spans without those inside a strictly larger span of the same keys that is as confident, or two longer and at most 0.2 less so."""
-    o = spans.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("start").alias("__s"), F.col("end").alias("__e"), F.col("confidence").alias("__c"), F.col(seq).alias("__q"))
+    o = _held(spans.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("start").alias("__s"), F.col("end").alias("__e"), F.col("confidence").alias("__c"), F.col(seq).alias("__q")))
     longer = (F.col("__e") - F.col("__s")) - (F.col("end") - F.col("start"))
     wins = (F.col("__c") >= F.col("confidence")) | ((longer >= 2) & (F.col("__c") >= F.col("confidence") - 0.2))
-    cond = strictly_larger(F.col("__s"), F.col("__e"), F.col("start"), F.col("end")) & wins & (F.col("__q") != F.col(seq))
+    cond = (F.col("__place") == _bucket(F.col("start"))) & strictly_larger(F.col("__s"), F.col("__e"), F.col("start"), F.col("end")) & wins & (F.col("__q") != F.col(seq))
     for k in keys:
         cond = (F.col(k) == F.col(f"__{k}")) & cond
     return spans.join(o, cond, "left_anti")

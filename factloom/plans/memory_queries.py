@@ -12,7 +12,7 @@ _CAND = r"""words AS (SELECT conv_id, turn, role, x, unnest(range(1, len(x))) AS
 cand AS (SELECT conv_id AS doc_id, turn AS start, k AS seq, x[k] AS subject, x[k + 1] AS object, CAST(length(x[k]) % 10 AS DOUBLE) / 10 AS confidence, CASE WHEN role = 'user' AND length(x[k]) % 3 = 0 THEN CAST(length(x[k]) AS VARCHAR) END AS subject_id, CASE WHEN role = 'assistant' AND length(x[k + 1]) % 2 = 0 THEN lower(x[k + 1][1:2]) END AS object_draft,
   CASE length(x[k]) % 4 WHEN 0 THEN 'entityType.character' WHEN 1 THEN 'type.guild' WHEN 2 THEN 'entityType.location' END AS subject_type, CASE length(x[k + 1]) % 3 WHEN 0 THEN 'entityType.item' END AS object_type, CASE length(x[k + 1]) % 4 WHEN 0 THEN 'field.age' WHEN 1 THEN 'field.motto' END AS field_concept, CASE WHEN length(x[k + 1]) % 4 > 1 THEN 'relation.knows' END AS relation_concept FROM words)"""
 _FOLD = f"""{_CAND},
-m AS (SELECT doc_id, start, seq, 0 AS side, coalesce('entity:' || subject_id, 'name:' || subject) AS key, subject AS name, subject_id AS entity_id, NULL AS draft_key FROM cand UNION ALL SELECT doc_id, start, seq, 1, coalesce('draft:' || object_draft, 'name:' || object), object, NULL, object_draft FROM cand),
+m AS (SELECT doc_id, start, seq, 0 AS side, coalesce('entity:' || subject_id, 'name:' || subject) AS key, subject AS name, subject_id AS entity_id, CAST(NULL AS VARCHAR) AS draft_key FROM cand UNION ALL SELECT doc_id, start, seq, 1, coalesce('draft:' || object_draft, 'name:' || object), object, CAST(NULL AS VARCHAR), object_draft FROM cand),
 said AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, seq, side) AS i FROM m),
 fold(doc_id, i, created, named, entity) AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST(MAP {{}} AS MAP(VARCHAR, VARCHAR)), CAST(NULL AS VARCHAR) FROM said UNION ALL
   SELECT doc_id, i, CASE WHEN e = key AND NOT list_contains(created, key) THEN list_append(created, key) ELSE created END, map_concat(named, MAP {{name: e}}), e FROM (SELECT s.doc_id, s.i, s.key, s.name, f.created, f.named, CASE WHEN list_contains(f.created, s.key) THEN s.key ELSE coalesce(f.named[s.name], s.key) END AS e FROM fold f JOIN said s ON s.doc_id = f.doc_id AND s.i = f.i + 1)),
