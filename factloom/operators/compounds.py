@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import stored
-from .spans import suppress_nested
+from .spans import suppress_nested, with_text
 
 #: Components of a compound at most.
 MOST = 5
@@ -59,8 +59,9 @@ def _gaps(spans: DataFrame, docs: DataFrame, rule: GapRule) -> DataFrame:
     reach = spans.select("doc_id", "start", "end", F.explode(F.sequence(F.col("end"), F.col("end") + rule.longest)).alias("next"))
     to = spans.select("doc_id", F.col("start").alias("next"), F.col("end").alias("next_end"))
     first = reach.join(to, ["doc_id", "next"]).groupBy("doc_id", "start", "end").agg(F.min(F.struct("next", "next_end")).alias("n")).select("doc_id", "start", "end", "n.*")
-    text = lambda a, b: F.substring(F.col("text"), F.col(a) + 1, F.col(b) - F.col(a))
-    return first.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "start", "end", text("start", "end").alias("own"), "next", "next_end", text("end", "next").alias("gap"), text("end", "next_end").alias("piece"))
+    whole = with_text(first.withColumnRenamed("end", "__end").withColumn("end", F.col("next_end")), docs)
+    text = lambda a, b: F.substring(F.col("word"), F.col(a) - F.col("start") + 1, F.col(b) - F.col(a))
+    return whole.select("doc_id", "start", F.col("__end").alias("end"), text("start", "__end").alias("own"), "next", "next_end", text("__end", "next").alias("gap"), text("__end", "next_end").alias("piece"))
 
 
 def compounds(spans: DataFrame, markers: DataFrame, docs: DataFrame, locale: str = "en", most: int = MOST) -> DataFrame:

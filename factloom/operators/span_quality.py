@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import QUALITY_TIERS, clamp01, tier
 from ..functions.text import collapse_space, nfkc
+from ..sources.scratch import stored
+from .spans import with_text
 
 #: Fixed: what every candidate starts from; lexical evidence by kind and strength, all of it within bounds.
 BASE = 0.48
@@ -103,12 +105,13 @@ def candidate_quality(candidates: DataFrame, matches: DataFrame, docs: DataFrame
     """Candidates (doc_id, cand_id, name, start, end, locale, evidence) with lexical, shape, contamination, edges, span_confidence and quality.
 
     matches: (doc_id, start, end, kind); entity types inside a name don't count against it. ``docs``
-    holds the texts, from which the characters beside each candidate are taken.
+    holds the texts, from which the characters beside each candidate are taken. Candidates are read four times, so they are stored.
     """
     kinds = {"__predicates": F.col("kind").isin("relation", "event"), "__meanings": F.col("kind").isin("field", "role-signal")}
-    met = overlap_counts(candidates, matches.where("kind in ('relation', 'event', 'field', 'role-signal')"), kinds)
-    size = F.length("text")
-    beside = met.join(docs.select("doc_id", "text"), "doc_id").withColumns({"__before": F.when(F.col("start") > 0, F.substring(F.col("text"), F.col("start"), F.lit(1))), "__after": F.when(F.col("end") < size, F.substring(F.col("text"), F.col("end") + 1, F.lit(1)))}).drop("text")
+    candidates = stored(candidates)
+    counts = overlap_counts(candidates.select("doc_id", "cand_id", "start", "end"), matches.where("kind in ('relation', 'event', 'field', 'role-signal')"), kinds).drop("start", "end")
+    met = with_text(candidates, docs, 1, 1).join(counts, ["doc_id", "cand_id"])
+    beside = met.withColumns({"__before": F.nullif(F.col("before"), F.lit("")), "__after": F.nullif(F.col("after"), F.lit(""))}).drop("before", "word", "after")
     name, where = name_form(F.col("name"), compose), F.coalesce("locale", text_locale(F.col("name")))
     supported = F.exists(F.coalesce("evidence", F.array().cast("array<struct<evidence_type:string,strength:string>>")), lambda e: e["evidence_type"].isin("exact", "suffix"))
     out = beside.withColumns({"__name": name, "__where": where, "__held": F.coalesce(supported, F.lit(False))})

@@ -6,8 +6,9 @@ equi key, so the interval conditions are residuals of a hash or merge join.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,6 +101,28 @@ def drop_less_specific(spans: DataFrame, keys: Sequence[str], seq: str) -> DataF
     return spans.join(o, cond, "left_anti")
 
 
+def with_text(spans: DataFrame, docs: DataFrame, left: int = 0, right: int = 0, doc: str = "doc_id") -> DataFrame:
+    """Spans with their own ``word`` and up to ``left`` characters ``before`` and ``right`` ``after`` them.
+
+    A document's places meet its text once, in one row, and are cut there by code points; a
+    ``substring`` for each span would read the text from its start each time.
+    """
+    places = spans.select(doc, "start", "end").distinct().groupBy(doc).agg(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))).alias("places"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                text = b.column(1)[k].as_py() or ""
+                own = b.column(2)[k].values
+                starts, ends = own.field("start").to_pylist(), own.field("end").to_pylist()
+                cells = [text[max(0, s - left) : s] for s in starts], [text[s:e] for s, e in zip(starts, ends)], [text[e : e + right] for e in ends]
+                yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[k].as_py()] * len(starts), b.column(0).type), own.field("start"), own.field("end"), *(pa.array(c, pa.string()) for c in cells)], names=["__of", "__s", "__e", "before", "word", "after"])
+
+    kind = spans.schema[doc].dataType.simpleString()
+    met = docs.select(doc, "text").join(places, doc).mapInArrow(cut, f"__of {kind}, __s int, __e int, before string, word string, after string")
+    return spans.join(met, (F.col(doc) == F.col("__of")) & (F.col("start") == F.col("__s")) & (F.col("end") == F.col("__e"))).drop("__of", "__s", "__e")
+
+
 def gather(marks: DataFrame, doc: str, *columns: str) -> DataFrame:
     """(doc, __marks): a document's marks in one array, as long as the document has marks."""
     return marks.groupBy(doc).agg(F.collect_list(F.struct("start", "end", *columns)).alias("__marks"))

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import compounds as chains
-from ..operators import span_quality
+from ..operators import names, span_quality
 from .registry import query
 
 #: Fixed: the locale names of Chinese.
 _ZH = "zh-CN"
 
 
-def _spans_sql(name: str, pattern: str) -> str:
+def _spans_sql(name: str, pattern: str, source: str = "documents") -> str:
     """CTEs <name>_p, <name>_x and <name> (doc_id, k, gap, found, s, e): occurrences of a pattern from left to right."""
-    return rf"""{name}_p AS (SELECT doc_id, string_split_regex(text, '{pattern}') AS g, regexp_extract_all(text, '{pattern}') AS f FROM documents), {name}_x AS (SELECT doc_id, unnest(f) AS found, unnest(g[1:len(f)]) AS gap, unnest(range(len(f))) AS k FROM {name}_p),
+    return rf"""{name}_p AS (SELECT doc_id, string_split_regex(text, '{pattern}') AS g, regexp_extract_all(text, '{pattern}') AS f FROM {source}), {name}_x AS (SELECT doc_id, unnest(f) AS found, unnest(g[1:len(f)]) AS gap, unnest(range(len(f))) AS k FROM {name}_p),
 {name} AS (SELECT *, e - length(found) AS s FROM (SELECT *, sum(length(gap) + length(found)) OVER (PARTITION BY doc_id ORDER BY k) AS e FROM {name}_x))"""
 
 
@@ -92,3 +92,36 @@ def hint_support(spark, t):
     n = F.length("name")
     hints = judged.select("doc_id", F.col("name").alias("hint"), F.when(n % 4 == 0, "subject").when(n % 4 == 1, "object").when(n % 4 == 2, "field-value").alias("role"), (n % 2 == 0).alias("anchored"), F.lit("en").alias("locale")).distinct()
     return span_quality.hint_quality(hints, judged.where("span_confidence >= 0.6"), compose=False).select("doc_id", "hint", "support", "span_confidence")
+
+
+#: Letters that stand for particles, so that a text is read as Chinese; type words (pattern, type, evidence, strength, confidence); events; generic terms.
+_AS_PARTICLES = ("wvyz", "的在从了")
+_TYPE_WORDS = (("ung|ing|tion|ment|heit", "type.place", "suffix", "strong", 0.75), ("g|t|n", "type.group", "exact", "weak", 0.9))
+_EVENTS, _GENERIC = "ch|be", ("ung", "the", "and")
+_INNER = f"[^{names.BOUNDS}{names.PARTICLES}]*".replace("'", "''")
+_GROWN = " UNION ALL ".join(rf"""SELECT doc_id, 2 * s + {k} AS seq, s, e, found, '{t}' AS type, {sure} AS sure, '{kind}' AS kind, {0.12 if k == 0 else 0.09} AS worth FROM w{k}""" for k, (_, t, kind, _, sure) in enumerate(_TYPE_WORDS))
+
+
+@query(rf"""WITH t AS (SELECT doc_id, translate(text, '{_AS_PARTICLES[0]}', '{_AS_PARTICLES[1]}') AS text FROM documents), {_spans_sql('w0', _TYPE_WORDS[0][0], 't')}, {_spans_sql('w1', _TYPE_WORDS[1][0], 't')}, {_spans_sql('ev', _EVENTS, 't')}, words AS ({_GROWN}),
+grown AS (SELECT w.*, regexp_extract(substr(text, CAST(greatest(0, s - 12) AS BIGINT) + 1, CAST(s - greatest(0, s - 12) AS BIGINT)), '{_INNER}$') AS l, regexp_extract(substr(text, CAST(e AS BIGINT) + 1, 4), '^{_INNER}') AS r FROM words w JOIN t USING (doc_id)),
+named AS (SELECT doc_id, seq, CAST(s - length(l) AS INTEGER) AS start, CAST(e + length(r) AS INTEGER) AS end_, l || found || r AS name, type, found, worth, least(1.0, sure + CASE WHEN length(l || found || r) >= 3 THEN 0.08 ELSE 0 END + CASE WHEN kind = 'suffix' THEN 0.05 ELSE 0 END)::DOUBLE AS c FROM grown WHERE ends_with(l || found || r, found) AND length(l || found || r) >= 2 AND l || found || r NOT IN {_list(_GENERIC)}),
+merged AS (SELECT doc_id, start, end_, name, list(type ORDER BY c DESC, seq) AS types, max(c) AS c FROM named GROUP BY 1, 2, 3, 4),
+worth AS (SELECT doc_id, start, end_, name, least(0.16, sum(worth)) AS lexical FROM (SELECT DISTINCT doc_id, start, end_, name, type, found, worth FROM named) GROUP BY 1, 2, 3, 4),
+cuts AS (SELECT m.doc_id, m.start, m.end_, count(*) AS p FROM (SELECT DISTINCT doc_id, start, end_ FROM merged) m JOIN ev ON ev.doc_id = m.doc_id AND ev.s < m.end_ AND ev.e > m.start GROUP BY 1, 2, 3),
+judged AS (SELECT m.*, CAST(greatest(0, least(1, round(0.48 + w.lexical + CASE WHEN length(name) <= 8 THEN 0.08 ELSE 0 END + CASE WHEN length(name) > 12 THEN -0.22 ELSE 0 END - 0.48 * coalesce(c.p, 0)
+  + CASE WHEN start = 0 OR regexp_matches(substr(text, start, 1), '[\s，。！？；：、,.!?;:"“”''‘’（）()]') THEN 0.04 ELSE 0 END + CASE WHEN end_ = length(text) OR regexp_matches(substr(text, end_ + 1, 1), '[\s，。！？；：、,.!?;:"“”''‘’（）()]') THEN 0.04 ELSE 0 END, 12))) AS DOUBLE) AS q
+  FROM merged m JOIN worth w USING (doc_id, start, end_, name) LEFT JOIN cuts c USING (doc_id, start, end_) JOIN t USING (doc_id)),
+linked AS (SELECT *, least(c, q) + (greatest(c, q) - least(c, q)) * CAST(0.2 AS DOUBLE) AS sure FROM judged)
+SELECT doc_id, start, name, types[1] AS likely_type, list_filter(types, lambda x: x <> types[1])[1] AS alternative, round(sure, 6) AS confidence, CASE WHEN sure >= 0.72 THEN 'normal' WHEN sure >= 0.45 THEN 'low-confidence' ELSE 'suppressed' END AS disposition FROM linked""")
+def grown_names(spark, t):
+    """Names grown from type words to both sides, up to boundaries and particles; several types of one name merged, and judged as spans."""
+    docs = t("documents").select("doc_id", F.translate("text", *_AS_PARTICLES).alias("text"))
+    spans = None
+    for k, (pattern, kind, evidence, strength, sure) in enumerate(_TYPE_WORDS):
+        own = chains.literal_spans(docs, pattern).select("doc_id", (2 * F.col("start") + k).alias("seq"), F.lit(kind).alias("concept_id"), F.col("found").alias("expression"), F.lit(evidence).alias("evidence_type"), F.lit(strength).alias("strength"), F.lit(sure).alias("confidence"), F.lit("entity-type").alias("kind"), "start", "end")
+        spans = own if spans is None else spans.unionByName(own)
+    events = chains.literal_spans(docs, _EVENTS).select("doc_id", F.lit("event").alias("kind"), "start", "end")
+    generic = spark.createDataFrame([(x,) for x in _GENERIC], "term string")
+    merged = names.merge(names.grow_chinese(spans, docs, generic), "zh")
+    out = names.judged(merged, events.unionByName(spans.select(*events.columns)), docs, "zh")
+    return out.select("doc_id", "start", "name", "likely_type", F.try_element_at("alternatives", F.lit(1)).alias("alternative"), F.round("confidence", 6).alias("confidence"), "disposition")
