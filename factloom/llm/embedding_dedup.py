@@ -2,7 +2,8 @@
 
 In each pass the vectors of a label are sorted by concatenated random hashes (in which
 of a random rotation's directions a projection is largest), and each is compared with a
-bounded window of its predecessors; the pairs of all passes are united into components.
+bounded window of its predecessors, also over the ends of partitions, whose first and last rows
+meet in a second small pass; the pairs of all passes are united into components.
 The number of passes follows from the number of vectors, so that a pair at the threshold
 meets in some window with probability ``RECALL`` if vectors lie evenly. Whether they do
 is measured: further passes with fresh hashes follow until a batch of them joins nothing
@@ -28,8 +29,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.window import Window
 
 from .common import bounded_batches, connected_components, cut, read_table
 from .simhash_dedup import _forest
@@ -115,6 +120,8 @@ def _round(v: np.ndarray) -> np.ndarray:
 def _window_edges(good: DataFrame, turns: range, threshold: float, window: int, seed: int, parts: int) -> DataFrame:
     """(u, v, sure) from the passes ``turns``: forest edges, and pairs that need a closer look."""
 
+    kind_of = lambda c: good.schema[c].dataType.simpleString()
+
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         for b in batches:
@@ -130,18 +137,53 @@ def _window_edges(good: DataFrame, turns: range, threshold: float, window: int,
                     key = codes @ (np.int64(1) << (_BITS * np.arange(HASHES - 1, -1, -1, dtype=np.int64)))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k, np.int32)), own.column("label"), pa.array(np.full(n, d, np.int32)), pa.array(key), own.column("vec_id"), packed], names=["turn", "label", "dim", "key", "vec", "packed"])
 
+    ids = {"u": kind_of("vec_id"), "v": kind_of("vec_id"), "sure": "boolean"}
+    row = {"turn": "int", "label": kind_of("label"), "dim": "int", "vec": kind_of("vec_id"), "packed": "binary"}
+    place = {"part": "int", "side": "int", "pos": "long"}
+
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Edges inside the partition; and its first and last ``window`` distinct rows (sides 0 and 1), or all (side 2) if it has no more."""
         held: pa.Table | None = None
+        first: list[pa.Table] = []
+        n_first = 0
         for b in batches:
-            t = pa.Table.from_batches([b])
+            t = pa.Table.from_batches([b]).select(list(row))
             fresh = held.num_rows if held is not None else 0
             t = pa.concat_tables([held, t]) if held is not None else t
-            edges, distinct = compare(t.combine_chunks(), fresh)
-            yield from edges
+            edges, distinct, seen = compare(t.combine_chunks(), fresh)
+            yield from (filled(e, ids) for e in edges)
+            if n_first <= window:
+                first.append(distinct.slice(seen))
+                n_first += distinct.num_rows - seen
             held = distinct.slice(max(0, distinct.num_rows - window))
-
-    def compare(t: pa.Table, seen: int) -> tuple[list[pa.RecordBatch], pa.Table]:
-        """Edges of the rows from ``seen`` on with the ``window`` distinct rows before each, in their pass and group; and the distinct rows."""
+        if held is None:
+            return
+        whole = pa.concat_tables(first)
+        for side, t in ((2, whole),) if n_first <= window else ((0, whole.slice(0, window)), (1, held)):
+            at = {"part": pa.array(np.full(t.num_rows, TaskContext.get().partitionId(), np.int32)), "side": pa.array(np.full(t.num_rows, side, np.int32)), "pos": pa.array(np.arange(t.num_rows))}
+            for b in pa.table({**{c: t[c] for c in row}, **at}).to_batches():
+                yield filled(b, row | place)
+
+    def over_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Edges of rows that stand on both sides of partitions' ends, end by end."""
+        end, held = None, None
+        for b in batches:
+            for own in np.unique(b.column("end")).tolist():
+                t = pa.Table.from_batches([b.filter(pc.equal(b.column("end"), own))]).select(list(row))
+                if own != end:
+                    end, held = own, None
+                fresh = held.num_rows if held is not None else 0
+                t = pa.concat_tables([held, t]) if held is not None else t
+                edges, distinct, _ = compare(t.combine_chunks(), fresh)
+                yield from edges
+                held = distinct.slice(max(0, distinct.num_rows - window))
+
+    def filled(b: pa.RecordBatch, given: dict) -> pa.RecordBatch:
+        """A batch with nulls for the columns that it doesn't have."""
+        return pa.RecordBatch.from_arrays([b.column(c) if c in given else pa.nulls(b.num_rows, nothing[c]) for c in ids | row | place], names=list(ids | row | place))
+
+    def compare(t: pa.Table, seen: int) -> tuple[list[pa.RecordBatch], pa.Table, int]:
+        """Edges of the rows from ``seen`` on with the ``window`` distinct rows before each, in their pass and group; the distinct rows, and how many of these are from before ``seen``."""
         out: list[pa.RecordBatch] = []
         group = [t[c].to_numpy(zero_copy_only=False) for c in ("turn", "label", "dim")]
         vec = t["vec"].to_numpy()
@@ -179,12 +221,21 @@ def _window_edges(good: DataFrame, turns: range, threshold: float, window: int,
                 u, w = np.concatenate((hung, p[open_])), np.concatenate((root[hung], q[open_]))
                 if len(u):
                     out.append(pa.RecordBatch.from_arrays([pa.array(vec[u + lo + a]), pa.array(vec[w + lo + a]), pa.array(np.arange(len(u)) < len(hung))], names=["u", "v", "sure"]))
-        return out, t
+        return out, t, seen
 
-    kind, label = (good.schema[c].dataType.simpleString() for c in ("vec_id", "label"))
+    kind, label = kind_of("vec_id"), kind_of("label")
+    nothing = {f.name: f.type for f in to_arrow_schema(good.limit(0).select(F.lit(1).alias("turn"), "label", F.lit(1).alias("dim"), F.col("vec_id").alias("vec"), F.lit(b"").alias("packed"), F.col("vec_id").alias("u"), F.col("vec_id").alias("v"), F.lit(True).alias("sure"), F.lit(1).alias("part"), F.lit(1).alias("side"), F.lit(1).cast("long").alias("pos")).schema)}
     keyed = good.select("label", "embedding", "vec_id").mapInArrow(keys, f"turn int, label {label}, dim int, key long, vec {kind}, packed binary")
     dealt = keyed.repartitionByRange(parts, "turn", "label", "dim", "key", "packed", "vec").sortWithinPartitions("turn", "label", "dim", "key", "packed", "vec")
-    return dealt.mapInArrow(links, f"u {kind}, v {kind}, sure boolean").where("u != v").distinct()
+    found = cut(dealt.mapInArrow(links, ", ".join(f"{c} {k}" for c, k in (ids | row | place).items())))
+    edges, ends = found.where("u is not null").select(*ids), found.where("part is not null").select(*row, *place)
+    if parts > 1:
+        # Between two partitions of more than a window lies one end; smaller ones between them belong to it with all of their rows.
+        known = ends.groupBy("part").agg(F.min("side").alias("side")).select("part", F.coalesce(F.sum(F.when(F.col("side") < 2, 1).otherwise(0)).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+        met = ends.join(F.broadcast(known), "part").withColumn("end", F.col("before") + F.when(F.col("side") == 1, 1).otherwise(0))
+        across = met.repartition("end").sortWithinPartitions("end", "part", "pos").mapInArrow(over_ends, ", ".join(f"{c} {k}" for c, k in ids.items()))
+        edges = edges.unionByName(across)
+    return edges.where("u != v").distinct()
 
 
 def _cosine(x: str, y: str) -> Column:
@@ -202,7 +253,7 @@ def _cosine(x: str, y: str) -> Column:
 
 def _edges(good: DataFrame, turns: range, threshold: float, window: int, seed: int, rows_per_part: int, n: int) -> DataFrame:
     """Edges (u, v), all true links, of some passes; a written table."""
-    found = cut(_window_edges(good, turns, threshold, window, seed, max(1, -(-n * len(turns) // rows_per_part))))
+    found = cut(_window_edges(good, turns, threshold, window, seed, max(1, n * len(turns) // max(rows_per_part, 8 * window))))
     sure, open_ = found.where("sure").select("u", "v"), found.where("not sure").select("u", "v")
     if open_.isEmpty():
         return sure

@@ -117,3 +117,39 @@ def test_only_repeated_ids(spark):
 
 def test_passes_grow_slowly():
     assert passes_for(10) == 1 < passes_for(10_000) < passes_for(100_000_000) < 200
+
+
+def test_no_link_is_lost_at_partition_ends(spark):
+    """Labels no larger than a window are compared whole, wherever partitions end."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for label in range(6):
+        centres = rng.normal(size=(40, 12))
+        rows += [(1000 * label + k, label, (centres[k % 40] + 0.22 * rng.normal(size=12)).tolist()) for k in range(300)]
+        rows += [(1000 * label + 500 + k, label, rows[-1][2]) for k in range(5)]
+    want = plain(rows)
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").repartition(5)
+    for window, per_part in ((310, 170), (40, 1), (2048, 170)):
+        got = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicates(df, window=window, rows_per_part=per_part).collect()}
+        lost = sum(n for n, _ in want.values()) - sum(n for n, _ in got.values())
+        assert got == want if window >= 305 else lost <= 0.01 * sum(n for n, _ in want.values()), (window, lost)
+    assert sum(n for n, _ in want.values()) > 5000
+
+
+def test_windows_reach_over_many_small_partitions(spark):
+    """Partitions smaller than a window lie between two ends; every window is whole."""
+    from factloom.llm import embedding_dedup as E
+
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(900, 8))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = [(k, 0, x.tolist()) for k, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    good = E._hashed(df).select("vec_id", "label", "embedding", "h1", "h2")
+    pairs = lambda parts, window: {tuple(sorted((r.u, r.v))) for r in E._window_edges(good, range(1), 0.7, window, 11, parts).where("sure").collect()}
+
+    def joined(edges):
+        return _forest(iter([(np.array([e[0] for e in edges]), np.array([e[1] for e in edges]))]), 900).tolist()
+
+    for window in (30, 200, 2000):
+        assert joined(pairs(1, window)) == joined(pairs(23, window)) == joined(pairs(300, window))
