@@ -57,7 +57,8 @@ RECORDS = 0.5
 
 _NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 _INSIDE_TAG = re.compile(r"[^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+")
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: One attribute, by its whole name, and its value.
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
 #: Fixed: elements whose content isn't text of the page.
 RAW = {name: re.compile(rf"</{name}\s*>", re.I) for name in "script style noscript template iframe svg math select textarea object canvas".split()}
 
@@ -80,6 +81,9 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertisements adsense adbox adslot banner banners sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup social share sharing shares related recommended recommendations teaser teasers sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager footer header masthead topbar comment comments commentlist disqus respond replies reply widget widgets login search toolbar skip copyright disclaimer paywall outbrain taboola".split()
 )
+#: Of these, words that also name parts of an article: inside an article element they mark only where nothing else is in the name but ``PLAIN`` words.
+WEAK = frozenset("notice notices alert alerts related recommended recommendations teaser teasers menu menus nav footer header masthead reply replies widget widgets search skip copyright disclaimer banner banners overlay promotion login".split())
+PLAIN = frozenset("area bar block box button buttons container content inner item items link links list outer panel post posts section unit wrap wrapper".split())
 _NAME_PARTS = re.compile(r"[A-Za-z]+")
 
 
@@ -106,20 +110,22 @@ class Block:
 
 
 @lru_cache(maxsize=20_000)
-def _attributes(source: str) -> tuple[str, frozenset, str, bool]:
-    """(label, name words, role, hidden) of a tag's attributes; digits in names don't count."""
-    label, words, role, hidden = "", set(), "", False
+def _attributes(source: str) -> tuple[str, frozenset, bool, str, bool]:
+    """(label, name words, whether a name says nothing but what isn't article, role, hidden) of a tag's attributes; digits in names don't count."""
+    label, words, bare, role, hidden = "", set(), False, "", False
     for m in _ATTRIBUTE.finditer(source):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key in ("class", "id"):
             label += ("." if key == "class" else "#") + re.sub(r"\d+", "0", " ".join(value.split()))
-            for part in re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).split():
-                words.update(w.lower() for w in _NAME_PARTS.findall(part))
+            for name in value.split():
+                own = {w.lower() for w in _NAME_PARTS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name))}
+                bare |= bool(own & NAMES) and own <= NAMES | PLAIN
+                words |= own
         elif key == "role":
             role = value.lower()
-        else:
-            hidden |= key == "hidden" or value.lower() == "true"
-    return label, frozenset(words), role, hidden
+        elif key == "hidden" or key == "aria-hidden" and value.lower() == "true":
+            hidden = True
+    return label, frozenset(words), bare, role, hidden
 
 
 def _scan(source: str) -> Iterator[tuple[str, str | None, bool, str]]:
@@ -184,10 +190,12 @@ def _path(parent: int, name: str, attributes: str, marked: bool, inside: int, pl
     if key not in _PATHS:
         if len(_PATHS) > 100_000:
             _PATHS.clear()
-        label, words, role, hidden = _attributes(attributes) if attributes else ("", frozenset(), "", False)
+        label, words, bare, role, hidden = _attributes(attributes) if attributes else ("", frozenset(), False, "", False)
         own = marked or hidden or role in ROLES
         if not own and name not in ("html", "body", "main", "article"):
-            own = (name in NOT_ARTICLE and not (name == "header" and inside)) or bool(words & NAMES)
+            # In an article, a name like entry-header or recommended-reading is a part of it.
+            named = bare or bool(words & (NAMES - WEAK)) if inside else bool(words & NAMES)
+            own = (name in NOT_ARTICLE and not (name == "header" and inside)) or named
         elif not own and name == "article":
             own = bool(words & {"comment", "comments", "teaser", "teasers", "related", "ad", "ads", "sponsored", "promo"})
         token = xxhash.xxh64_intdigest(parent.to_bytes(8, "little") + f"/{name}{label}{place or ''}".encode("utf-8", "surrogatepass")) >> 1
@@ -355,8 +363,15 @@ def deduce(tokens: list[Token]) -> dict:
             mass[x] -= amount
 
     # Texts of the template: tokens of a valid class, or constant in a slot of one.
+    # An element that stands once a page and doesn't always say the same (a byline) is a field of the article.
+    def varies(t: Token) -> bool:
+        around = nodes[t.parent]
+        return around.total == around.pages > t.pages
+
     fixed = []
     for t in tokens:
+        if t.tag is None and t.parent in nodes and varies(t):
+            continue
         if t.tag is None and t.parent in nodes and t.pages >= CLASS_PAGES and t.pages >= FIXED * nodes[t.parent].pages and ((t.vector, t.pages) in valid or nested_in(t.parent)):
             fixed.append(t.token)
             leave_out(t.parent, t.mass)
@@ -451,7 +466,8 @@ def extract(source: str | None, template: dict | None) -> str:
     if not deduced:
         slot = _page_slot(nodes, _masses(blocks, nodes)[1])
         whole = WHOLE.get(nodes[slot].tag)
-        own = [b for b in free if (nodes[b.path].inside & whole if whole else 2 * b.links < len(b.text))]
+        # Without either, what is mostly links is a menu; a paragraph only if it is nothing else.
+        own = [b for b in free if (nodes[b.path].inside & whole if whole else 2 * b.links < len(b.text) or nodes[b.path].tag == "p" and 5 * b.links < 4 * len(b.text))]
     varying = [b for b in own if not fixed or _text_token(b) not in fixed]
     # A host whose pages are copies of one page has only fixed text: then it is the article.
     return "\n".join(b.text for b in varying or own)

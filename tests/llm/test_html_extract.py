@@ -133,3 +133,35 @@ def test_texts_beside_the_longest_part_stay():
     assert extract(two, None).split("\n")[1:] == ["Another piece."]
     thirds = "<html><body>" + "".join(f"<article class={c}><p>{c} " + "word " * 50 + "</p></article>" for c in "abc") + "</body></html>"
     assert [x[0] for x in extract(thirds, None).split("\n")] == ["a", "b", "c"]
+
+
+FILLER = "word " * 40
+
+
+@pytest.mark.parametrize("inner, want", [
+    ('<header class="entry-header"><h1>Head</h1></header><p>Text.</p>', "Head\nText."),
+    ('<p>Text.</p><div class="recommended-reading"><p>A book on it.</p></div>', "Text.\nA book on it."),
+    ('<p>Text.</p><section id="reply-to-critics"><p>They are wrong.</p></section>', "Text.\nThey are wrong."),
+    ('<div data-id="search" data-hidden="false" data-class="ad"><p>Text.</p></div>', "Text."),
+    ('<div title="class=ad hidden"><p>Text.</p></div>', "Text."),
+    ('<p>Text.</p><div class="related-posts"><p>Other</p></div><div id="replyList">x</div><div class="notice">n</div><div hidden>h</div><div aria-hidden="true">a</div>', "Text."),
+    ('<p>Text.</p><div class="post-comments"><p>Me too</p></div><div class="x-share">s</div>', "Text."),
+])
+def test_names_inside_an_article(spark, inner, want):
+    page = lambda k, body: f"<html><body><nav>Menu</nav><article>{body}</article><footer>Foot</footer></body></html>"
+    assert extract(page(0, inner), None) == want
+    pages = [(k, f"http://h.com/{k}", page(k, f"<h1>Story {k}</h1><p>On {k} {FILLER}</p>")) for k in range(30)] + [(99, "http://h.com/x", page(99, inner))]
+    got = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[99] == want and got[5] == f"Story 5\nOn 5 {FILLER.strip()}"
+
+
+def test_a_byline_that_mostly_says_the_same_stays(spark):
+    body = lambda k: f'<h1>Story {k}</h1><p class="byline">By {"Bo Other" if k % 10 == 0 else "Ann Author"}</p><p>On {k} {FILLER}</p><p class="hint">Read it twice</p>'
+    pages = [(k, f"http://h.com/{k}", f"<html><body><nav>Menu</nav><article>{body(k)}</article></body></html>") for k in range(40)]
+    got = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[5].startswith("Story 5\nBy Ann Author\nOn 5") and got[10].startswith("Story 10\nBy Bo Other\nOn 10") and "twice" not in got[5]
+
+
+def test_paragraphs_of_links():
+    page = '<body><h1>Head</h1><p>See <a>the first long work on it</a> and <a>the second one</a>, too.</p><p><a>Home</a> <a>News</a></p><ul><li><a>One</a></li></ul></body>'
+    assert extract(page, None) == "Head\nSee the first long work on it and the second one, too."
