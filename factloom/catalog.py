@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import form_queries, memory_queries, registry, relational_queries, resolve_queries, span_queries, store_queries, suggest_queries, text_queries  # noqa: F401  registers its queries
+from .plans import canon_queries, form_queries, memory_queries, registry, relational_queries, resolve_queries, span_queries, store_queries, suggest_queries, text_queries  # noqa: F401  registers its queries
 
 QUERIES = registry.QUERIES
 ORACLES = registry.ORACLES

@@ -89,10 +89,15 @@ def reject_terms(names: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def similar_names(hints: DataFrame, names: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Hints with the names of their document that are alike: (hint, name, similarity)."""
-    met = hints.select(doc, "hint").join(names.select(doc, "name"), doc)
-    low = name_similarity(F.lower("hint"), F.lower("name"))
-    return met.withColumn("similarity", low).where("similarity is not null")
+    """Hints with the names of their document that are alike: (doc, hint, name, similarity), each pair once.
+
+    One ends with the other, so the endings of either side meet the other side whole, in equi-joins.
+    """
+    ends = lambda df, c, least: df.select(doc, c, F.explode(F.sequence(F.least(F.lit(least), F.length(c)), F.length(c))).alias("__n")).select(doc, c, F.lower(F.expr(f"right({c}, __n)")).alias("__end"))
+    whole = lambda df, c: df.select(doc, c, F.lower(c).alias("__end"))
+    h, n = hints.select(doc, "hint").where("length(hint) > 0").distinct(), names.select(doc, "name").where("length(name) > 0").distinct()
+    met = whole(h, "hint").join(ends(n, "name", 2), [doc, "__end"]).unionByName(ends(h, "hint", 3).join(whole(n, "name"), [doc, "__end"]).select(doc, "__end", "hint", "name")).select(doc, "hint", "name").distinct()
+    return met.withColumn("similarity", name_similarity(F.lower("hint"), F.lower("name"))).where("similarity is not null")
 
 
 def pronoun_genders(resolved: DataFrame) -> DataFrame:
