@@ -1,7 +1,7 @@
 """Substring deduplication by sliding sentence spans (operator 9).
 
 Every run of ``run`` consecutive sentences is hashed, and every shorter one that reaches
-``min_words`` words; runs join globally by hash, and every sentence covered by a run that
+``min_words`` words; a text of fewer sentences is a run, too, however few words it has. Runs join globally by hash, and every sentence covered by a run that
 is not the first of its kind goes, however few words it has. Sentences of over ``LONG``
 words are parted where their own words say so, so 51 shared words hold ``MIN_WORDS``
 words of whole pieces wherever they start. Only 12-byte hashes with their document's key
@@ -103,7 +103,7 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
 def _runs(text: str, spans: list[tuple[int, int]], run: int, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, int]]:
     """(first sentence, sentences, signed 64-bit hash, signed 32-bit hash) of each run, compared without case and spacing.
 
-    Runs of ``run`` sentences, and from each sentence the run up to ``min_words`` words if that is shorter.
+    Runs of ``run`` sentences, from each sentence the run up to ``min_words`` words if that is shorter, and all of a text of fewer sentences.
     """
     pieces = [text[a:b].lower().split() for a, b in spans]
     whole = [xxhash.xxh3_128_digest(" ".join(x)) for x in pieces]
@@ -120,6 +120,8 @@ def _runs(text: str, spans: list[tuple[int, int]], run: int, min_words: int = MI
         hashes[:last] = hashes[:last] * mix + one[n - 1 :]
         full = np.arange(last) if n == run else np.flatnonzero(open_[:last] & (words[:last] >= min_words))
         open_[full] = False
+        if n == len(one) < run:
+            full = np.zeros(1, np.int64)  # all of a text of few sentences
         own = hashes[full] ^ (hashes[full] >> np.uint64(31))
         out += zip(full.tolist(), [n] * len(full), own[:, 0].copy().view(np.int64).tolist(), (own[:, 1] >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist())
     return out
@@ -191,8 +193,8 @@ def repeated_passages(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORD
     removed: array of (start, end) code points; first_doc_ids: documents that keep what
     goes here (its own doc_id if a passage repeats inside it); text: what is left.
     Rows equal in doc_id and text are one document, cleaned alike. Null and empty texts
-    lose nothing, nor do texts of fewer than ``run`` sentences and ``min_words`` words:
-    they hold no run. Very long texts are cleaned like any. An empty table gives none.
+    lose nothing; a copy of a text of fewer than ``run`` sentences loses all, and such a text inside a longer one counts where it has
+    ``min_words`` words. Very long texts are cleaned like any. An empty table gives none.
     """
     hits = _hits(docs, run, min_words)
     met = docs.select(_key(docs).alias("key"), "doc_id", "text").alias("d").join(hits.alias("h"), (F.col("d.key") == F.col("h.key")) & F.col("d.doc_id").eqNullSafe(F.col("h.doc_id"))).select("d.doc_id", "text", "runs", "first_doc_ids")

@@ -20,7 +20,7 @@ def plain(rows):
             for n in range(1, RUN + 1):
                 run = tuple(said[k : k + n])
                 enough = len(" ".join(run).split()) >= MIN_WORDS
-                if len(run) == n and (n == RUN or enough and len(" ".join(run[:-1]).split()) < MIN_WORDS):
+                if len(run) == n and (n == RUN or enough and len(" ".join(run[:-1]).split()) < MIN_WORDS or k == 0 and n == len(spans)):
                     if seen.setdefault(run, (i, k)) != (i, k):
                         hit |= set(range(k, k + n))
         text, at, k = "", 0, 0
@@ -77,7 +77,7 @@ def test_long_sentences_and_cjk_repeat_too(spark):
     one, edge = [" ".join(word() for _ in range(60)) for _ in range(2)]
     han = "。".join("".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(9)) for _ in range(6)) + "。"
     # A copy of a sentence without marks; 51 words between other words, never a whole sentence; Chinese without spaces.
-    rows = [(1, one), (2, one), (3, "x " + edge + " y"), (4, " ".join([word() for _ in range(20)] + edge.split()[4:55] + [word() for _ in range(20)])), (5, han), (6, han + "新的句子。"), (7, "short copy"), (8, "short copy")]
+    rows = [(1, one), (2, one), (3, "x " + edge + " y"), (4, " ".join([word() for _ in range(20)] + edge.split()[4:55] + [word() for _ in range(20)])), (5, han), (6, han + "新的句子。"), (7, "short copy"), (8, "short  Copy"), (9, "Not so. A short copy"), (10, "One. Two. Three."), (11, "One. Two. Three."), (12, "Zero. One. Two. Three.")]
     left = {r.doc_id: r.text for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert left[1] == one and left[2] == "" and left[3] == rows[2][1] and left[5] == han and left[6] == "新的句子。"
-    assert len(left[4].split()) <= 91 - MIN_WORDS and left[7] == left[8] == "short copy"
+    assert len(left[4].split()) <= 91 - MIN_WORDS and (left[7], left[8], left[9]) == ("short copy", "", "Not so. A short copy") and (left[10], left[11], left[12]) == ("One. Two. Three.", "", "Zero. One. Two. Three.")
