@@ -89,6 +89,15 @@ class _Words(dict):
 _WORDS: list[_Words] = []
 
 
+# Scripts without spaces: each character counts as a word.
+_CJK = r"\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_ONE_CJK, _WORD = re.compile(f"[{_CJK}]"), re.compile(f"[{_CJK}]|[^\\s{_CJK}]+")
+
+
+def _split(text: str) -> list[str]:
+    return text.split() if text.isascii() or not _ONE_CJK.search(text) else _WORD.findall(text)
+
+
 def canonical(text: str | None) -> tuple[np.ndarray, list[str], np.ndarray]:
     """(codes, words, place) of a whole text: the hash of each canonical word and the number of its word in ``words`` (the last of a name).
 
@@ -96,7 +105,7 @@ def canonical(text: str | None) -> tuple[np.ndarray, list[str], np.ndarray]:
     A capitalised word inside a sentence is a name, and neighbouring names are one; a
     unit word is a placeholder after a number only.
     """
-    words = (text or "").split()
+    words = _split(text or "")
     if not _WORDS or len(_WORDS[0]) > KEPT_WORDS:
         _WORDS[:] = [_Words()]
     known = _WORDS[0]

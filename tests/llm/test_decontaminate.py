@@ -142,3 +142,12 @@ def test_changed_parameters_match_brute_force(spark):
     docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
     want = {k for k, t in rows if plain_changed(t, item)}
     assert {r.doc_id for r in find_leaks(docs, items).collect()} == want and 5 < len(want) < 30
+
+
+def test_scripts_without_spaces():
+    """A Chinese or Japanese item is found inside a text, also with another number in it."""
+    item, other = "小明有3个苹果，又买了5个，他现在一共有多少个苹果？", "東京の人口はどのくらいですか"
+    index = TemplateIndex([(1, item), (2, other)])
+    found = lambda text: [x[0] for x in index.leaks(text)]
+    assert found(f"今天的题目是：{item}请回答。") == [1] and found(f"问：{item.replace('3', '8').replace('5', '9')}答") == [1]
+    assert found(f"質問です。{other}。答えてください") == [2] and found("小明今天没有去学校，因为他的妈妈生病了。") == []
