@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import uuid
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import is_zh, normalize_text
+from ..functions.text import CLAUSE_BREAKS, is_zh, normalize_text
 from .spans import suppress_covered
 
 #: Expressions in a broadcast automaton, some 200 bytes each; a larger lexicon is an error, not a slower plan.
@@ -18,12 +20,48 @@ MAX_EXPRESSIONS = 1_000_000
 EVIDENCE_PRIORITY = {"exact": 4, "alias": 3, "suffix": 2}
 
 
-def match_lexicon(docs: DataFrame, lexicon: DataFrame, locale: str = "en", doc: str = "doc_id", text: str = "text", compose: bool = False) -> DataFrame:
+#: White space that is trimmed from clauses: what ``text.SPACE`` matches.
+_SPACES = "".join(chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF))
+#: The last automaton of this worker, by the call that it was made for.
+_MACHINE: dict[str, object] = {}
+
+
+def _machine(call: str, words: Iterable[str]):
+    """The automaton of all words, made once a worker."""
+    import ahocorasick
+
+    if call not in _MACHINE:
+        _MACHINE.clear()
+        machine = ahocorasick.Automaton()
+        for word in words:
+            machine.add_word(word, word)
+        machine.make_automaton()
+        _MACHINE[call] = machine
+    return _MACHINE[call]
+
+
+def _clauses(source: str, breaks: re.Pattern) -> tuple[list[int], list[int]]:
+    """(starts, ends) of the trimmed clauses of a text that aren't blank."""
+    starts, ends, at = [], [], 0
+    for end in [*(m.start() for m in breaks.finditer(source)), len(source)]:
+        raw = source[at:end]
+        bare = raw.lstrip(_SPACES)
+        start, bare = at + len(raw) - len(bare), bare.rstrip(_SPACES)
+        if bare:
+            starts.append(start)
+            ends.append(start + len(bare))
+        at = end + 1
+    return starts, ends
+
+
+def match_lexicon(docs: DataFrame, lexicon: DataFrame, locale: str = "en", doc: str = "doc_id", text: str = "text", compose: bool = False, clauses: bool = False) -> DataFrame:
     """(doc, seq, concept_id, category, evidence_type, strength, expression, confidence, start, end) of every occurrence.
 
     Texts are normalised first and offsets are of that form. Occurrences of one
     expression don't overlap; outside Chinese they must be bounded by something that is
-    no letter, digit or underscore. The automaton is broadcast; texts aren't shuffled.
+    no letter, digit or underscore. The automaton's words are broadcast; texts aren't shuffled.
+    With ``clauses`` each has the ``clause_idx`` of the clause that holds all of it, or null: found in the same
+    pass, so neither spans nor clauses are shuffled to meet.
     """
     rows = lexicon.select("concept_id", "category", "evidence_type", "strength", "expression", "score").limit(MAX_EXPRESSIONS + 1).collect()
     if len(rows) > MAX_EXPRESSIONS:
@@ -33,18 +71,13 @@ def match_lexicon(docs: DataFrame, lexicon: DataFrame, locale: str = "en", doc:
         word = " ".join(r.expression.split())
         by.setdefault(word if is_zh(locale) else word.lower(), []).append(tuple(r))
     sent = docs.sparkSession.sparkContext.broadcast(by)
+    call, breaks = uuid.uuid4().hex, re.compile(f"[{CLAUSE_BREAKS['zh' if is_zh(locale) else 'en']}]")
     bounded, kind = not is_zh(locale), docs.schema[doc].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        machine = ahocorasick.Automaton()
-        for word in sent.value:
-            machine.add_word(word, word)
-        if sent.value:
-            machine.make_automaton()
+        machine = _machine(call, sent.value) if sent.value else None
         for b in batches:
-            out: list[list] = [[] for _ in range(10)]
+            out: list[list] = [[] for _ in range(11)]
             for k, source in enumerate(b.column(1).to_pylist()):
                 if not source or not sent.value:
                     continue
@@ -57,14 +90,19 @@ def match_lexicon(docs: DataFrame, lexicon: DataFrame, locale: str = "en", doc:
                     last[word] = end
                     found.append((start, end, word))
                 found.sort(key=lambda f: (f[0], -f[1]))
+                starts, ends = _clauses(source, breaks) if clauses and found else ((), ())
                 for seq, (start, end, entry) in enumerate((s, e, x) for s, e, w in found for x in sent.value[w]):
-                    for to, v in zip(out, (k, seq, *entry[:5], entry[5], start, end)):
+                    at = bisect_right(starts, start) - 1
+                    for to, v in zip(out, (k, seq, *entry[:5], entry[5], start, end, at if at >= 0 and end <= ends[at] else None)):
                         to.append(v)
             names = [doc, "seq", "concept_id", "category", "evidence_type", "strength", "expression", "confidence", "start", "end"]
             arrays = [b.column(0).take(pa.array(out[0], pa.int32())), pa.array(out[1], pa.int32()), *(pa.array(x, pa.string()) for x in out[2:7]), pa.array(out[7], pa.float64()), pa.array(out[8], pa.int32()), pa.array(out[9], pa.int32())]
+            if clauses:
+                names.append("clause_idx")
+                arrays.append(pa.array(out[10], pa.int32()))
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    schema = f"`{doc}` {kind}, seq int, concept_id string, category string, evidence_type string, strength string, expression string, confidence double, start int, end int"
+    schema = f"`{doc}` {kind}, seq int, concept_id string, category string, evidence_type string, strength string, expression string, confidence double, start int, end int" + (", clause_idx int" if clauses else "")
     return docs.select(doc, normalize_text(F.col(text), locale, compose).alias("t")).mapInArrow(run, schema)
 
 

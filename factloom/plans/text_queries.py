@@ -85,8 +85,7 @@ def lexicon_suppressed(spark, t):
 SELECT c.doc_id, c.clause_idx, x.concept_id, count(*) AS n, max(x.confidence) AS confidence FROM clauses c JOIN spans x ON x.doc_id = c.doc_id AND c.s <= x.s AND x.e <= c.e GROUP BY 1, 2, 3""")
 def clause_concepts(spark, t):
     """The flagship: documents to clauses to spans to counts by concept."""
-    docs = t("documents").select("doc_id", text.normalize_text(F.col("text"), compose=False).alias("text"))
-    found = spans.inside(matching.match_lexicon(docs, lexicon(spark)), clause_table(docs).drop("text"))
+    found = matching.match_lexicon(t("documents"), lexicon(spark), clauses=True).where("clause_idx is not null")
     return found.groupBy("doc_id", "clause_idx", "concept_id").agg(F.count("*").alias("n"), F.max("confidence").alias("confidence"))
 
 

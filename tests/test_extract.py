@@ -44,3 +44,22 @@ def test_leave_or_depart(spark):
     types = spark.createDataFrame([(1, 20, "place"), (2, 12, "group"), (2, 9, "place"), (3, 90, "group")], "doc_id int, start int, role string")
     got = sorted((r.doc_id, r.start, r.concept_id) for r in events.disambiguate(ev, types).collect())
     assert got == [(1, 0, "event.join"), (1, 10, "event.depart"), (2, 3, "event.leave"), (3, 3, "event.depart"), (4, 1, "event.leave")]
+
+
+def test_spans_find_their_clause_in_one_pass(spark):
+    """The matching pass places spans as the join of spans and clauses does."""
+    import random
+
+    from factloom.functions import text
+    from factloom.operators import matching, spans
+    from factloom.sources import lexicons
+
+    rng = random.Random(2)
+    pieces = ["of", "the", "with", " ", " ", "  ", ".", "!", ";", "\n", " ", "﻿", "x", "é", "of the", "日本"]
+    docs = spark.createDataFrame([(k, "".join(rng.choice(pieces) for _ in range(rng.randrange(60)))) for k in range(80)] + [(90, None), (91, ""), (92, " . ; ")], "doc_id long, text string")
+    lexicon = lexicons.from_rows(spark, (("relations", "r.of", "alias", "strong", "of"), ("relations", "r.two", "alias", "strong", "of the"), ("types", "t.the", "suffix", "normal", "the")))
+    clean = docs.select("doc_id", text.normalize_text(docs.text, compose=False).alias("text"))
+    joined = spans.inside(matching.match_lexicon(clean, lexicon), text.clause_rows(clean).drop("text"))
+    placed = matching.match_lexicon(docs, lexicon, clauses=True).where("clause_idx is not null")
+    rows = lambda df: sorted((r.doc_id, r.clause_idx, r.concept_id, r.start, r.end) for r in df.collect())
+    assert rows(joined) == rows(placed) and len(rows(placed)) > 100
