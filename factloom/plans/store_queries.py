@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import context, discovery, relational, spans
+from ..sources import scratch
+from ..streaming import manifest
 from .registry import query
 
 
@@ -96,3 +98,22 @@ def point_in_clause(spark, t):
 
     c = number_in_order(o, ["doc_id"], ["start"], "clause_idx").withColumn("end", F.col("start") + 5000)
     return spans.clause_of_point(o.withColumn("start", F.col("start") + 11), c).select("doc_id", "start", "clause_idx")
+
+
+@query("""WITH u AS (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT')
+SELECT 'orders' AS tab, o_orderkey AS key, CASE WHEN o_orderpriority = '1-URGENT' THEN 'U' ELSE o_orderstatus END AS value, CAST(NULL AS BIGINT) AS version FROM orders
+UNION ALL SELECT 'log', o_custkey, CAST(o_orderkey AS VARCHAR), 2 FROM u UNION ALL SELECT 'log', o_custkey, CAST(o_orderkey AS VARCHAR), 1 FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM u)""")
+def committed_tables(spark, t):
+    """Two tables through two commits, each of which switches both; the second rewrites what it touches."""
+    import uuid
+
+    path = f"{scratch.shared_folder(spark)}/factloom/{uuid.uuid4().hex}"
+    store = manifest.Store(spark, path, {"orders": "key long, value string", "log": "key long, value string, version long"}, {"orders": ["key"], "log": ["key"]}, {"orders": manifest.upsert("key"), "log": manifest.replace_documents("key")}, buckets=4)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    rows = t("orders").select(F.col("o_orderkey").alias("order"), F.col("o_custkey").alias("cust"), "o_orderstatus", "o_orderpriority")
+    log = lambda df: df.select(F.col("cust").alias("key"), F.col("order").cast("string").alias("value"), F.lit(None).cast("long").alias("version"))
+    store.commit(0, {"orders": rows.select(F.col("order").alias("key"), F.col("o_orderstatus").alias("value")), "log": log(rows)})
+    urgent = rows.where("o_orderpriority = '1-URGENT'")
+    store.commit(1, {"orders": urgent.select(F.col("order").alias("key"), F.lit("U").alias("value")), "log": log(urgent)})
+    return store.table("orders").select(F.lit("orders").alias("tab"), "key", "value", F.lit(None).cast("long").alias("version")).unionByName(store.table("log").select(F.lit("log").alias("tab"), "key", "value", "version"))
