@@ -23,6 +23,8 @@ PREFERRED_FIELDS = {"relation.from": "field.hometown", "relation.origin": "field
 #: Fixed: auxiliaries that may stand between a subject and its trigger; pronouns that may be one.
 AUXILIARIES = "is|was|are|were|has|have|had|uses|used|received|underwent|became|comes|came|lives|lived"
 SUBJECT_PRONOUNS = "He|She|It|They|His|Her|Its|Their"
+#: Fixed: words at which an object ends.
+OBJECT_ENDS = "and|but|while|then|who|which|that"
 #: Fixed: what a resolved pronoun says about its subject, and how surely.
 PRONOUNS = {"he": ("male", 0.93), "him": ("male", 0.90), "his": ("male", 0.93), "himself": ("male", 0.93), "she": ("female", 0.93), "her": ("female", 0.90), "hers": ("female", 0.93), "herself": ("female", 0.93), "他": ("male", 0.93), "他的": ("male", 0.93), "她": ("female", 0.93), "她的": ("female", 0.93)}
 #: Fixed: weights of type evidence: an expected type; lexical by strength; an earlier inference; memory by its sources; stored entities; fit and misfit with what is expected.
@@ -51,7 +53,7 @@ def extract_relations(spans: DataFrame, clauses: DataFrame, doc: str = "doc_id")
     limit = F.least(F.col("clause_end"), F.coalesce(F.when(F.col("__next") > F.col("end"), F.col("__next")), F.col("clause_end")))
     close = at(F.col("end"), limit)
     raw = F.when(trim_all(close) == "", at(F.col("end"), F.col("clause_end"))).otherwise(close)
-    obj = trim_all(F.element_at(F.split(raw, r"(?i)[,.;!?]|\s+(?:and|but|while|then|who|which|that)\s+"), 1))
+    obj = trim_all(F.element_at(F.split(raw, rf"(?i)[,.;!?]|\s+(?:{OBJECT_ENDS})\s+"), 1))
     obj = F.nullif(F.regexp_replace(obj, r"(?i)^(?:(?:to|into|in|at|on|from|with|of)\s+)?(?:(?:a|an|the)\s+)?", ""), F.lit(""))
     tail = F.when((F.col("__type") <= F.col("start")), at(F.col("__type"), F.col("start"))).otherwise(F.lit(""))
     out = rel.withColumns({"subject": subject_left(at(F.col("clause_start"), F.col("start")), tail), "object": obj}).where("object is not null")

@@ -102,6 +102,7 @@ def extract_species(species: DataFrame, compounds: DataFrame, clauses: DataFrame
     c = compounds.select(F.col(doc).alias("__d"), F.col("start").alias("__s"), F.col("end").alias("__e"))
     rel = F.col("start") - F.col("clause_start")
     left = F.substring(F.col("text"), F.greatest(F.lit(1), rel - reach + 1), F.least(rel, F.lit(reach)))
+    # Fixed: what stands before a species that somebody is.
     copular = left.rlike(r"(?i)(?:\b(?:is|was|are|were|be|become|becomes|became)(?:\s+(?:a|an|the))?(?:\s+[\w-]+)?\s*$)|(?:是|为|变成|成为)(?:一[只个名位条头])?\s*$")
     single = one.where(copular).join(c, (F.col(doc) == F.col("__d")) & contains(F.col("__s"), F.col("__e"), F.col("start"), F.col("end")), "left_anti")
     both = inside(compounds, clauses.drop("text"), doc).select(doc, "clause_idx", "start", "end", F.lit("pattern.compound-species").alias("extractor"))

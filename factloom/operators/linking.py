@@ -12,6 +12,8 @@ from ..functions.text import entity_name_form, label_form
 
 #: Fixed: what an exact name and an exact alias are worth; what a fitting, a narrower and a foreign type add; how close is a tie.
 NAME, ALIAS, EXACT_TYPE, CHILD_TYPE, FOREIGN_TYPE, TIE = 1.0, 0.98, 0.12, 0.08, -0.15, 1e-6
+#: Fixed: time words that may hang on a Chinese name.
+TIME_WORDS = "后来|之后|以后|随后|现在|目前|当时|如今"
 #: Fixed: similar names: one ends with the other.
 HINT_SUFFIX, NAME_SUFFIX = 0.88, 0.8
 
@@ -93,7 +95,7 @@ def attach_drafts(candidates: DataFrame, drafts: DataFrame, sides: Sequence[str]
 
 def variants(name: Column) -> Column:
     """array<struct<priority,form>>: a name, then the name without a trailing Chinese time word."""
-    bare = F.regexp_replace(name, "(?:后来|之后|以后|随后|现在|目前|当时|如今)$", "")
+    bare = F.regexp_replace(name, f"(?:{TIME_WORDS})$", "")
     return F.filter(F.array(F.struct(F.lit(0).alias("priority"), name.alias("form")), F.struct(F.lit(1).alias("priority"), bare.alias("form"))), lambda x: (x["form"] != "") & ((x["priority"] == 0) | (x["form"] != name)))
 
 
