@@ -13,8 +13,8 @@ no single task's work.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -31,41 +31,33 @@ RUN = 4
 MIN_WORDS = 25
 #: Words of a piece at most; the words among which the one with the least hash starts a new piece.
 LONG, AMONG = 13, 12
-#: Word hashes that a worker remembers before it forgets all.
-KEPT_WORDS = 200_000
 
-# A sentence is the stretch up to a mark (. ! ? …) and white space, a CJK full stop or the like, or a line break.
-_BREAK = re.compile(r"(?<=[.!?…。！？])\s+|(?<=[。！？])(?=[^\s。！？])|\n\s*")
-
-
-# Scripts without spaces: each character counts as a word.
-_CJK = r"\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
-_ONE_CJK, _WORD = re.compile(f"[{_CJK}]"), re.compile(f"[{_CJK}]|[^\\s{_CJK}]+")
-
-
-class _Hashes(dict):
-    """Word to its hash, remembered."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word.lower())
-        return h
-
-
-_HASHES = _Hashes()
-
-
-def _words(text: str) -> list[str]:
-    return text.split() if text.isascii() or not _ONE_CJK.search(text) else _WORD.findall(text)
+#: Characters of texts that are parted together; a longer text is parted alone.
+CHUNK = 1 << 18
 
-
-def _parts(text: str, a: int, b: int) -> list[tuple[int, int]]:
-    """A sentence parted before each word that has the least hash of ``AMONG`` neighbours: the same words part alike in any surroundings."""
-    words = _words(text[a:b])
-    if len(words) <= LONG:
-        return [(a, b)]
-    hashes = list(map(_HASHES.__getitem__, words))
+# A sentence is the stretch up to a mark (. ! ? …) and white space, a CJK full stop or the like, or a line break.
+# Of scripts without spaces each character counts as a word.
+_SPACE, _MARK, _WIDE, _CJK = 1, 2, 4, 8
+_KIND = np.zeros(0x110000, np.uint8)
+_KIND[[c for c in range(0x3001) if chr(c).isspace()]] = _SPACE
+_KIND[[ord(c) for c in ".!?…"]] = _MARK
+_KIND[[ord(c) for c in "。！？"]] = _WIDE
+for _a, _b in ((0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)):
+    _KIND[_a : _b + 1] = _CJK
+
+
+def _slid(op: np.ufunc, x: np.ndarray, size: int) -> np.ndarray:
+    """The least or largest of each ``size`` neighbours."""
+    have = 1
+    while have < size:
+        step = min(have, size - have)
+        x = op(x[: len(x) - step], x[step:])
+        have += step
+    return x
+
+
+def _least(hashes: list[int]) -> list[int]:
+    """The place of the least of each ``AMONG`` neighbours; among equals one stays while it can, then the last comes."""
     least, picked = -1, []
     for k in range(len(hashes) - AMONG + 1):
         end = k + AMONG - 1
@@ -76,55 +68,138 @@ def _parts(text: str, a: int, b: int) -> list[tuple[int, int]]:
         else:
             near = hashes[k : end + 1]
             least = end - near[::-1].index(min(near))
-        if least > 0:
-            picked.append(least)
-    places, at, out = [m.span() for m in _WORD.finditer(text, a, b)], a, []
-    for k in picked:
-        out.append((at, places[k - 1][1]))
-        at = places[k][0]
-    return [*out, (at, b)]
+        picked.append(least)
+    return picked
+
+
+def _parting(words: list[str], opens: np.ndarray) -> np.ndarray:
+    """Which words start a part of a sentence of over ``LONG`` words: those with the least hash of ``AMONG`` neighbours, so the same words part alike in any surroundings."""
+    begin = np.flatnonzero(opens)
+    sizes = np.diff(np.append(begin, len(opens)))
+    if not (sizes > LONG).any():
+        return np.zeros(len(opens), bool)
+    of, long = np.repeat(np.arange(len(begin)), sizes), np.repeat(sizes > LONG, sizes)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    low = _slid(np.minimum, hashes, AMONG)
+    low[(of[: len(low)] != of[AMONG - 1 :]) | ~long[: len(low)]] = 0
+    # A word is picked if one of the windows that hold it has no smaller one.
+    picked = long & (hashes == _slid(np.maximum, np.pad(low, AMONG - 1), AMONG))
+    at = np.flatnonzero(picked)
+    # Equal words that are least in the same window are chosen from in order.
+    tied = (hashes[at[1:]] == hashes[at[:-1]]) & (of[at[1:]] == of[at[:-1]]) & (np.diff(at) < AMONG)
+    for k in np.unique(of[at[1:][tied]]).tolist():
+        a, b = begin[k], begin[k] + sizes[k]
+        picked[a:b] = False
+        picked[a + np.array(_least(hashes[a:b].tolist()))] = True
+    return picked & ~opens
+
+
+class _Pieces(NamedTuple):
+    """Sentences, or parts of long ones, of several texts: the text's number, start and end in code points, words, and on demand what is said."""
+
+    of: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    words: np.ndarray
+    said: list[str] | None
+
+
+def _places(joined: str) -> tuple[np.ndarray, ...]:
+    """Start and end of each word, the kind of its last character, and where lines end; ``joined`` ends with a line break."""
+    chars = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    kind, lines = _KIND[chars], np.flatnonzero(chars == 10)
+    before = np.append(np.uint8(_SPACE), kind[:-1])
+    blank = (kind & _SPACE) != 0
+    new = ~blank & (((before & (_SPACE | _CJK)) | (kind & _CJK)) != 0)
+    new |= ((before & _WIDE) != 0) & ((kind & (_SPACE | _WIDE)) == 0)
+    first, ends = np.flatnonzero(new), np.flatnonzero(((before & _SPACE) == 0) & (blank | new))
+    return first, ends, kind[ends - 1], lines
+
+
+def _pieces(texts: list[str], say: bool = False) -> _Pieces:
+    """The pieces of all texts, in order; blank ones are left out. said: without case and spacing."""
+    joined = "\n".join([*texts, ""])
+    first, ends, last, lines = _places(joined)
+    if not len(first):
+        none = np.zeros(0, np.int64)
+        return _Pieces(none, none, none, none, [] if say else None)
+    base = np.append(0, np.cumsum([len(t) + 1 for t in texts]))[:-1]
+    of = np.searchsorted(base, first, "right") - 1
+    line = lines[np.searchsorted(lines, ends)]  # where the line of a word ends
+    glued = ends[:-1] == first[1:]
+    opens = np.ones(len(first), bool)
+    opens[1:] = ((last[:-1] & _WIDE) != 0) | ((last[:-1] & _MARK) != 0) & ~glued | (line[:-1] < first[1:])
+    # Words are what white space parts, but in texts where some touch.
+    touching = np.zeros(len(texts), bool)
+    touching[of[1:][glued]] = True
+    if touching.any():
+        words, at = [], np.searchsorted(of, np.arange(len(texts) + 1)).tolist()
+        for k, text in enumerate(texts):
+            a, b = at[k], at[k + 1]
+            words += [joined[x:y].lower() for x, y in zip(first[a:b].tolist(), ends[a:b].tolist())] if touching[k] else text.lower().split()
+    else:
+        words = joined.lower().split()
+    parting = _parting(words, opens)
+    begin = np.flatnonzero(opens | parting)
+    stop = np.append(begin[1:], len(first))
+    parted = np.append(parting[begin[1:]], False)
+    start, of = first[begin], of[begin]
+    end = np.where(parted | ((last[stop - 1] & (_MARK | _WIDE)) != 0), ends[stop - 1], line[stop - 1])
+    # A text's first sentence starts with the text, but for blank lines.
+    fresh = np.append(True, of[1:] != of[:-1])
+    start = np.where(fresh & (lines[np.searchsorted(lines, base[of])] > start), base[of], start)
+    said = None
+    if say and touching.any():
+        said = [" ".join(joined[x:y].lower().split() if t else words[a:b]) for a, b, x, y, t in zip(begin.tolist(), stop.tolist(), start.tolist(), end.tolist(), touching[of].tolist())]
+    elif say:
+        said = [" ".join(words[a:b]) for a, b in zip(begin.tolist(), stop.tolist())]
+    return _Pieces(of, start - base[of], end - base[of], stop - begin, said)
 
 
 def sentences(text: str | None) -> list[tuple[int, int]]:
     """(start, end) of each sentence or part of a long one, in code points; blank ones are left out."""
-    out, at = [], 0
-    if not text:
-        return out
-    for start, end in [*((m.start(), m.end()) for m in _BREAK.finditer(text)), (len(text), len(text))]:
-        if start > at and not text[at:start].isspace():
-            if start - at > LONG:
-                out += _parts(text, at, start)
-            else:
-                out.append((at, start))
-        at = end
-    return out
-
-
-def _runs(text: str, spans: list[tuple[int, int]], run: int, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, int]]:
-    """(first sentence, sentences, signed 64-bit hash, signed 32-bit hash) of each run, compared without case and spacing.
+    p = _pieces([text or ""])
+    return list(zip(p.start.tolist(), p.end.tolist()))
+
+
+def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """(from, to) of stretches of texts of about ``CHUNK`` characters together."""
+    a = size = 0
+    for k, text in enumerate(texts):
+        if k > a and size + len(text) > CHUNK:
+            yield a, k
+            a, size = k, 0
+        size += len(text)
+    if texts:
+        yield a, len(texts)
+
+
+def _runs(texts: list[str], run: int, min_words: int = MIN_WORDS) -> tuple[np.ndarray, ...]:
+    """Arrays by run: the text's number, first sentence, sentences, signed 64-bit hash, signed 32-bit hash; compared without case and spacing.
 
     Runs of ``run`` sentences, from each sentence the run up to ``min_words`` words if that is shorter, and all of a text of fewer sentences.
     """
-    pieces = [text[a:b].lower().split() for a, b in spans]
-    whole = [xxhash.xxh3_128_digest(" ".join(x)) for x in pieces]
-    one = np.frombuffer(b"".join(whole), np.uint64).reshape(-1, 2)
+    p = _pieces(texts, say=True)
+    one = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, p.said)), np.uint64).reshape(-1, 2)
     # A polynomial over the sentences' two hashes, modulo 2^64 each.
     mix = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
-    spaced = text.isascii() or not _ONE_CJK.search(text)
-    counts = np.array([len(x) if spaced else len(_WORD.findall(" ".join(x))) for x in pieces], np.int64)
+    sizes = np.bincount(p.of, minlength=len(texts))[p.of]
+    number = np.arange(len(one)) - np.searchsorted(p.of, p.of)
     words, hashes, open_ = np.zeros(len(one), np.int64), np.zeros((len(one), 2), np.uint64), np.ones(len(one), bool)
     out = []
     for n in range(1, min(run, len(one)) + 1):
         last = len(one) - n + 1
-        words[:last] += counts[n - 1 :]
+        words[:last] += p.words[n - 1 :]
         hashes[:last] = hashes[:last] * mix + one[n - 1 :]
-        full = np.arange(last) if n == run else np.flatnonzero(open_[:last] & (words[:last] >= min_words))
-        open_[full] = False
-        if n == len(one) < run:
-            full = np.zeros(1, np.int64)  # all of a text of few sentences
-        own = hashes[full] ^ (hashes[full] >> np.uint64(31))
-        out += zip(full.tolist(), [n] * len(full), own[:, 0].copy().view(np.int64).tolist(), (own[:, 1] >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist())
-    return out
+        full = number + n <= sizes
+        if n < run:
+            full &= open_ & (words >= min_words)
+            open_ &= ~full
+            full |= (number == 0) & (sizes == n)  # all of a text of few sentences
+        at = np.flatnonzero(full)
+        own = hashes[at] ^ (hashes[at] >> np.uint64(31))
+        out.append((p.of[at], number[at], np.full(len(at), n), own[:, 0].view(np.int64), (own[:, 1] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+    return tuple(map(np.concatenate, zip(*out))) if out else tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.int32))
 
 
 def _key(docs: DataFrame):
@@ -143,16 +218,11 @@ def repeated_runs(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, got = [], []
-            for k, text in enumerate(b.column("text")):
-                text = text.as_py()
-                if text:
-                    own = _runs(text, sentences(text), run, min_words)
-                    rows += [k] * len(own)
-                    got += own
-            at, types = pa.array(rows, pa.int32()), (pa.int32(), pa.int32(), pa.int64(), pa.int32())
-            place, size, one, two = (pa.array([x[k] for x in got], t) for k, t in enumerate(types))
-            yield pa.RecordBatch.from_arrays([b.column("key").take(at), b.column("doc_id").take(at), one, two, place, size], names=["key", "doc_id", "run", "run2", "sentence", "n"])
+            texts = [text or "" for text in b.column("text").to_pylist()]
+            for x, y in _chunks(texts):
+                of, place, size, one, two = _runs(texts[x:y], run, min_words)
+                at = pa.array(of + x, pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column("key").take(at), b.column("doc_id").take(at), pa.array(one), pa.array(two), pa.array(place, pa.int32()), pa.array(size, pa.int32())], names=["key", "doc_id", "run", "run2", "sentence", "n"])
 
     runs = cut(docs.select(_key(docs).alias("key"), "doc_id", "text").mapInArrow(hashes, f"key long, doc_id {kind}, run long, run2 int, sentence int, n int"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "sentence")
@@ -161,27 +231,32 @@ def repeated_runs(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -
     return runs.join(firsts, ["run", "run2"]).where(order != F.col("first")).select("key", "doc_id", F.col("first.doc_id").alias("first_doc_id"), "sentence", "n")
 
 
-def _drop(text: str, runs: list[tuple[int, int]]) -> tuple[str, list[list[int]], int]:
+def _drop(text: str, starts: list[int], first: list[int], sizes: list[int]) -> tuple[str, list[list[int]], int]:
     """The text without the sentences of those runs (first sentence, sentences), what went as [start, end], and how many sentences."""
-    spans, hit = sentences(text), set()
-    for s, size in runs:
-        hit.update(range(s, s + size))
-    gone, k = [], 0
-    while k < len(spans):
-        e = k
-        while k in hit and e + 1 in hit:
-            e += 1
-        if k in hit:
-            # Up to the next sentence, so that no doubled gap is left.
-            gone.append([spans[k][0], spans[e + 1][0] if e + 1 < len(spans) else len(text)])
-        k = e + 1
-    out, at = [], 0
+    hit = sorted({k for s, n in zip(first, sizes) for k in range(s, s + n)})
+    gone, out, at = [], [], 0
+    for k in hit:
+        # Up to the next sentence, so that no doubled gap is left.
+        end = starts[k + 1] if k + 1 < len(starts) else len(text)
+        if gone and gone[-1][1] == starts[k]:
+            gone[-1][1] = end
+        else:
+            gone.append([starts[k], end])
     for a, b in gone:
         out.append(text[at:a])
         at = b
     return "".join([*out, text[at:]]), gone, len(hit)
 
 
+def _dropped(texts: list[str], first: list[list[int]], sizes: list[list[int]]) -> Iterator[tuple[str, list[list[int]], int]]:
+    """``_drop`` of each text, parted together."""
+    for x, y in _chunks(texts):
+        p = _pieces(texts[x:y])
+        at, starts = np.searchsorted(p.of, np.arange(y - x + 1)).tolist(), p.start.tolist()
+        for k in range(x, y):
+            yield _drop(texts[k], starts[at[k - x] : at[k - x + 1]], first[k], sizes[k])
+
+
 def _hits(docs: DataFrame, run: int, min_words: int) -> DataFrame:
     """(key, doc_id, runs, first_doc_ids) of the documents that hold repeated runs."""
     return repeated_runs(docs, run, min_words).groupBy("key", "doc_id").agg(F.array_sort(F.collect_set(F.struct("sentence", "n"))).alias("runs"), F.array_sort(F.collect_set("first_doc_id")).alias("first_doc_ids"))
@@ -203,8 +278,7 @@ def repeated_passages(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORD
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, texts, gone, counts = [], [], [], []
-            for k in range(b.num_rows):
-                left, cut_out, n = _drop(b.column("text")[k].as_py(), [(x["sentence"], x["n"]) for x in b.column("runs")[k].as_py()])
+            for k, (left, cut_out, n) in enumerate(_dropped(*(b.column(c).to_pylist() for c in ("text", "starts", "sizes")))):
                 if cut_out:
                     rows.append(k)
                     texts.append(left)
@@ -214,7 +288,7 @@ def repeated_passages(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORD
             spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("first_doc_ids").take(at), pa.array(counts, pa.int32()), pa.array(gone, spans), pa.array(texts, pa.string())], names=["doc_id", "first_doc_ids", "n_sentences", "removed", "text"])
 
-    return met.select("doc_id", "text", "runs", "first_doc_ids").mapInArrow(clean, f"doc_id {kind}, first_doc_ids array<{kind}>, n_sentences int, removed array<struct<start:bigint,end:bigint>>, text string")
+    return met.select("doc_id", "text", F.col("runs.sentence").alias("starts"), F.col("runs.n").alias("sizes"), "first_doc_ids").mapInArrow(clean, f"doc_id {kind}, first_doc_ids array<{kind}>, n_sentences int, removed array<struct<start:bigint,end:bigint>>, text string")
 
 
 def remove_repeats(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
@@ -222,7 +296,10 @@ def remove_repeats(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS)
 
     @F.pandas_udf("string")
     def clean(text: pd.Series, starts: pd.Series, sizes: pd.Series) -> pd.Series:
-        return pd.Series([t if s is None else _drop(t, list(zip(s, n)))[0] for t, s, n in zip(text, starts, sizes)], dtype=object)
+        out, hit = text.to_numpy(object, copy=True), [k for k, s in enumerate(starts) if s is not None]
+        for k, got in zip(hit, _dropped(*([c.iat[k] for k in hit] for c in (text, starts, sizes)))):
+            out[k] = got[0]
+        return pd.Series(out, dtype=object)
 
     key = free_name(docs, "key")
     hits = _hits(docs, run, min_words).select(F.col("key").alias("hit_key"), F.col("doc_id").alias("hit_id"), F.col("runs.sentence").alias("starts"), F.col("runs.n").alias("sizes")).alias("h")

@@ -1,8 +1,12 @@
 """Sentence-span deduplication against a plain version, and its edge cases."""
 
 import random
+import re
+import sys
 
-from factloom.llm.sentence_dedup import MIN_WORDS, RUN, remove_repeats, repeated_passages, sentences
+import xxhash
+
+from factloom.llm.sentence_dedup import AMONG, LONG, MIN_WORDS, RUN, _pieces, _runs, remove_repeats, repeated_passages, sentences
 
 
 def passage(rng, n):
@@ -81,3 +85,49 @@ def test_long_sentences_and_cjk_repeat_too(spark):
     left = {r.doc_id: r.text for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert left[1] == one and left[2] == "" and left[3] == rows[2][1] and left[5] == han and left[6] == "新的句子。"
     assert len(left[4].split()) <= 91 - MIN_WORDS and (left[7], left[8], left[9]) == ("short copy", "", "Not so. A short copy") and (left[10], left[11], left[12]) == ("One. Two. Three.", "", "Zero. One. Two. Three.")
+
+
+def one_by_one(text):
+    """The pieces of a text by regular expressions, and each long sentence word by word."""
+    out, at = [], 0
+    for start, end in [*(m.span() for m in re.finditer(r"(?<=[.!?…。！？])\s+|(?<=[。！？])(?=[^\s。！？])|\n\s*", text)), (len(text), len(text))]:
+        if text[at:start].strip():
+            places = [(at + a, at + b) for a, b in (m.span() for m in re.finditer(r"[一-鿿\U00020000-\U0003ffff]|[^\s一-鿿\U00020000-\U0003ffff]+", text[at:start]))]
+            hashes, least, cuts = [xxhash.xxh64_intdigest(text[a:b].lower()) for a, b in places], -1, []
+            for k in range(len(hashes) - AMONG + 1 if len(hashes) > LONG else 0):
+                near = range(k, k + AMONG)
+                low = min(hashes[j] for j in near)
+                if least < k or hashes[least] > low:
+                    least = max(j for j in near if hashes[j] == low)
+                    cuts += [least] if least else []
+            edges = [at, *(places[k][0] for k in cuts)], [*(places[k - 1][1] for k in cuts), start]
+            out += zip(*edges)
+        at = end
+    return out
+
+
+def test_texts_parted_together_part_as_alone():
+    rng = random.Random(11)
+    words = ["a", "B", "no", "no", "d.", "e!", "g…", "新", "日本", "。", "！", "x。y", ".", "İ", "ΑΣ", "　", "\x1c", " ", "\n", "\r\n", "\t", "𠮷", "é"]
+    texts = [rng.choice(["", " "]).join(rng.choices(rng.sample(words, 9), k=rng.choice([0, 3, 20, 200]))) for _ in range(400)] + [passage(rng, 3).replace(".", "") for _ in range(50)]
+    got = _pieces(texts, say=True)
+    assert list(zip(got.of.tolist(), got.start.tolist(), got.end.tolist())) == [(k, *x) for k, t in enumerate(texts) for x in one_by_one(t)]
+    assert got.said == [" ".join(texts[k][a:b].lower().split()) for k, a, b in zip(got.of, got.start, got.end)]
+    alone = [(k, *r) for k, t in enumerate(texts) for r in zip(*(x.tolist() for x in _runs([t], RUN)[1:]))]
+    assert sorted(zip(*(x.tolist() for x in _runs(texts, RUN)))) == sorted(alone)
+
+
+def test_runs_take_few_calls_a_word():
+    rng = random.Random(12)
+    texts, calls = [passage(rng, 60) + " " + passage(rng, 20).replace(".", "") for _ in range(60)], [0]
+
+    def count(frame, event, arg):
+        calls[0] += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        _runs(texts, RUN)
+        _pieces(texts)
+    finally:
+        sys.setprofile(None)
+    assert calls[0] < 0.5 * sum(len(t.split()) for t in texts)
