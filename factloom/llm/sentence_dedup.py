@@ -4,26 +4,32 @@ Every run of ``run`` consecutive sentences is hashed, and every shorter one that
 ``min_words`` words; a text of fewer sentences is a run, too, however few words it has. Runs join globally by hash, and every sentence covered by a run that
 is not the first of its kind goes, however few words it has. Sentences of over ``LONG``
 words are parted where their own words say so, so 51 shared words hold ``MIN_WORDS``
-words of whole pieces wherever they start. Only 12-byte hashes with their document's key
+words of whole pieces wherever they start. First only the runs' tags are shuffled, the
+first ``TAG`` bits of a hash, to be counted. The tags that come twice become bit tables of
+at most ``MOST_BITS`` bits, one for each range of tags that fills one, and keep most runs
+that are said once out of all that follows; those they let in by chance are told apart by
+their whole hashes. Only 12-byte hashes of the rest with their document's key
 and the sentence's number are shuffled. The first of each repeated run comes from a
 pre-aggregated minimum; the way back to a run's occurrences is an equi-join whose large
 side adaptive execution can split, so a passage that a third of all documents share is
-no single task's work.
+no single task's work. A last bit table keeps most texts that lose nothing where they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, free_name, read_table
+from .common import bounded_batches, cut, drop_cut, free_name, read_table, settled
 
 #: Consecutive sentences to a span.
 RUN = 4
@@ -35,6 +41,11 @@ LONG, AMONG = 13, 12
 #: Characters of texts that are parted together; a longer text is parted alone.
 CHUNK = 1 << 18
 
+#: First bits of a run's hash that are counted; equal ones of different runs only let these through.
+TAG = 40
+#: Bits of a broadcast table at most, 16 MB; 8 to 16 a tag or document.
+MOST_BITS = 1 << 27
+
 # A sentence is the stretch up to a mark (. ! ? …) and white space, a CJK full stop or the like, or a line break.
 # Of scripts without spaces each character counts as a word.
 _SPACE, _MARK, _WIDE, _CJK = 1, 2, 4, 8
@@ -207,6 +218,52 @@ def _key(docs: DataFrame):
     return F.xxhash64("doc_id", "text")
 
 
+def _bits(n: int) -> int:
+    """Two to this many bits are 8 to 16 for each of ``n`` hashes."""
+    return max(16, (8 * n - 1).bit_length())
+
+
+def _bit_table(at: DataFrame, bits: int) -> np.ndarray:
+    """64-bit words of a table of two to the ``bits`` bits that has the bits ``at``; built in Spark."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63)).cast("int"))
+    words = at.select(F.shiftright("at", 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(1 << max(bits - 6, 0), np.int64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return table.view(np.uint64)
+
+
+def _met(df: DataFrame, at: Column, known: DataFrame, bits: int) -> tuple[DataFrame, Broadcast]:
+    """The rows of ``df`` whose ``at`` is one of ``known``, of ``bits`` bits, and the broadcast table that says so."""
+    sent = df.sparkSession.sparkContext.broadcast(_bit_table(known, bits))
+
+    @F.pandas_udf("boolean")
+    def is_set(at: pd.Series) -> pd.Series:
+        place = at.to_numpy().astype(np.uint64)
+        return pd.Series((sent.value[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool))
+
+    return df.where(is_set(at)), sent
+
+
+def _seen_again(runs: DataFrame) -> DataFrame:
+    """A written table of all runs whose hash comes twice, and of some others; ``runs`` is deleted.
+
+    A table's bits are for one range of tags, so however many repeat, no table fills up; each range takes a pass over ``runs``.
+    """
+    tags = cut(runs.groupBy(F.shiftrightunsigned("run", 64 - TAG).alias("tag")).agg(F.count("*").alias("times")).where("times > 1").select("tag"))
+    bits = min(_bits(tags.count()), TAG)
+    held = min(bits, MOST_BITS.bit_length() - 1)
+    # The hash's first bits are the number of the table and the place inside it.
+    of_tag, of_run = F.shiftrightunsigned("tag", TAG - bits), F.shiftrightunsigned("run", 64 - bits)
+    inside, out = F.lit((1 << held) - 1), []
+    for k in range(1 << (bits - held)):
+        kept, sent = _met(runs.where(F.shiftright(of_run, held) == k), of_run.bitwiseAND(inside), tags.where(F.shiftright(of_tag, held) == k).select(of_tag.bitwiseAND(inside).alias("at")), held)
+        out.append(cut(kept))
+        sent.destroy()
+    drop_cut(tags)
+    drop_cut(runs)
+    return reduce(DataFrame.unionByName, out)
+
+
 def repeated_runs(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
     """(key, doc_id, first_doc_id, sentence, n): the runs, by their first sentence's number and how many they are, that are not the first of their kind.
 
@@ -225,6 +282,7 @@ def repeated_runs(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -
                 yield pa.RecordBatch.from_arrays([b.column("key").take(at), b.column("doc_id").take(at), pa.array(one), pa.array(two), pa.array(place, pa.int32()), pa.array(size, pa.int32())], names=["key", "doc_id", "run", "run2", "sentence", "n"])
 
     runs = cut(docs.select(_key(docs).alias("key"), "doc_id", "text").mapInArrow(hashes, f"key long, doc_id {kind}, run long, run2 int, sentence int, n int"))
+    runs = _seen_again(runs)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "sentence")
     # Written before the join, so that both its sides are plain shuffles and a run that very many documents share can be split.
     firsts = cut(runs.groupBy("run", "run2").agg(F.min(order).alias("first"), F.count("*").alias("times")).where("times > 1").select("run", "run2", "first"))
@@ -258,8 +316,9 @@ def _dropped(texts: list[str], first: list[list[int]], sizes: list[list[int]]) -
 
 
 def _hits(docs: DataFrame, run: int, min_words: int) -> DataFrame:
-    """(key, doc_id, runs, first_doc_ids) of the documents that hold repeated runs."""
-    return repeated_runs(docs, run, min_words).groupBy("key", "doc_id").agg(F.array_sort(F.collect_set(F.struct("sentence", "n"))).alias("runs"), F.array_sort(F.collect_set("first_doc_id")).alias("first_doc_ids"))
+    """A written table (key, doc_id, runs, first_doc_ids) of the documents that hold repeated runs."""
+    runs, firsts = F.array_sort(F.collect_set(F.struct("sentence", "n"))), F.array_sort(F.collect_set("first_doc_id"))
+    return settled(docs.sparkSession, lambda: repeated_runs(docs, run, min_words).groupBy("key", "doc_id").agg(runs.alias("runs"), firsts.alias("first_doc_ids")))
 
 
 def repeated_passages(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
@@ -272,7 +331,10 @@ def repeated_passages(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORD
     ``min_words`` words. Very long texts are cleaned like any. An empty table gives none.
     """
     hits = _hits(docs, run, min_words)
-    met = docs.select(_key(docs).alias("key"), "doc_id", "text").alias("d").join(hits.alias("h"), (F.col("d.key") == F.col("h.key")) & F.col("d.doc_id").eqNullSafe(F.col("h.doc_id"))).select("d.doc_id", "text", "runs", "first_doc_ids")
+    bits = min(_bits(hits.count()), MOST_BITS.bit_length() - 1)
+    place = F.shiftrightunsigned("key", 64 - bits)
+    rows, _ = _met(docs.select(_key(docs).alias("key"), "doc_id", "text"), place, hits.select(place.alias("at")), bits)
+    met = rows.alias("d").join(hits.alias("h"), (F.col("d.key") == F.col("h.key")) & F.col("d.doc_id").eqNullSafe(F.col("h.doc_id"))).select("d.doc_id", "text", "runs", "first_doc_ids")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

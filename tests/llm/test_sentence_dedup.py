@@ -131,3 +131,34 @@ def test_runs_take_few_calls_a_word():
     finally:
         sys.setprofile(None)
     assert calls[0] < 0.5 * sum(len(t.split()) for t in texts)
+
+
+def test_runs_said_once_are_not_shuffled_whole(spark):
+    rng = random.Random(13)
+    shared = passage(rng, 6)
+    rows = [(k, passage(rng, 40) + (" " + shared if k % 50 == 0 else "")) for k in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    assert docs.count() == 1500
+    before = shuffled(spark)
+    assert sorted(r.doc_id for r in repeated_passages(docs).collect()) == [k for k in range(1500) if k and k % 50 == 0]
+    assert 0 < shuffled(spark) - before < 20 * sum(len(_runs([t], RUN)[0]) for _, t in rows)
+    docs.unpersist()
+
+
+def shuffled(spark):
+    """Bytes that the session has shuffled so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    return sc.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+
+def test_tables_for_ranges_of_tags(spark, monkeypatch):
+    rng = random.Random(14)
+    shared = [passage(rng, 6) for _ in range(20)]
+    rows = [(k, " ".join([passage(rng, 3), rng.choice(shared), passage(rng, 2)])) for k in range(60)]
+    docs, want = spark.createDataFrame(rows, "doc_id long, text string"), plain(rows)
+    # Tables for a quarter of the tags each, then tags of so few bits that different runs share them.
+    for name, value in (("MOST_BITS", 1 << 14), ("TAG", 8)):
+        monkeypatch.setattr(f"factloom.llm.sentence_dedup.{name}", value)
+        assert {r.doc_id: r.text for r in repeated_passages(docs).collect()} == {i: w for (i, t), w in want.items() if w != t}
+        assert {r.doc_id: r.text for r in remove_repeats(docs).collect()} == {i: w for (i, t), w in want.items()}
