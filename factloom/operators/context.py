@@ -74,12 +74,22 @@ def latest_best(evidence: DataFrame, keys: Sequence[str], value: str, confidence
     return evidence.groupBy(*keys).agg(F.max(F.struct(F.col(confidence), F.col(order), F.col(value))).alias("__b")).select(*keys, F.col(f"__b.{value}").alias(value), F.col(f"__b.{confidence}").alias(confidence))
 
 
+#: Fixed: decimal places to which evidence is summed; evidence beyond the bound is summed as it is.
+PLACES, BOUND = 15, 1e15
+
+
+def exact_sum(score: str) -> Column:
+    """Sum in decimals: what adds up to the same is the same, however the rows are dealt and ordered."""
+    exact = F.try_sum(F.col(score).try_cast(f"decimal(38,{PLACES})")).cast("double")
+    return F.coalesce(F.when(F.max(F.abs(score)) < BOUND, exact), F.sum(score))
+
+
 def rank_types(evidence: DataFrame, entity: Sequence[str], concept: str, score: str, margin: float = 0.12, keep: int = 4) -> DataFrame:
     """(entity, best, score, alternatives, status): evidence summed by concept and saturated; ambiguous if the lead is under ``margin``.
 
     Equal scores go by concept name.
     """
-    sums = evidence.groupBy(*entity, concept).agg(saturate(F.sum(score)).alias("__s"))
+    sums = evidence.groupBy(*entity, concept).agg(saturate(exact_sum(score)).alias("__s"))
     ranked = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("__s")).alias("n"), F.col(concept).alias("c")))), 1, keep)
     out = sums.groupBy(*entity).agg(ranked.alias("r"))
     best, second = F.col("r")[0], F.try_element_at("r", F.lit(2))
