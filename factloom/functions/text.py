@@ -53,13 +53,15 @@ def normalize_text(c: Column, locale: str = "en", compose: bool = True) -> Colum
 
 
 def comparison_form(c: Column, locale: str = "en", compose: bool = True) -> Column:
-    """The normal form without white space and quotation marks."""
-    return F.regexp_replace(normalize_text(c, locale, compose), f"{SPACE}|[\"'`“”‘’「」『』《》]", "")
+    """The normal form without white space and quotation marks; as all white space goes, none is made one space before."""
+    out = F.coalesce(nfkc(c) if compose else c, F.lit(""))
+    return F.regexp_replace(out if is_zh(locale) else F.lower(out), f"{SPACE}|[\"'`“”‘’「」『』《》]", "")
 
 
 def collapse_space(c: Column) -> Column:
-    """Runs of any white space to one space, trimmed; null is empty."""
-    return trim_all(F.regexp_replace(F.coalesce(c, F.lit("")), f"{SPACE}+", " "))
+    """Runs of any white space to one space, trimmed; null is empty. Most names have none, which one look tells."""
+    out = F.coalesce(c, F.lit(""))
+    return F.when(out.rlike(SPACE), trim_all(F.regexp_replace(out, f"{SPACE}+", " "))).otherwise(out)
 
 
 def strip_article(c: Column) -> Column:

@@ -1,20 +1,22 @@
 """How likely a stretch of text is a mention of an entity at all: additive features, none of which is a rule by itself.
 
 How much of other spans a candidate cuts is counted without meeting them: spans that begin
-before its end, less those that ended by its start, are two running counts over one sort.
+before its end, less those that ended by its start, by two searches in sorted places.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import QUALITY_TIERS, clamp01, tier
 from ..functions.text import collapse_space, nfkc
-from ..sources.scratch import stored
-from .spans import with_text
+from .spans import gathered, offsets, spread, with_text
 
 #: Fixed: what every candidate starts from; lexical evidence by kind and strength, all of it within bounds.
 BASE = 0.48
@@ -51,37 +53,70 @@ def name_form(c: Column, compose: bool = True) -> Column:
     return F.lower(collapse_space(nfkc(F.coalesce(c, F.lit(""))) if compose else c))
 
 
-def overlap_counts(spans: DataFrame, others: DataFrame, counts: dict[str, Column], doc: str = "doc_id", ident: str = "cand_id") -> DataFrame:
-    """``spans`` (doc, ident, start, end) with, for each of ``counts``, how many of ``others`` (doc, start, end) that it holds for overlap a span.
+def overlaps(start: np.ndarray, end: np.ndarray, others: pa.Array, begins: np.ndarray, size: np.ndarray, names: Sequence[str]) -> list[np.ndarray]:
+    """For each flag, how many of the others (lists of start, end, flags by text) overlap each span: what begins before its end, less what ends by its start.
 
-    One sort of a document's places: at one place ends come first, then questions, then starts.
+    Spans count from the first text's begin. What ends in the texts before a span's cancels what begins there.
     """
-    flags = [c.cast("int").alias(name) for name, c in counts.items()]
-    o = others.where("start < end").select(doc, "start", "end", *flags)
-    none = [F.lit(0).alias(name) for name in counts]
-    nobody = F.lit(None).cast(spans.schema[ident].dataType)
-    ends = o.select(doc, F.col("end").alias("__at"), F.lit(0).alias("__k"), nobody.alias(ident), F.lit(0).alias("__sign"), *((-F.col(n)).alias(n) for n in counts))
-    starts = o.select(doc, F.col("start").alias("__at"), F.lit(2).alias("__k"), nobody.alias(ident), F.lit(0).alias("__sign"), *counts)
-    asked = [spans.select(doc, F.col(c).alias("__at"), F.lit(1).alias("__k"), ident, F.lit(sign).alias("__sign"), *none) for c, sign in (("start", -1), ("end", 1))]
-    so_far = Window.partitionBy(doc).orderBy("__at", "__k").rowsBetween(Window.unboundedPreceding, 0)
-    both = ends.unionByName(starts).unionByName(asked[0]).unionByName(asked[1])
-    # Negative counts are ends, positive ones starts: a question at the end wants starts, one at the start wants ends.
-    seen = both.withColumns({f"__{n}": F.when(F.col("__sign") > 0, F.sum(F.greatest(F.col(n), F.lit(0))).over(so_far)).otherwise(F.sum(F.least(F.col(n), F.lit(0))).over(so_far)) for n in counts})
-    total = seen.where("__sign != 0").groupBy(doc, ident).agg(*(F.sum(f"__{n}").alias(n) for n in counts))
-    return spans.join(total, [doc, ident])
+    flat = others.flatten()
+    row = np.repeat(np.arange(len(others)), pc.list_value_length(others).to_numpy(zero_copy_only=False))
+    at = [np.minimum(flat.field(c).to_numpy(zero_copy_only=False), size[row]) + begins[row] for c in ("start", "end")]
+    out = []
+    for n in names:
+        held = flat.field(n).to_numpy(zero_copy_only=False).astype(bool)
+        begun, ended = (np.sort(x[held]) for x in at)
+        out.append(np.searchsorted(begun, end) - np.searchsorted(ended, start, "right"))
+    return out
+
+
+def _overlaps(names: Sequence[str]):
+    """An Arrow function: starts and ends of each text's spans, and its others, to the counts of each span."""
+
+    def count(starts: pa.Array, ends: pa.Array, others: pa.Array) -> pa.Array:
+        s, e = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in (starts, ends))
+        far = 1 + max(s.max(initial=0), e.max(initial=0), pc.max(others.flatten().field("end")).as_py() or 0)
+        begins = far * np.arange(len(starts))
+        row = np.repeat(begins, pc.list_value_length(starts).to_numpy(zero_copy_only=False))
+        counts = overlaps(s + row, e + row, others, begins, np.full(len(starts), far - 1), names)
+        return pa.ListArray.from_arrays(offsets(starts), pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in counts], names=list(names)))
+
+    return count
+
+
+def gathered_others(others: DataFrame, counts: dict[str, Column], doc: str = "doc_id") -> DataFrame:
+    """(doc, __others): a document's spans that aren't empty in one array, with a flag for each of ``counts``."""
+    flags = [F.coalesce(c, F.lit(False)).alias(name) for name, c in counts.items()]
+    return others.where("start < end").select(doc, F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), *flags).alias("__o")).groupBy(doc).agg(F.collect_list("__o").alias("__others"))
+
+
+def with_others(rows: DataFrame, others: DataFrame, counts: dict[str, Column], doc: str = "doc_id") -> DataFrame:
+    """Rows of documents with ``__others``, which is empty where a document has none."""
+    held = gathered_others(others, counts, doc)
+    return rows.join(held, doc, "left").withColumn("__others", F.coalesce("__others", F.array().cast(held.schema["__others"].dataType)))
+
+
+def overlap_counts(spans: DataFrame, others: DataFrame, counts: dict[str, Column], doc: str = "doc_id") -> DataFrame:
+    """``spans`` (doc, start, end, more) with, for each of ``counts``, how many of ``others`` (doc, start, end) that it holds for overlap a span.
+
+    A document's spans meet the sorted places of the others once, in one row.
+    """
+    place = lambda c: F.transform("__spans", lambda x: x[c])
+    count = F.arrow_udf(_overlaps(list(counts)), f"array<struct<{','.join(f'{n}:bigint' for n in counts)}>>")
+    met = with_others(gathered(spans, doc), others, counts, doc)
+    return spread(met.withColumn("__counts", count(place("start"), place("end"), "__others")), doc, "__counts")
 
 
 def lexical_support(evidence: Column) -> Column:
     """What an array of (evidence_type, strength) adds, within bounds."""
     worth = lambda e: F.when(e["evidence_type"] == "exact", LEXICAL["exact"]).when(e["evidence_type"] == "suffix", LEXICAL["suffix"]).otherwise(LEXICAL["other"]) + F.when(e["strength"] == "strong", STRONG).when(e["strength"] == "weak", WEAK).otherwise(0.0)
-    total = F.aggregate(F.coalesce(evidence, F.array().cast("array<struct<evidence_type:string,strength:string>>")), F.lit(0.0), lambda s, e: s + worth(e))
+    total = F.coalesce(F.aggregate(evidence, F.lit(0.0), lambda s, e: s + worth(e)), F.lit(0.0))
     return F.greatest(F.lit(LEXICAL_LEAST), F.least(F.lit(LEXICAL_MOST), total))
 
 
 def is_grammar(name: Column, locale: Column) -> Column:
     """Whether a name in ``name_form`` is only grammar."""
-    zh = name.rlike(f"^(?:{ALONE_ZH})$") | name.rlike(f"^(?:{PRONOUNS_ZH})(?:{AFTER_PRONOUN_ZH})$")
-    return (name == "") | F.when(_is_zh(locale), zh).otherwise(name.rlike(f"^(?:{ALONE_EN})$"))
+    zh = [*ALONE_ZH.split("|"), *(a + b for a in PRONOUNS_ZH.split("|") for b in AFTER_PRONOUN_ZH.split("|"))]
+    return (name == "") | F.when(_is_zh(locale), name.isin(zh)).otherwise(name.isin(ALONE_EN.split("|")))
 
 
 def name_shape(name: Column, locale: Column, supported: Column, role: Column | None = None) -> Column:
@@ -101,19 +136,29 @@ def boundaries(before: Column, after: Column, locale: Column) -> Column:
     return clean(before) + clean(after)
 
 
+def kinds_cut() -> dict[str, Column]:
+    """What may be cut, by kind."""
+    return {"predicates": F.col("kind").isin("relation", "event"), "meanings": F.col("kind").isin("field", "role-signal")}
+
+
+def of_kinds(matches: DataFrame) -> DataFrame:
+    """Matches that count against a candidate which cuts them."""
+    return matches.where("kind in ('relation', 'event', 'field', 'role-signal')")
+
+
 def candidate_quality(candidates: DataFrame, matches: DataFrame, docs: DataFrame, compose: bool = True) -> DataFrame:
     """Candidates (doc_id, cand_id, name, start, end, locale, evidence) with lexical, shape, contamination, edges, span_confidence and quality.
 
     matches: (doc_id, start, end, kind); entity types inside a name don't count against it. ``docs``
-    holds the texts, from which the characters beside each candidate are taken. Candidates are read four times, so they are stored.
+    holds the texts, from which the characters beside each candidate are taken. Candidates that have
+    ``predicates`` and ``meanings``, or ``before`` and ``after``, keep what they have.
     """
-    kinds = {"__predicates": F.col("kind").isin("relation", "event"), "__meanings": F.col("kind").isin("field", "role-signal")}
-    candidates = stored(candidates)
-    counts = overlap_counts(candidates.select("doc_id", "cand_id", "start", "end"), matches.where("kind in ('relation', 'event', 'field', 'role-signal')"), kinds).drop("start", "end")
-    met = with_text(candidates, docs, 1, 1).join(counts, ["doc_id", "cand_id"])
+    cut = {"predicates", "meanings"} <= set(candidates.columns)
+    counted = candidates.withColumnsRenamed({"predicates": "__predicates", "meanings": "__meanings"}) if cut else overlap_counts(candidates, of_kinds(matches), {f"__{n}": c for n, c in kinds_cut().items()})
+    met = counted if {"before", "after"} <= set(candidates.columns) else with_text(counted, docs, 1, 1)
     beside = met.withColumns({"__before": F.nullif(F.col("before"), F.lit("")), "__after": F.nullif(F.col("after"), F.lit(""))}).drop("before", "word", "after")
     name, where = name_form(F.col("name"), compose), F.coalesce("locale", text_locale(F.col("name")))
-    supported = F.exists(F.coalesce("evidence", F.array().cast("array<struct<evidence_type:string,strength:string>>")), lambda e: e["evidence_type"].isin("exact", "suffix"))
+    supported = F.exists("evidence", lambda e: e["evidence_type"].isin("exact", "suffix"))
     out = beside.withColumns({"__name": name, "__where": where, "__held": F.coalesce(supported, F.lit(False))})
     out = out.withColumns({
         "lexical": lexical_support(F.col("evidence")), "shape": name_shape(F.col("__name"), F.col("__where"), F.col("__held")),

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,26 +103,62 @@ def drop_less_specific(spans: DataFrame, keys: Sequence[str], seq: str) -> DataF
     return spans.join(o, cond, "left_anti")
 
 
+def bundled(batches: Iterator[pa.RecordBatch], rows: int = 1 << 15) -> Iterator[pa.RecordBatch]:
+    """Many small batches as few of at least so many rows."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def gathered(spans: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """(doc, __spans): a document's whole spans in one array."""
+    return spans.groupBy(doc).agg(F.collect_list(F.struct(*(c for c in spans.columns if c != doc))).alias("__spans"))
+
+
+def spread(met: DataFrame, doc: str, *beside: str) -> DataFrame:
+    """Spans of ``gathered`` as rows again, with the fields of the arrays that go ``beside`` them."""
+    each = met.select(doc, F.inline(F.arrays_zip("__spans", *beside)))
+    return each.select(doc, "__spans.*", *(f"{c}.*" for c in beside))
+
+
+def _cells(left: int, right: int):
+    """An Arrow function: texts with the starts and ends of their places to (before, word, after) of each place."""
+
+    def cut(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+        cells: tuple[list[str], ...] = ([], [], [])
+        for text, s, e in zip(texts, starts, ends):
+            text, s, e = text.as_py() or "", s.values.to_pylist(), e.values.to_pylist()
+            cells[0].extend([text[max(0, x - left) : x] for x in s])
+            cells[1].extend([text[x:y] for x, y in zip(s, e)])
+            cells[2].extend([text[y : y + right] for y in e])
+        found = pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in cells], names=["before", "word", "after"])
+        return pa.ListArray.from_arrays(offsets(starts), found)
+
+    return cut
+
+
+def offsets(lists: pa.Array) -> pa.Array:
+    """Where each list begins among the elements of all, and the end."""
+    return pa.array(np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))).astype(np.int32))
+
+
 def with_text(spans: DataFrame, docs: DataFrame, left: int = 0, right: int = 0, doc: str = "doc_id") -> DataFrame:
     """Spans with their own ``word`` and up to ``left`` characters ``before`` and ``right`` ``after`` them.
 
-    A document's places meet its text once, in one row, and are cut there by code points; a
-    ``substring`` for each span would read the text from its start each time.
+    A document's spans meet its text once, in one row, and are cut there by code points; a
+    ``substring`` for each span would read the text from its start each time. What else a
+    span holds waits in the row, so nothing is joined back.
     """
-    places = spans.select(doc, "start", "end").distinct().groupBy(doc).agg(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))).alias("places"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                text = b.column(1)[k].as_py() or ""
-                own = b.column(2)[k].values
-                starts, ends = own.field("start").to_pylist(), own.field("end").to_pylist()
-                cells = [text[max(0, s - left) : s] for s in starts], [text[s:e] for s, e in zip(starts, ends)], [text[e : e + right] for e in ends]
-                yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[k].as_py()] * len(starts), b.column(0).type), own.field("start"), own.field("end"), *(pa.array(c, pa.string()) for c in cells)], names=["__of", "__s", "__e", "before", "word", "after"])
-
-    kind = spans.schema[doc].dataType.simpleString()
-    met = docs.select(doc, "text").join(places, doc).mapInArrow(cut, f"__of {kind}, __s int, __e int, before string, word string, after string")
-    return spans.join(met, (F.col(doc) == F.col("__of")) & (F.col("start") == F.col("__s")) & (F.col("end") == F.col("__e"))).drop("__of", "__s", "__e")
+    met = docs.select(doc, F.col("text").alias("__text")).join(gathered(spans, doc), doc)
+    place = lambda c: F.transform("__spans", lambda x: x[c].cast("int"))
+    beside = F.arrow_udf(_cells(left, right), "array<struct<before:string,word:string,after:string>>")
+    return spread(met.withColumn("__beside", beside("__text", place("start"), place("end"))), doc, "__beside")
 
 
 def gather(marks: DataFrame, doc: str, *columns: str) -> DataFrame:

@@ -116,12 +116,7 @@ SELECT doc_id, start, name, types[1] AS likely_type, list_filter(types, lambda x
 def grown_names(spark, t):
     """Names grown from type words to both sides, up to boundaries and particles; several types of one name merged, and judged as spans."""
     docs = t("documents").select("doc_id", F.translate("text", *_AS_PARTICLES).alias("text"))
-    spans = None
-    for k, (pattern, kind, evidence, strength, sure) in enumerate(_TYPE_WORDS):
-        own = chains.literal_spans(docs, pattern).select("doc_id", (2 * F.col("start") + k).alias("seq"), F.lit(kind).alias("concept_id"), F.col("found").alias("expression"), F.lit(evidence).alias("evidence_type"), F.lit(strength).alias("strength"), F.lit(sure).alias("confidence"), F.lit("entity-type").alias("kind"), "start", "end")
-        spans = own if spans is None else spans.unionByName(own)
     events = chains.literal_spans(docs, _EVENTS).select("doc_id", F.lit("event").alias("kind"), "start", "end")
     generic = spark.createDataFrame([(x,) for x in _GENERIC], "term string")
-    merged = names.merge(names.grow_chinese(spans, docs, generic), "zh")
-    out = names.judged(merged, events.unionByName(spans.select(*events.columns)), docs, "zh")
+    out = names.judged(names.grow_found(docs, _TYPE_WORDS, events, generic), events, docs, "zh")
     return out.select("doc_id", "start", "name", "likely_type", F.try_element_at("alternatives", F.lit(1)).alias("alternative"), F.round("confidence", 6).alias("confidence"), "disposition")
