@@ -29,7 +29,8 @@ def link(hints: DataFrame, entities: DataFrame, ancestors: DataFrame | None = No
     entities: (entity_id, name, aliases, type). Names and aliases meet hints in one
     equi-join on their normal form; the best score wins, ties are ambiguous, none is
     missing. Confidence is the score, clamped to 1. ``world`` names a column of both
-    tables: a hint then meets the entities of its own world only.
+    tables: a hint then meets the entities of its own world only. Entities meet each
+    different question once, not each hint.
     """
     scope = [world] if world else []
     forms = entities.select("entity_id", "type", *scope, F.explode(F.concat(F.array(F.struct(F.col("name").alias("n"), F.lit("exact-name").alias("strategy"), F.lit(NAME).alias("worth"))), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.struct(a.alias("n"), F.lit("exact-alias").alias("strategy"), F.lit(ALIAS).alias("worth"))))).alias("f"))
@@ -39,13 +40,22 @@ def link(hints: DataFrame, entities: DataFrame, ancestors: DataFrame | None = No
         keyed = keyed.join(up, "type", "left")
     else:
         keyed = keyed.withColumn("__up", F.lit(None).cast("array<string>"))
-    met = hints.withColumn("__key", entity_name_form(F.col("hint"), compose)).join(keyed, ["__key", *scope])
-    scored = met.withColumn("score", F.col("worth") + type_bonus(F.col("type"), F.col("expected"), F.coalesce("__up", F.array().cast("array<string>"))))
-    # An entity counts once, by its best form.
-    once = scored.groupBy("hint_id", "entity_id").agg(F.max(F.struct("score", "worth", "strategy")).alias("s"))
-    best = once.groupBy("hint_id").agg(F.max("s.score").alias("top"))
-    tied = once.join(best, "hint_id").where(F.col("top") - F.col("s.score") < TIE).groupBy("hint_id").agg(F.count("*").alias("n"), F.min("entity_id").alias("entity_id"), F.array_sort(F.collect_list("entity_id")).alias("ids"), F.max("s.strategy").alias("strategy"), F.max("top").alias("top"))
-    out = hints.join(tied, "hint_id", "left")
+    # Hints that say and expect the same have one answer, however many they are.
+    asked = hints.select(F.col("hint").alias("__hint"), *(F.col(c).alias(f"__{c}") for c in scope), F.col("expected").alias("__expected")).distinct().withColumn("__key", entity_name_form(F.col("__hint"), compose))
+    question = ["__key", *(f"__{c}" for c in scope), "__expected"]
+    met = asked.select(*question).distinct().join(keyed.withColumnsRenamed({c: f"__{c}" for c in scope}), question[:-1])
+    scored = met.withColumn("score", F.col("worth") + type_bonus(F.col("type"), F.col("__expected"), F.coalesce("__up", F.array().cast("array<string>"))))
+    # An entity counts once, by its best form; scores are few, so the entities of each are put together first.
+    once = scored.groupBy(*question, "entity_id").agg(F.max(F.struct("score", "worth", "strategy")).alias("s"))
+    level = once.groupBy(*question, "s.score").agg(F.count("*").alias("n"), F.min("entity_id").alias("entity_id"), F.collect_list("entity_id").alias("ids"), F.max("s.strategy").alias("strategy"))
+    top = level.withColumn("top", F.max("score").over(Window.partitionBy(*question))).where(F.col("top") - F.col("score") < TIE)
+    tied = top.groupBy(*question).agg(F.sum("n").alias("n"), F.min("entity_id").alias("entity_id"), F.array_sort(F.flatten(F.collect_list("ids"))).alias("ids"), F.max("strategy").alias("strategy"), F.max("top").alias("top"))
+    tied = tied.withColumnRenamed("__expected", "__e")
+    answers = asked.join(tied, question[:-1]).where(F.col("__expected").eqNullSafe(F.col("__e"))).drop("__e", "__key")
+    same = (F.col("hint") == F.col("__hint")) & F.col("expected").eqNullSafe(F.col("__expected"))
+    for c in scope:
+        same = same & (F.col(c) == F.col(f"__{c}"))
+    out = hints.join(answers, same, "left")
     alone = F.col("n") == 1
     return out.select(*hints.columns, F.when(F.col("n").isNull(), "missing").when(alone, "resolved").otherwise("ambiguous").alias("status"), F.when(alone, F.col("strategy")).alias("strategy"), F.when(alone, F.col("entity_id")).alias("entity_id"), F.when(alone, F.least(F.lit(1.0), F.col("top"))).alias("confidence"), F.when(~alone, F.col("ids")).alias("alternatives"))
 
