@@ -8,9 +8,8 @@ span; the text itself is met once a document.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.scores import QUALITY_TIERS, tier, weakest_link
 from ..functions.text import comparison_form
 from . import span_quality
-from .spans import with_text
+from .spans import TOGETHER, codes_of, finder, laid_out, stretches, with_text
 
 #: Fixed: characters before and behind a type word that a Chinese name may take in.
 LEFT, RIGHT = 12, 4
@@ -75,32 +74,6 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.array([k.match(chr(c)) is not None for c in range(1 << 16)]) for k in kinds)
 
 
-def _codes(text: str) -> np.ndarray:
-    """A text's characters as numbers; those beyond the first plane are one number, which no table marks."""
-    return np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 0xFFFF)
-
-
-def _finder(pattern: str) -> Callable[[list[str], np.ndarray, np.ndarray], np.ndarray]:
-    """Starts and ends of a pattern's occurrences in (texts, where each begins among all, the codes of all); words of one character are looked up, not searched for."""
-    if re.fullmatch(r"\w(?:\|\w)*", pattern) and max(map(ord, pattern)) < 0xFFFF:
-        one = np.zeros(1 << 16, bool)
-        one[list(map(ord, pattern.split("|")))] = True
-
-        def look(texts: list[str], begins: np.ndarray, codes: np.ndarray) -> np.ndarray:
-            at = np.flatnonzero(one[codes])
-            return np.stack((at, at + 1), axis=1)
-
-        return look
-    exact = re.compile(pattern)
-
-    def search(texts: list[str], begins: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        found = [[x for m in exact.finditer(t) for x in m.span()] for t in texts]
-        flat = np.fromiter(chain.from_iterable(found), np.int64, sum(map(len, found)))
-        return flat.reshape(-1, 2) + np.repeat(begins, [len(x) // 2 for x in found])[:, None]
-
-    return search
-
-
 def _reach(codes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Characters that a name takes in left and right of each place, whether it may end with what stands there, and whether comparison leaves it as it is."""
     stop, loose = (np.flatnonzero(t[codes]) for t in _tables())
@@ -142,10 +115,6 @@ def _evidence(words: Sequence[tuple], k: np.ndarray, seq: np.ndarray, length: np
     return pa.StructArray.from_arrays([pa.array(seq), concept, pa.nulls(len(k), pa.string()), pa.array(raised), proof], names=["seq", "likely_type", "role", "confidence", "evidence"])
 
 
-#: Characters that are gone through together, and what stands between two texts.
-TOGETHER, BETWEEN = 1 << 20, "\n"
-
-
 def grow_found(docs: DataFrame, words: Sequence[tuple[str, str, str, str | None, float]], matches: DataFrame | None = None, terms: DataFrame | None = None, doc: str = "doc_id") -> DataFrame:
     """What ``merge`` makes of ``grow_chinese`` without composing, for the type words that patterns find: words (pattern, concept_id, evidence_type, strength, confidence), in Python's syntax.
 
@@ -153,13 +122,12 @@ def grow_found(docs: DataFrame, words: Sequence[tuple[str, str, str, str | None,
     never rows, and those of one place, in the order of ``words``, come as one name. Names have
     the characters beside them (before, after), and what they cut of ``matches``, if given.
     """
-    finders = [_finder(w[0]) for w in words]
+    finders = [finder(w[0]) for w in words]
     cut = list(span_quality.kinds_cut())
 
     def grown(idents: pa.Array, texts: list[str], others: pa.Array) -> pa.RecordBatch:
-        # Texts lie one behind the other, with a character between them that ends every name.
-        text, size = BETWEEN.join(texts), np.fromiter(map(len, texts), np.int64, len(texts))
-        codes, begins = _codes(text), np.cumsum(size + 1) - size - 1
+        text, begins, size = laid_out(texts)  # what stands between two texts ends every name
+        codes = codes_of(text)
         hits = [find(texts, begins, codes) for find in finders]
         k, places = np.repeat(np.arange(len(hits)), list(map(len, hits))), np.concatenate(hits)
         left, right, ends, plain = _reach(codes, places)
@@ -186,11 +154,8 @@ def grow_found(docs: DataFrame, words: Sequence[tuple[str, str, str, str | None,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
-            # Whole texts together, up to so many characters or one longer text.
-            part = np.cumsum(list(map(len, texts))) // TOGETHER
-            for own in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(part)) + 1):
-                if len(own):
-                    yield grown(b.column("__doc")[own[0] : own[-1] + 1], texts[own[0] : own[-1] + 1], b.column("__others")[own[0] : own[-1] + 1])
+            for own in stretches(texts, TOGETHER):
+                yield grown(b.column("__doc")[own], texts[own], b.column("__others")[own])
 
     said = "array<struct<seq:bigint,likely_type:string,role:string,confidence:double,evidence:struct<concept_id:string,expression:string,evidence_type:string,strength:string,confidence:double>>>"
     none = F.array().cast(f"array<struct<start:int,end:int,{','.join(f'{n}:boolean' for n in cut)}>>")

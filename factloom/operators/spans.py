@@ -6,7 +6,9 @@ equi key, so the interval conditions are residuals of a hash or merge join.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import re
+from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -116,6 +118,49 @@ def bundled(batches: Iterator[pa.RecordBatch], rows: int = 1 << 15) -> Iterator[
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
+#: Characters that are gone through together, and what stands between two texts.
+TOGETHER, BETWEEN = 1 << 20, "\n"
+
+
+def stretches(texts: list[str], most: int = TOGETHER) -> Iterator[slice]:
+    """Whole texts that follow each other, up to about so many characters or one longer text."""
+    part = np.cumsum(list(map(len, texts))) // most
+    ends = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    yield from (slice(a, b) for a, b in zip(ends, ends[1:]) if a < b)
+
+
+def laid_out(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
+    """Texts one behind the other, where each begins, and how long each is."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    return BETWEEN.join(texts), np.cumsum(size + 1) - size - 1, size
+
+
+def codes_of(text: str) -> np.ndarray:
+    """A text's characters as numbers; those beyond the first plane are one number, which no table marks."""
+    return np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 0xFFFF)
+
+
+def finder(pattern: str) -> Callable[[list[str], np.ndarray, np.ndarray], np.ndarray]:
+    """Starts and ends of a pattern's occurrences in (texts, where each begins among all, the codes of all); words of one character are looked up, not searched for."""
+    if re.fullmatch(r"\w(?:\|\w)*", pattern) and max(map(ord, pattern)) < 0xFFFF:
+        one = np.zeros(1 << 16, bool)
+        one[list(map(ord, pattern.split("|")))] = True
+
+        def look(texts: list[str], begins: np.ndarray, codes: np.ndarray) -> np.ndarray:
+            at = np.flatnonzero(one[codes])
+            return np.stack((at, at + 1), axis=1)
+
+        return look
+    exact = re.compile(pattern)
+
+    def search(texts: list[str], begins: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        found = [[x for m in exact.finditer(t) for x in m.span()] for t in texts]
+        flat = np.fromiter(chain.from_iterable(found), np.int64, sum(map(len, found)))
+        return flat.reshape(-1, 2) + np.repeat(begins, [len(x) // 2 for x in found])[:, None]
+
+    return search
+
+
 def gathered(spans: DataFrame, doc: str = "doc_id") -> DataFrame:
     """(doc, __spans): a document's whole spans in one array."""
     return spans.groupBy(doc).agg(F.collect_list(F.struct(*(c for c in spans.columns if c != doc))).alias("__spans"))

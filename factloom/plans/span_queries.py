@@ -46,7 +46,7 @@ def compound_chains(spark, t):
     docs = t("documents").select("doc_id", "text")
     out = None
     for locale, (parts, marks) in _PARTS.items():
-        one = chains.compounds(chains.literal_spans(docs, parts), chains.literal_spans(docs, marks), docs, locale)
+        one = chains.compounds_found(docs, parts, marks, locale)
         one = one.select("doc_id", F.lit(locale).alias("locale"), "start", "end", "text", "n", F.round("confidence", 6).alias("confidence"))
         out = one if out is None else out.unionByName(one)
     return out
